@@ -39,13 +39,13 @@ def _row(section: str, seq: Column, field: Column, issue_type: Column, value: Co
 
 
 def _value_and_confidence(text: Column) -> tuple[Column, Column]:
-    """A statement is ``{"value": …, "confidence": …}`` or a bare value."""
+    """A statement is ``{"value": …, "confidence": …}`` or a bare value at even
+    confidence."""
     parsed = F.from_json(text, "value string, confidence string")
     wrapped = F.coalesce(text.startswith("{"), F.lit(False))
     value = F.when(wrapped, parsed["value"]).otherwise(text)
     confidence = F.when(wrapped, parsed["confidence"].try_cast("double"))
-    # a missing or zero confidence reads as undecided
-    return value, F.coalesce(F.nullif(confidence, F.lit(0.0)), F.lit(V.DEFAULT_CONFIDENCE))
+    return value, F.coalesce(confidence, F.lit(V.DEFAULT_CONFIDENCE))
 
 
 def _map_rows(section: str, text: Column) -> Column:
@@ -61,6 +61,8 @@ def _map_rows(section: str, text: Column) -> Column:
 def _count_rows(text: Column) -> Column:
     value, confidence = _value_and_confidence(text)
     count = F.coalesce(_as_count(value), F.lit(0))
+    # here a confidence of zero reads as none given
+    confidence = F.when(confidence == 0, V.DEFAULT_CONFIDENCE).otherwise(confidence)
     return F.array(
         _row(_COUNT_SECTION, F.lit(0), F.lit(None), F.lit(None), count, count, confidence)
     )

@@ -50,9 +50,10 @@ def parsed_numbers(spark, sf):
     return V.parse_numbers(orders_as_text(spark, sf), "o_totalprice", keep=["o_orderkey"])
 
 
-@query(f"WITH {ORDERS_AS_TEXT} SELECT o_orderkey, o_orderdate, {TEXT_DATE} AS o_orderdate_date FROM dirty_orders")
+@query(f"WITH {ORDERS_AS_TEXT} SELECT o_orderkey, o_orderdate, CAST({TEXT_DATE} AS VARCHAR) AS o_orderdate_date FROM dirty_orders")
 def parsed_dates(spark, sf):
-    return V.parse_dates(orders_as_text(spark, sf), "o_orderdate", keep=["o_orderkey"])
+    parsed = V.parse_dates(orders_as_text(spark, sf), "o_orderdate", keep=["o_orderkey"])
+    return parsed.withColumn("o_orderdate_date", F.col("o_orderdate_date").cast("string"))
 
 
 @query(f"WITH {ORDERS_AS_TEXT} SELECT o_orderkey, o_totalprice FROM dirty_orders WHERE {NOT_NUMBER}")

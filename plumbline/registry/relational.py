@@ -41,10 +41,10 @@ def temporal_violation_count(spark, sf):
     return R.temporal_violation_count(_lines_with_orders(spark, sf), "o_orderdate", "l_shipdate")
 
 
-@query(f"SELECT l_orderkey, l_linenumber, l_shipdate, o_orderdate {_TEMPORAL}")
+@query(f"SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS VARCHAR) AS l_shipdate, CAST(o_orderdate AS VARCHAR) AS o_orderdate {_TEMPORAL}")
 def temporal_violation_rows(spark, sf):
     return R.temporal_violations(_lines_with_orders(spark, sf), "o_orderdate", "l_shipdate").select(
-        "l_orderkey", "l_linenumber", "l_shipdate", "o_orderdate"
+        "l_orderkey", "l_linenumber", *(F.col(c).cast("string").alias(c) for c in ("l_shipdate", "o_orderdate"))
     )
 
 
@@ -65,13 +65,13 @@ def aggregate_mismatch_count(spark, sf):
 
 @query(f"WITH {ORDERS_WITH_LINE_TOTALS} "
        + _mismatch("built", "l_extendedprice",
-                   "o_orderkey, ROUND(o_totalprice, 2) AS o_totalprice, ROUND(s, 2) AS line_total"))
+                   "o_orderkey, ROUND(o_totalprice, 4) AS o_totalprice, ROUND(s, 4) AS line_total"))
 def aggregate_mismatch_rows(spark, sf):
     rows = R.aggregate_mismatches(
         orders_with_line_totals(spark, sf), "o_orderkey", "o_totalprice",
         table(spark, sf, "lineitem"), "l_orderkey", "l_extendedprice",
     )
-    return rows.select("o_orderkey", *(F.round(c, 2).alias(c) for c in ("o_totalprice", "line_total")))
+    return rows.select("o_orderkey", *(F.round(c, 4).alias(c) for c in ("o_totalprice", "line_total")))
 
 
 @query(_mismatch("orders", "l_extendedprice * (1 - l_discount) * (1 + l_tax)"))
