@@ -44,16 +44,17 @@ def strict(score: Column) -> Column:
     )
 
 
-def weighted_total(scores: dict[str, Column], weights: dict[str, float]) -> Column:
+def weighted_sum(scores: dict[str, Column], weights: dict[str, float]) -> Column:
+    """Rounded to four places as a decimal: the noise of adding doubles cannot tip a tie."""
     total = F.lit(0.0)
     for name, weight in weights.items():
         total = total + scores[name] * F.lit(weight)
-    return strict(F.round(total, 4))
+    return F.round(total.cast("decimal(18,10)"), 4).cast("double")
 
 
 def category_set(text: ColumnLike) -> Column:
     """``"a, b,,a"`` -> ``["a", "b"]``"""
-    parts = F.transform(F.split(col(text), ","), F.trim)
+    parts = F.transform(F.split(col(text), ","), lambda part: F.trim(part))
     return F.array_distinct(F.filter(parts, lambda p: p != ""))
 
 
@@ -72,11 +73,11 @@ def share_from_text(text: ColumnLike) -> Column:
     return F.when(number > 1, number / 100.0).otherwise(number)
 
 
-def share_score(text: ColumnLike, confidence: ColumnLike, actual: ColumnLike) -> Column:
-    reported = share_from_text(text)
-    close = F.abs(reported - col(actual)) <= V.SHARE_TOLERANCE
+def share_score(reported: ColumnLike, confidence: ColumnLike, actual: ColumnLike) -> Column:
+    """Full credit within five points of the truth, half beyond, a fifth for an unreadable share."""
+    close = F.abs(col(reported) - col(actual)) <= V.SHARE_TOLERANCE
     base = F.when(close, 1.0).otherwise(V.SHARE_MISS_CREDIT)
-    return F.when(reported.isNull(), V.SHARE_UNREADABLE_CREDIT).otherwise(brier(base, confidence, close))
+    return F.when(col(reported).isNull(), V.SHARE_UNREADABLE_CREDIT).otherwise(brier(base, confidence, close))
 
 
 def mentions(text: ColumnLike, *words: str) -> Column:

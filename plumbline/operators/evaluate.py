@@ -1,10 +1,12 @@
 """Grading many reports against the truth.
 
 Input: report rows as ``parse_reports`` makes them and one truth row per run.
-Each grader folds the rows of a run into its few relevant statements (first
-statement in report order wins, found by a minimum that combines before the
-shuffle), joins the truth on the run and computes every score in one
-projection. A run with a third of all rows is folded like any other.
+Each grader keeps the sections it needs (a filter that moves below the parsing),
+folds the rows of a run into its few relevant statements (the first in report
+order wins, found by a minimum that combines before the shuffle), joins the
+truth on the run and scores all runs by projections. A run with a third of all
+rows is folded like any other. Scores are computed in steps, so that every
+intermediate number is evaluated once per run.
 """
 
 from __future__ import annotations
@@ -13,138 +15,172 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scoring as S, vocabulary as V
 
-_STATEMENT = ("seq", "value", "n_reported", "confidence")
 
+def _in(section: str) -> Column:
+    return F.col("section") == section
 
-def _first(condition: Column) -> Column:
-    """The first statement of the run that meets the condition, or NULL."""
-    return F.min(F.when(condition, F.struct(*_STATEMENT)))
 
+def _is_entry(section: str, field: str) -> Column:
+    return _in(section) & (F.col("field") == field)
 
-def _in(section: str) -> Column:
-    return F.col("section") == section
 
+def _first(name: str, condition: Column, *fields: str) -> list[Column]:
+    """Fields of the first statement that meets the condition, and whether there is one."""
+    place = F.when(condition, F.col("seq"))
+    return [
+        F.min(place).isNotNull().alias(f"{name}_found"),
+        *(F.min_by(field, place).alias(f"{name}_{field}") for field in fields),
+    ]
 
-def _entry(section: str, field: str) -> Column:
-    return _first(_in(section) & (F.col("field") == field))
 
+def _first_count(name: str, condition: Column) -> list[Column]:
+    return _first(name, condition, "n_reported", "confidence")
 
-def _exists(condition: Column) -> Column:
-    return F.coalesce(F.bool_or(condition), F.lit(False))
 
+def _exists(name: str, condition: Column) -> Column:
+    return F.bool_or(condition).alias(f"{name}_found")
 
-def _graded_count(statement: str, actual: str, above: float, monotone: bool) -> Column:
-    accuracy = S.count_accuracy(
-        F.coalesce(F.col(f"{statement}.n_reported"), F.lit(0)), actual, monotone=monotone
-    )
-    score = S.brier(accuracy, f"{statement}.confidence", accuracy > above)
-    return F.when(F.col(statement).isNotNull(), score).otherwise(F.lit(0.0))
 
+def _found(name: str) -> Column:
+    return F.coalesce(F.col(f"{name}_found"), F.lit(False))
 
-def _grade(folded: DataFrame, truth: DataFrame, run: str, audit: str, scores: dict[str, Column]) -> DataFrame:
-    names = list(scores)
-    parts = truth.join(folded, run, "left").select(
-        run, *(S.strict(score).alias(name) for name, score in scores.items())
-    )
-    total = S.weighted_total({n: F.col(n) for n in names}, V.WEIGHTS[audit])
-    return parts.select(run, *names, total.alias("total"))
+
+def _fold(rows: DataFrame, truth: DataFrame, run: str, sections: tuple[str, ...], *aggregates: Column) -> DataFrame:
+    folded = rows.where(F.col("section").isin(*sections)).groupBy(run).agg(*aggregates)
+    return truth.join(folded, run, "left")
+
+
+def _count_accuracies(df: DataFrame, actuals: dict[str, str], monotone: bool) -> DataFrame:
+    return df.withColumns({
+        f"{name}_accuracy": S.count_accuracy(
+            F.coalesce(F.col(f"{name}_n_reported"), F.lit(0)), actual, monotone=monotone
+        )
+        for name, actual in actuals.items()
+    })
+
+
+def _count_score(name: str, above: float) -> Column:
+    accuracy = F.col(f"{name}_accuracy")
+    score = S.brier(accuracy, f"{name}_confidence", accuracy > above)
+    return F.when(_found(name), score).otherwise(F.lit(0.0))
 
 
-def _flag(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(False))
+def _grade(df: DataFrame, run: str, audit: str, scores: dict[str, Column]) -> DataFrame:
+    raw = df.select(run, *(score.alias(name) for name, score in scores.items()))
+    clamped = raw.select(run, *(S.strict(F.col(name)).alias(name) for name in scores))
+    total = S.weighted_sum({name: F.col(name) for name in scores}, V.WEIGHTS[audit])
+    return clamped.withColumn("total", total).withColumn("total", S.strict(F.col("total")))
 
 
 def grade_nulls_duplicates(rows: DataFrame, truth: DataFrame, run: str, monotone: bool = False,
                            text_field: str = "email", key_field: str = "customer_id") -> DataFrame:
     """Truth columns: null_text, null_key, exact_duplicates."""
-    folded = rows.groupBy(run).agg(
-        _entry("null_issues", text_field).alias("text_nulls"),
-        _entry("null_issues", key_field).alias("key_nulls"),
-        _first(_in("duplicate_row_count")).alias("duplicates"),
-        _exists(_in("schema_violations") & S.mentions("issue_type", "near")).alias("near"),
+    folded = _fold(
+        rows, truth, run, ("null_issues", "duplicate_row_count", "schema_violations"),
+        *_first_count("text", _is_entry("null_issues", text_field)),
+        *_first_count("key", _is_entry("null_issues", key_field)),
+        *_first_count("copies", _in("duplicate_row_count")),
+        _exists("near", _in("schema_violations") & S.mentions("issue_type", "near")),
+    )
+    judged = _count_accuracies(
+        folded, {"text": "null_text", "key": "null_key", "copies": "exact_duplicates"}, monotone
     )
     cut = V.CORRECT_ABOVE
-    return _grade(folded, truth, run, "nulls_duplicates", {
-        "null_email": _graded_count("text_nulls", "null_text", cut["nulls"], monotone),
-        "null_cid": _graded_count("key_nulls", "null_key", cut["nulls"], monotone),
-        "exact_dups": _graded_count("duplicates", "exact_duplicates", cut["duplicates"], monotone),
-        "near_dups": F.when(_flag("near"), V.NEAR_DUPLICATE_CREDIT).otherwise(0.0),
+    return _grade(judged, run, "nulls_duplicates", {
+        "null_email": _count_score("text", cut["nulls"]),
+        "null_cid": _count_score("key", cut["nulls"]),
+        "exact_dups": _count_score("copies", cut["duplicates"]),
+        "near_dups": F.when(_found("near"), V.NEAR_DUPLICATE_CREDIT).otherwise(0.0),
     })
 
 
+def _detected(found: Column, confidence: Column, credit: float = 1.0) -> Column:
+    return S.brier(F.when(found, credit).otherwise(0.0), confidence, found)
+
+
 def grade_conformance(rows: DataFrame, truth: DataFrame, run: str, monotone: bool = False) -> DataFrame:
     """Truth column: negative_quantity."""
-    violation = _in("schema_violations")
-    on_amount = violation & S.mentions("field", "amount")
-    on_date = violation & S.mentions("field", "date")
-    folded = rows.groupBy(run).agg(
-        _exists(on_amount & S.mentions("issue_type", "type")).alias("type_found"),
-        _first(on_amount).alias("amount"),
-        _first(on_date).alias("date"),
-        _first(violation & S.mentions("field", "quantity") & S.mentions("issue_type", "negative")).alias("negative"),
-        _exists(
-            violation & (S.mentions("issue_type", "unparseable")
-                         | (S.mentions("field", "amount") & S.mentions("issue_type", "invalid")))
-        ).alias("bad_found"),
+    on_amount = S.mentions("field", "amount")
+    unparseable = S.mentions("issue_type", "unparseable") | (on_amount & S.mentions("issue_type", "invalid"))
+    folded = _fold(
+        rows, truth, run, ("schema_violations",),
+        _exists("type", on_amount & S.mentions("issue_type", "type")),
+        *_first("amount", on_amount, "confidence"),
+        *_first("date", S.mentions("field", "date"), "confidence"),
+        *_first_count("negative", S.mentions("field", "quantity") & S.mentions("issue_type", "negative")),
+        _exists("unparseable", unparseable),
     )
-
-    def detected(found: Column, confidence: Column, credit: float = 1.0) -> Column:
-        return S.brier(F.when(found, credit).otherwise(0.0), confidence, found)
-
+    judged = _count_accuracies(folded, {"negative": "negative_quantity"}, monotone)
     even = F.lit(V.DEFAULT_CONFIDENCE)
-    return _grade(folded, truth, run, "conformance", {
-        "amount_type": detected(_flag("type_found"), F.coalesce("amount.confidence", even)),
-        "date_format": detected(F.col("date").isNotNull(), F.coalesce("date.confidence", even)),
-        "neg_qty": _graded_count("negative", "negative_quantity", V.CORRECT_ABOVE["counts"], monotone),
-        "bad_amount": detected(_flag("bad_found"), even, V.BAD_AMOUNT_CREDIT),
+    return _grade(judged, run, "conformance", {
+        "amount_type": _detected(_found("type"), F.coalesce("amount_confidence", even)),
+        "date_format": _detected(_found("date"), F.coalesce("date_confidence", even)),
+        "neg_qty": _count_score("negative", V.CORRECT_ABOVE["counts"]),
+        "bad_amount": _detected(_found("unparseable"), even, V.BAD_AMOUNT_CREDIT),
     })
 
 
 def grade_drift(rows: DataFrame, truth: DataFrame, run: str, measure: str = "amount", category: str = "category",
                 reference: str = "user_id") -> DataFrame:
     """Truth columns: new_categories (comma-separated), reference_share."""
-    mention = S.mentions(F.concat_ws(" ", "field", "value"), *V.CATEGORY_WORDS)
-    folded = rows.groupBy(run).agg(
-        _entry("drift_details", measure).alias("measure"),
-        _entry("drift_details", category).alias("category"),
-        _entry("drift_details", reference).alias("reference"),
-        _exists(F.col("section").isin("drift_details", "recommended_fixes") & mention).alias("mentioned"),
+    fields = ("value", "confidence")
+    folded = _fold(
+        rows, truth, run, ("drift_details", "recommended_fixes"),
+        *_first("measure", _is_entry("drift_details", measure), *fields),
+        *_first("category", _is_entry("drift_details", category), *fields),
+        *_first("reference", _is_entry("drift_details", reference), *fields),
+        _exists("mention", S.mentions(F.concat_ws(" ", "field", "value"), *V.CATEGORY_WORDS)),
     )
-    shifted = S.mentions("measure.value", "shift", "mean")
-    f1 = S.set_f1(S.category_set("category.value"), S.category_set("new_categories"))
-    return _grade(folded, truth, run, "drift", {
-        "mean_shift": F.when(
-            F.col("measure").isNotNull(), S.brier(F.when(shifted, 1.0).otherwise(0.0), "measure.confidence", shifted)
-        ).otherwise(0.0),
-        "new_cats": F.when(
-            F.col("category").isNotNull(), S.brier(f1, "category.confidence", f1 > V.CORRECT_ABOVE["categories"])
-        ).otherwise(F.when(_flag("mentioned"), V.CATEGORY_MENTION_CREDIT).otherwise(0.0)),
+    read = folded.withColumns({
+        "shifted": S.mentions("measure_value", "shift", "mean"),
+        "said": S.category_set("category_value"),
+        "true": S.category_set("new_categories"),
+        "share": S.share_from_text("reference_value"),
+    })
+    f1 = F.col("f1")
+    return _grade(read.withColumn("f1", S.set_f1(F.col("said"), F.col("true"))), run, "drift", {
+        "mean_shift": F.when(_found("measure"), _detected(F.col("shifted"), F.col("measure_confidence")))
+        .otherwise(0.0),
+        "new_cats": F.when(_found("category"), S.brier(f1, "category_confidence", f1 > V.CORRECT_ABOVE["categories"]))
+        .when(_found("mention"), V.CATEGORY_MENTION_CREDIT).otherwise(0.0),
         "ref_drift": F.when(
-            F.col("reference").isNotNull(),
-            S.share_score("reference.value", "reference.confidence", "reference_share"),
+            _found("reference"), S.share_score("share", "reference_confidence", "reference_share")
         ).otherwise(0.0),
     })
 
 
+# an issue is looked up by these words in turn; the first word that finds one decides
+_RELATIONAL_WORDS = {
+    "orphans": ("orphan", "foreign_key"),
+    "temporal": ("temporal", "ship_date"),
+    "aggregates": ("aggregate", "mismatch", "total"),
+}
+
+
 def grade_relational(rows: DataFrame, truth: DataFrame, run: str, monotone: bool = False) -> DataFrame:
     """Truth columns: orphaned_count, temporal_count, mismatch_count."""
-    # each issue is looked up by these words in turn; the first word found decides
-    words = {
-        "orphans": ("orphan", "foreign_key"),
-        "temporal": ("temporal", "ship_date"),
-        "aggregates": ("aggregate", "mismatch", "total"),
-    }
-    lookups = {
-        name: F.coalesce(*(_first(_in("relational_issues") & S.mentions("issue_type", w)) for w in ws))
-        for name, ws in words.items()
-    }
-    folded = rows.groupBy(run).agg(*(found.alias(f"{name}_found") for name, found in lookups.items()))
-    cut = V.CORRECT_ABOVE["counts"]
-    return _grade(folded, truth, run, "relational", {
-        "orphans": _graded_count("orphans_found", "orphaned_count", cut, monotone),
-        "temporal": _graded_count("temporal_found", "temporal_count", cut, monotone),
-        "aggregates": _graded_count("aggregates_found", "mismatch_count", cut, monotone),
+    lookups = [
+        column
+        for words in _RELATIONAL_WORDS.values() for word in words
+        for column in _first_count(word, S.mentions("issue_type", word))
+    ]
+    folded = _fold(rows, truth, run, ("relational_issues",), *lookups)
+
+    def by_first_word(words: tuple[str, ...], field: str) -> Column:
+        chosen = F.lit(None)
+        for word in reversed(words):
+            chosen = F.when(_found(word), F.col(f"{word}_{field}")).otherwise(chosen)
+        return chosen
+
+    chosen = folded.withColumns({
+        f"{name}_{field}": by_first_word(words, field)
+        for name, words in _RELATIONAL_WORDS.items() for field in ("found", "n_reported", "confidence")
     })
+    judged = _count_accuracies(
+        chosen, {"orphans": "orphaned_count", "temporal": "temporal_count", "aggregates": "mismatch_count"}, monotone
+    )
+    cut = V.CORRECT_ABOVE["counts"]
+    return _grade(judged, run, "relational", {name: _count_score(name, cut) for name in _RELATIONAL_WORDS})
 
 
 def summarise_runs(scores: DataFrame, task: str, score: str = "total") -> DataFrame:

@@ -21,68 +21,35 @@ SECTIONS = (*_MAP_SECTIONS, _COUNT_SECTION, *_ITEM_SECTIONS, *_LIST_SECTIONS)
 _ROW = ["section", "seq", "field", "issue_type", "value", "n_reported", "confidence"]
 
 
+_BODY_SCHEMA = (
+    "value string, confidence string, column string, issue_type string, example string, count string"
+)
+
+
 def _as_count(text: Column) -> Column:
     return text.try_cast("double").try_cast("bigint")
 
 
-def _row(section: str, seq: Column, field: Column, issue_type: Column, value: Column, count: Column,
-         confidence: Column) -> Column:
-    return F.struct(
-        F.lit(section).alias("section"),
-        seq.cast("int").alias("seq"),
-        field.cast("string").alias("field"),
-        issue_type.cast("string").alias("issue_type"),
-        value.cast("string").alias("value"),
-        count.cast("bigint").alias("n_reported"),
-        confidence.cast("double").alias("confidence"),
+def _entries(section: Column, text: Column) -> Column:
+    """The statements of a section as (field, body) with the body still text;
+    NULL or empty where the section is missing or of the wrong type."""
+    entry = "struct<field:string,body:string>"
+    # text of the wrong shape is not even tried: a failed parse is slow
+    as_object = F.when(F.ltrim(text).startswith("{"), text)
+    as_list = F.when(F.ltrim(text).startswith("["), text)
+    by_key = F.transform(
+        F.map_entries(F.from_json(as_object, "map<string,string>")),
+        lambda e: F.struct(e["key"].alias("field"), e["value"].alias("body")),
     )
-
-
-def _value_and_confidence(text: Column) -> tuple[Column, Column]:
-    """A statement is ``{"value": …, "confidence": …}`` or a bare value at even
-    confidence."""
-    parsed = F.from_json(text, "value string, confidence string")
-    wrapped = F.coalesce(text.startswith("{"), F.lit(False))
-    value = F.when(wrapped, parsed["value"]).otherwise(text)
-    confidence = F.when(wrapped, parsed["confidence"].try_cast("double"))
-    return value, F.coalesce(confidence, F.lit(V.DEFAULT_CONFIDENCE))
-
-
-def _map_rows(section: str, text: Column) -> Column:
-    entries = F.map_entries(F.from_json(text, "map<string,string>"))
-
-    def row(entry: Column, i: Column) -> Column:
-        value, confidence = _value_and_confidence(entry["value"])
-        return _row(section, i, entry["key"], F.lit(None), value, _as_count(value), confidence)
-
-    return F.transform(entries, row)
-
-
-def _count_rows(text: Column) -> Column:
-    value, confidence = _value_and_confidence(text)
-    count = F.coalesce(_as_count(value), F.lit(0))
-    # here a confidence of zero reads as none given
-    confidence = F.when(confidence == 0, V.DEFAULT_CONFIDENCE).otherwise(confidence)
-    return F.array(
-        _row(_COUNT_SECTION, F.lit(0), F.lit(None), F.lit(None), count, count, confidence)
+    listed = F.transform(
+        F.filter(F.from_json(as_list, "array<string>"), lambda e: e.isNotNull()),
+        lambda e: F.struct(F.when(section.isin(*_LIST_SECTIONS), e).alias("field"), e.alias("body")),
     )
-
-
-def _item_rows(section: str, text: Column) -> Column:
-    items = F.from_json(text, "array<map<string,string>>")
-
-    def row(item: Column, i: Column) -> Column:
-        confidence = F.coalesce(item["confidence"].try_cast("double"), F.lit(V.DEFAULT_CONFIDENCE))
-        count = F.coalesce(_as_count(item["count"]), F.lit(0))
-        return _row(section, i, item["column"], item["issue_type"], item["example"], count, confidence)
-
-    return F.transform(F.filter(items, lambda item: item.isNotNull()), row)
-
-
-def _list_rows(section: str, text: Column) -> Column:
-    words = F.from_json(text, "array<string>")
-    return F.transform(
-        words, lambda w, i: _row(section, i, w, F.lit(None), w, F.lit(None), F.lit(None))
+    single = F.array(F.struct(F.lit(None).cast("string").alias("field"), text.alias("body")))
+    return (
+        F.when(section.isin(*_MAP_SECTIONS), by_key.cast(f"array<{entry}>"))
+        .when(section == _COUNT_SECTION, single.cast(f"array<{entry}>"))
+        .otherwise(listed.cast(f"array<{entry}>"))
     )
 
 
@@ -90,18 +57,42 @@ def parse_reports(df: DataFrame, keys: Iterable[str], report: str = "report") ->
     """Long rows of every report. A missing or ill-typed section is empty, a
     missing duplicate count is 0 at even confidence; one bad value never loses
     the rest, because each level is read as text before its own parts are typed.
-    Row-wise work: no shuffle."""
+    Three row-wise steps (report -> sections -> statements), no shuffle."""
     keys = list(keys)
     parsed = F.from_json(F.col(report), ", ".join(f"{s} string" for s in SECTIONS))
-    sections = df.select(*keys, parsed.alias("r")).select(*keys, *(F.col(f"r.{s}").alias(s) for s in SECTIONS))
-    parts = [
-        *(_map_rows(s, F.col(s)) for s in _MAP_SECTIONS),
-        _count_rows(F.col(_COUNT_SECTION)),
-        *(_item_rows(s, F.col(s)) for s in _ITEM_SECTIONS),
-        *(_list_rows(s, F.col(s)) for s in _LIST_SECTIONS),
-    ]
-    rows = F.flatten(F.filter(F.array(*parts), lambda part: part.isNotNull()))
-    return sections.select(*keys, F.inline(rows))
+    sections = df.select(*keys, parsed.alias("r")).select(
+        *keys,
+        F.inline(F.array(*(F.struct(F.lit(s).alias("section"), F.col(f"r.{s}").alias("text")) for s in SECTIONS))),
+    )
+    statements = sections.select(
+        *keys, "section", F.posexplode(_entries(F.col("section"), F.col("text"))).alias("seq", "entry")
+    )
+    read = statements.select(
+        *keys, "section", "seq", "entry.field", "entry.body",
+        F.when(
+            ~F.col("section").isin(*_LIST_SECTIONS) & F.ltrim("entry.body").startswith("{"),
+            F.from_json("entry.body", _BODY_SCHEMA),
+        ).alias("s"),
+    )
+    # a statement is {"value": …, "confidence": …} or a bare value at even confidence
+    wrapped = F.coalesce(F.ltrim("body").startswith("{"), F.lit(False))
+    stated = F.coalesce(F.when(wrapped, F.col("s.confidence").try_cast("double")), F.lit(V.DEFAULT_CONFIDENCE))
+    value = F.when(wrapped, F.col("s.value")).otherwise(F.col("body"))
+    is_item = F.col("section").isin(*_ITEM_SECTIONS)
+    is_list = F.col("section").isin(*_LIST_SECTIONS)
+    is_count = F.col("section") == _COUNT_SECTION
+    count = _as_count(F.when(is_item, F.col("s.count")).otherwise(value))
+    count = F.when(is_count | is_item, F.coalesce(count, F.lit(0))).when(~is_list, count)
+    return read.select(
+        *keys, "section", "seq",
+        F.when(is_item, F.col("s.column")).otherwise(F.col("field")).alias("field"),
+        F.when(is_item, F.col("s.issue_type")).alias("issue_type"),
+        F.when(is_item, F.col("s.example")).when(is_count, count.cast("string")).otherwise(value).alias("value"),
+        count.alias("n_reported"),
+        # for the duplicate count a confidence of zero reads as none given
+        F.when(is_list, F.lit(None)).when(is_count & (stated == 0), V.DEFAULT_CONFIDENCE).otherwise(stated)
+        .alias("confidence"),
+    )
 
 
 def merge_reports(first: DataFrame, second: DataFrame, keys: Iterable[str]) -> DataFrame:

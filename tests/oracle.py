@@ -51,7 +51,10 @@ def compare(spark, con, query, sql, sf_dir) -> str | None:
         return f"columns {ours[0]} != {theirs[0]}"
     if len(ours[1]) != len(theirs[1]):
         return f"rows {len(ours[1])} != {len(theirs[1])}: {ours[1][:3]} / {theirs[1][:3]}"
+    if ours[1] != theirs[1]:
+        only_ours, only_theirs = set(ours[1]) - set(theirs[1]), set(theirs[1]) - set(ours[1])
+        return f"{ours[0]}: only ours {sorted(only_ours, key=str)[:3]}, only theirs {sorted(only_theirs, key=str)[:3]}"
     for a, b in zip(ours[1], theirs[1]):
-        if a != b or [type(x) for x in a] != [type(x) for x in b]:
-            return f"{a} != {b}"
+        if [type(x) for x in a] != [type(x) for x in b]:
+            return f"types of {a} != {b}"
     return None
