@@ -21,13 +21,12 @@ SECTIONS = (*_MAP_SECTIONS, _COUNT_SECTION, *_ITEM_SECTIONS, *_LIST_SECTIONS)
 _ROW = ["section", "seq", "field", "issue_type", "value", "n_reported", "confidence"]
 
 
-_BODY_SCHEMA = (
-    "value string, confidence string, column string, issue_type string, example string, count string"
-)
+_BODY_FIELDS = ("value", "confidence", "column", "issue_type", "example", "count")
 
 
 def _as_count(text: Column) -> Column:
-    return text.try_cast("double").try_cast("bigint")
+    # a failed cast is slow, so only text that starts like a number is tried
+    return F.when(text.rlike(r"^\s*[+-]?\.?\d"), text.try_cast("double").try_cast("bigint"))
 
 
 def _entries(section: Column, text: Column) -> Column:
@@ -59,39 +58,44 @@ def parse_reports(df: DataFrame, keys: Iterable[str], report: str = "report") ->
     the rest, because each level is read as text before its own parts are typed.
     Three row-wise steps (report -> sections -> statements), no shuffle."""
     keys = list(keys)
-    parsed = F.from_json(F.col(report), ", ".join(f"{s} string" for s in SECTIONS))
-    sections = df.select(*keys, parsed.alias("r")).select(
-        *keys,
-        F.inline(F.array(*(F.struct(F.lit(s).alias("section"), F.col(f"r.{s}").alias("text")) for s in SECTIONS))),
+    texts = df.select(*keys, F.json_tuple(report, *SECTIONS).alias(*SECTIONS))
+    sections = texts.select(
+        *keys, F.inline(F.array(*(F.struct(F.lit(s).alias("section"), F.col(s).alias("text")) for s in SECTIONS)))
     )
     statements = sections.select(
         *keys, "section", F.posexplode(_entries(F.col("section"), F.col("text"))).alias("seq", "entry")
-    )
+    ).select(*keys, "section", "seq", "entry.field", "entry.body")
+    own = [f"s_{name}" for name in _BODY_FIELDS]
+    is_object = ~F.col("section").isin(*_LIST_SECTIONS) & F.ltrim("body").startswith("{")
     read = statements.select(
-        *keys, "section", "seq", "entry.field", "entry.body",
-        F.when(
-            ~F.col("section").isin(*_LIST_SECTIONS) & F.ltrim("entry.body").startswith("{"),
-            F.from_json("entry.body", _BODY_SCHEMA),
-        ).alias("s"),
+        *keys, "section", "seq", "field", "body",
+        F.json_tuple(F.when(is_object, F.col("body")), *_BODY_FIELDS).alias(*own),
     )
     # a statement is {"value": …, "confidence": …} or a bare value at even confidence
-    wrapped = F.coalesce(F.ltrim("body").startswith("{"), F.lit(False))
-    stated = F.coalesce(F.when(wrapped, F.col("s.confidence").try_cast("double")), F.lit(V.DEFAULT_CONFIDENCE))
-    value = F.when(wrapped, F.col("s.value")).otherwise(F.col("body"))
     is_item = F.col("section").isin(*_ITEM_SECTIONS)
     is_list = F.col("section").isin(*_LIST_SECTIONS)
     is_count = F.col("section") == _COUNT_SECTION
-    count = _as_count(F.when(is_item, F.col("s.count")).otherwise(value))
-    count = F.when(is_count | is_item, F.coalesce(count, F.lit(0))).when(~is_list, count)
-    return read.select(
+    wrapped = F.coalesce(F.ltrim("body").startswith("{"), F.lit(False))
+    stated = read.select(
         *keys, "section", "seq",
-        F.when(is_item, F.col("s.column")).otherwise(F.col("field")).alias("field"),
-        F.when(is_item, F.col("s.issue_type")).alias("issue_type"),
-        F.when(is_item, F.col("s.example")).when(is_count, count.cast("string")).otherwise(value).alias("value"),
-        count.alias("n_reported"),
-        # for the duplicate count a confidence of zero reads as none given
-        F.when(is_list, F.lit(None)).when(is_count & (stated == 0), V.DEFAULT_CONFIDENCE).otherwise(stated)
-        .alias("confidence"),
+        F.when(is_item, F.col("s_column")).otherwise(F.col("field")).alias("field"),
+        F.when(is_item, F.col("s_issue_type")).alias("issue_type"),
+        F.when(is_item, F.col("s_example")).when(wrapped, F.col("s_value")).otherwise(F.col("body")).alias("value"),
+        F.when(is_item, F.col("s_count")).when(wrapped, F.col("s_value")).when(~is_list, F.col("body")).alias("count"),
+        F.when(wrapped, F.col("s_confidence")).alias("confidence"),
+    )
+    counted = stated.withColumns({
+        "n_reported": F.when(is_count | is_item, F.coalesce(_as_count(F.col("count")), F.lit(0)))
+        .otherwise(_as_count(F.col("count"))),
+        "confidence": F.coalesce(F.col("confidence").try_cast("double"), F.lit(V.DEFAULT_CONFIDENCE)),
+    })
+    # for the duplicate count a confidence of zero reads as none given
+    unsure = is_count & (F.col("confidence") == 0)
+    return counted.select(
+        *keys, "section", "seq", "field", "issue_type",
+        F.when(is_count, F.col("n_reported").cast("string")).otherwise(F.col("value")).alias("value"),
+        "n_reported",
+        F.when(unsure, V.DEFAULT_CONFIDENCE).when(~is_list, F.col("confidence")).alias("confidence"),
     )
 
 

@@ -47,7 +47,12 @@ REPORTS = f"reports AS (SELECT o_orderkey AS run_id, o_custkey AS c, {REPORT} AS
 
 
 def _reports(spark, sf) -> DataFrame:
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("run_id"), F.expr(REPORT).alias("report"))
+    """Rows are spread by run while they are still two numbers wide: reading a
+    report is heavy work for few input bytes, and the later fold by run then
+    finds its partitioning and moves nothing again."""
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    runs = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_orderkey").alias("run_id"))
+    return runs.repartition(n, "run_id").select("run_id", F.expr(REPORT).alias("report"))
 
 
 def _rows(spark, sf) -> DataFrame:
