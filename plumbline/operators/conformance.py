@@ -50,14 +50,19 @@ def violating_rows(df: DataFrame, predicate: Column) -> DataFrame:
 def violation_examples(df: DataFrame, column: str, violations: dict[str, Column]) -> DataFrame:
     """(issue_type, n_bad, example) for several checks of one column. The
     example is the smallest offending value, so it never changes between runs."""
-    wide = df.agg(
+    issues = list(violations)
+    # verdicts first, so that each predicate is evaluated once for both its count and its example
+    judged = df.select(
+        F.col(column).cast("string").alias("text"), *(bad.alias(f"bad_{i}") for i, bad in enumerate(violations.values()))
+    )
+    wide = judged.agg(
         *(
             F.struct(
                 F.lit(issue).alias("issue_type"),
-                F.count_if(bad).alias("n_bad"),
-                F.min(F.when(bad, F.col(column).cast("string"))).alias("example"),
-            ).alias(issue)
-            for issue, bad in violations.items()
+                F.count_if(f"bad_{i}").alias("n_bad"),
+                F.min(F.when(F.col(f"bad_{i}"), F.col("text"))).alias("example"),
+            ).alias(f"found_{i}")
+            for i, issue in enumerate(issues)
         )
     )
-    return wide.select(F.inline(F.array(*(F.col(issue) for issue in violations))))
+    return wide.select(F.inline(F.array(*(F.col(f"found_{i}") for i in range(len(issues))))))

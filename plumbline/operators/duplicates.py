@@ -139,10 +139,12 @@ def _mark_matched(records: DataFrame, groups: DataFrame, columns: list[str],
     )
     # records are distinct, so each joins at most one group per set
     exploded = records.select(*columns, "n_copies", F.inline(blocks))
-    keys = groups.select("set_id", *(F.col(c).alias(f"block_{c}") for c in columns))
-    hits = join_rows_with_keys(
-        exploded, keys.withColumn("hit", F.lit(1)), ["set_id", *(f"block_{c}" for c in columns)], "left"
+    # a group meets as many rows as it has variants
+    keys = groups.select(
+        "set_id", *(F.col(c).alias(f"block_{c}") for c in columns),
+        F.col("n_variants").alias("n_rows"), F.lit(1).alias("hit"),
     )
+    hits = join_rows_with_keys(exploded, keys, ["set_id", *(f"block_{c}" for c in columns)], "left")
     return hits.groupBy(*columns).agg(
         F.max("n_copies").alias("n_copies"), (F.count("hit") > 0).alias("matched")
     )
@@ -154,3 +156,24 @@ def near_duplicate_count(df: DataFrame, columns: Iterable[str], anchors: Iterabl
         F.count(F.lit(1)).alias("n_groups"),
         F.coalesce(F.sum("n_new"), F.lit(0)).alias("n_records"),
     )
+
+
+def near_duplicate_count_wide(df: DataFrame, columns: Iterable[str], anchors: Iterable[str] = ()) -> DataFrame:
+    """As ``near_duplicate_count`` for one change in wide records: the shuffles
+    carry fingerprints of a record and of its leave-one-out blocks instead of
+    the columns."""
+    columns, anchors = list(columns), list(anchors)
+    _check_anchors(columns, anchors, 1)
+    blocks = F.array(*(
+        F.struct(
+            F.lit(i).alias("set_id"),
+            F.unhex(record_digest(df, [c for c in columns if c not in left_out])).alias("block"),
+        )
+        for i, left_out in enumerate(_leave_out_sets(columns, anchors, 1))
+    ))
+    exploded = df.select(F.unhex(record_digest(df, columns)).alias("record"), F.inline(blocks))
+    variants = exploded.distinct().groupBy("set_id", "block").agg(F.count(F.lit(1)).alias("n_variants"))
+    return variants.where(F.col("n_variants") > 1).agg(
+        F.count(F.lit(1)).alias("n_groups"),
+        F.coalesce(F.sum("n_variants"), F.lit(0)).alias("n_records"),
+    )

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import vocabulary as V
-from ..functions.columns import disguised_null, missing, row_has_missing
+from ..functions.columns import disguised_null, row_has_missing
 
 
 def _per_column(df: DataFrame, columns: Iterable[str], counters: dict[str, Callable[[str], Column]]) -> DataFrame:
@@ -42,11 +42,10 @@ def missing_counts(df: DataFrame, columns: Iterable[str], tokens: Iterable[str]
     return _per_column(
         df,
         columns,
-        {
-            "n_null": lambda c: F.col(c).isNull(),
-            "n_disguised": lambda c: disguised_null(c, tokens),
-            "n_missing": lambda c: missing(c, tokens),
-        },
+        {"n_null": lambda c: F.col(c).isNull(), "n_disguised": lambda c: disguised_null(c, tokens)},
+    ).select(
+        # a value is never both, so the total is their sum
+        "column_name", "n_null", "n_disguised", (F.col("n_null") + F.col("n_disguised")).alias("n_missing"), "n_rows"
     )
 
 

@@ -2,8 +2,8 @@
 
 Counts fold the child table to one row per key before any join, so the join
 sees distinct keys and a hot key weighs as much as any other. Row-returning
-variants find the offending keys that way and then pick the rows with a salted
-semi join.
+variants find the offending keys that way and then pick their rows with a semi
+join that salts the hot ones.
 """
 
 from __future__ import annotations
@@ -32,8 +32,7 @@ def orphan_count(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataF
 
 
 def orphan_rows(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
-    keys = _orphan_keys(child, fk, parent, pk).select(fk)
-    found = join_rows_with_keys(child.where(F.col(fk).isNotNull()), keys, [fk])
+    found = join_rows_with_keys(child.where(F.col(fk).isNotNull()), _orphan_keys(child, fk, parent, pk), [fk])
     return found.unionByName(child.where(F.col(fk).isNull()))
 
 
@@ -85,16 +84,18 @@ def aggregate_mismatch_count(*args, **options) -> DataFrame:
     return aggregate_mismatches(*args, **options).agg(F.count(F.lit(1)).alias("aggregate_count"))
 
 
+def _childless_keys(parent: DataFrame, pk: str, child: DataFrame, fk: str) -> DataFrame:
+    counts = parent.groupBy(pk).agg(F.count(F.lit(1)).alias("n_rows"))
+    known = child.select(F.col(fk).alias(pk)).distinct()
+    return counts.join(known, pk, "left_anti")
+
+
 def childless_parents(parent: DataFrame, pk: str, child: DataFrame, fk: str) -> DataFrame:
-    """Parent rows no child points to. The child side is folded to distinct
-    keys, so the row side is the salted one."""
-    return join_rows_with_keys(parent, child.select(F.col(fk).alias(pk)).where(F.col(pk).isNotNull()).distinct(),
-                               [pk], "left_anti")
+    """Parent rows no child points to; a NULL key has no children."""
+    return join_rows_with_keys(parent, _childless_keys(parent, pk, child, fk), [pk])
 
 
 def childless_count(parent: DataFrame, pk: str, child: DataFrame, fk: str) -> DataFrame:
-    counts = parent.groupBy(pk).agg(F.count(F.lit(1)).alias("n_rows"))
-    known = child.select(F.col(fk).alias(pk)).distinct()
-    return counts.join(known, pk, "left_anti").agg(
+    return _childless_keys(parent, pk, child, fk).agg(
         F.coalesce(F.sum("n_rows"), F.lit(0)).alias("childless_count")
     )

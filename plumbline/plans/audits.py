@@ -21,14 +21,15 @@ def duplicate_findings(df: DataFrame, table_name: str, columns: Iterable[str], a
     columns, anchors = list(columns), list(anchors)
     records = U.distinct_records(df, columns)
     exact = records.agg(
-        F.coalesce(F.sum(F.col("n_copies") - 1), F.lit(0)).alias("bad"),
+        F.coalesce(F.sum(F.col("n_copies") - 1), F.lit(0)).alias("exact"),
+        F.lit(0).cast("bigint").alias("near"),
         F.coalesce(F.sum("n_copies"), F.lit(0)).alias("n"),
     )
-    near = U.near_duplicate_count(df, columns, anchors, max_changed).select(F.col("n_records").alias("bad"))
-    # both sides are single rows; counts of the same pass give the denominator
-    both = exact.select(F.lit(1).alias("k"), F.col("bad").alias("exact"), "n").join(
-        F.broadcast(near.select(F.lit(1).alias("k"), F.col("bad").alias("near"))), "k"
+    zero = F.lit(0).cast("bigint")
+    near = U.near_duplicate_count(df, columns, anchors, max_changed).select(
+        zero.alias("exact"), F.col("n_records").alias("near"), zero.alias("n")
     )
+    both = exact.unionByName(near).agg(*(F.sum(c).alias(c) for c in ("exact", "near", "n")))
     name = ",".join(columns)
     return as_rows(
         both,
@@ -76,14 +77,14 @@ def mean_shift_finding(base: DataFrame, current: DataFrame, table_name: str, col
 
 
 def new_category_findings(base: DataFrame, current: DataFrame, table_name: str, column: str) -> DataFrame:
-    """One row per category only the current snapshot has. The table size is
-    counted on its own and joined as a single row."""
+    """One row per category only the current snapshot has; the table size is a
+    scalar subquery."""
+    size = current.agg(F.count(F.lit(1))).scalar()
     found = D.new_categories(base, current, column).select(
-        F.lit(1).alias("k"), F.col(column).cast("string").alias("category"), F.col("n_rows").alias("bad")
+        F.col(column).cast("string").alias("category"), F.col("n_rows").alias("bad"), size.alias("n")
     )
-    size = current.agg(F.lit(1).alias("k"), F.count(F.lit(1)).alias("n"))
     return as_rows(
-        found.join(F.broadcast(size), "k"),
+        found,
         finding("new_category", table_name, column, "new_category", F.col("bad"), F.col("n"), F.col("category")),
     )
 

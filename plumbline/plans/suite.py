@@ -73,10 +73,15 @@ def run_checks(df: DataFrame, table_name: str, checks: Iterable[RowCheck]) -> Da
     """Findings of all checks from one pass. Repeated checks run once. The
     example is the smallest offending value."""
     checks = list(dict.fromkeys(checks))
-    counted = df.agg(
+    # verdicts first, so that each predicate is evaluated once for both its count and its example
+    judged = df.select(
+        *(c.bad.alias(f"bad_{i}") for i, c in enumerate(checks)),
+        *(c.text().alias(f"text_{i}") for i, c in enumerate(checks)),
+    )
+    counted = judged.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        *(F.count_if(c.bad).alias(f"bad_{i}") for i, c in enumerate(checks)),
-        *(F.min(F.when(c.bad, c.text())).alias(f"example_{i}") for i, c in enumerate(checks)),
+        *(F.count_if(f"bad_{i}").alias(f"bad_{i}") for i in range(len(checks))),
+        *(F.min(F.when(F.col(f"bad_{i}"), F.col(f"text_{i}"))).alias(f"example_{i}") for i in range(len(checks))),
     )
     return as_rows(
         counted,

@@ -62,6 +62,11 @@ def near_duplicate_count(spark, sf):
     return U.near_duplicate_count(customers_with_near_copies(spark, sf), RECORD, anchors=["c_name"])
 
 
+@query(f"SELECT COUNT(*) AS n_groups, CAST(COALESCE(SUM(n_new), 0) AS BIGINT) AS n_records FROM ({_NEAR}) g")
+def near_duplicate_count_by_fingerprint(spark, sf):
+    return U.near_duplicate_count_wide(customers_with_near_copies(spark, sf), RECORD, anchors=["c_name"])
+
+
 _MATCHED = " OR ".join(
     "COUNT(*) OVER (PARTITION BY " + ", ".join(c for c in RECORD if c not in s) + ") > 1" for s in _ONE
 )

@@ -131,25 +131,28 @@ def test_repeated_parent_meets_its_lines_as_often(spark, rows):
 
 
 # --- the salted join -----------------------------------------------------------------
+@pytest.mark.parametrize("hot_from", [1, 2, 1000])
 @pytest.mark.parametrize("how, expected", [
     ("left_semi", [1, 1, None]), ("left_anti", [2, 3]), ("left", [1, 1, 2, 3, None]), ("inner", [1, 1, None]),
 ])
-def test_salted_join_matches_a_plain_one(spark, how, expected):
+def test_salted_join_matches_a_plain_one(spark, how, expected, hot_from):
     left = spark.createDataFrame([(1,), (1,), (2,), (3,), (None,)], "k long").repartition(3)
-    keys = spark.createDataFrame([(1, "a"), (None, "b"), (7, "c")], "k long, tag string")
-    got = join_rows_with_keys(left, keys, ["k"], how)
+    keys = spark.createDataFrame([(1, "a", 2), (None, "b", 1), (7, "c", 0)], "k long, tag string, n_rows long")
+    got = join_rows_with_keys(left, keys, ["k"], how, hot_from=hot_from, salts=4)
     assert sorted((r.k for r in got.collect()), key=lambda k: (k is None, k)) == expected
     assert got.columns == (["k", "tag"] if how in ("left", "inner") else ["k"])
 
 
-def test_salted_join_spreads_a_hot_key(spark):
+@pytest.mark.parametrize("hot_from, spread_out", [(10000, True), (10**9, False)])
+def test_salted_join_spreads_a_hot_key(spark, hot_from, spread_out):
     left = spark.range(0, 40000, numPartitions=16).select(F.lit(1).alias("k"), "id")
-    keys = spark.createDataFrame([(1,)], "k int")
+    keys = spark.createDataFrame([(1, 40000)], "k int, n_rows long")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        spread = join_rows_with_keys(left, keys, ["k"]).groupBy(F.spark_partition_id()).count().collect()
+        joined = join_rows_with_keys(left, keys, ["k"], hot_from=hot_from)
+        tasks = joined.groupBy(F.spark_partition_id()).count().collect()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert sum(r["count"] for r in spread) == 40000 and len(spread) > 1
+    assert sum(r["count"] for r in tasks) == 40000 and (len(tasks) > 1) == spread_out
