@@ -9,6 +9,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..session import durable
 from .spread import join_rows_with_keys
 
 
@@ -104,21 +105,21 @@ def near_duplicate_groups(df: DataFrame, columns: Iterable[str], anchors: Iterab
     ones = _leave_out_sets(columns, anchors, 1)
     copies = F.sum("n_copies").alias("n_rows")
     level1 = _leave_out_groups(records, columns, ones, copies).where(F.col("n_variants") > 1)
-    output = ["left_out", *columns, "n_variants", "n_new", "n_rows"]
-    found = level1.select(
-        _set_name(columns, ones).alias("left_out"), *columns, "n_variants",
-        F.col("n_variants").alias("n_new"), "n_rows",
-    )
+
+    def shown(groups: DataFrame, sets: list[tuple[str, ...]], n_new: Column) -> DataFrame:
+        return groups.select(_set_name(columns, sets).alias("left_out"), *columns, "n_variants", n_new, "n_rows")
+
+    every = F.col("n_variants").alias("n_new")
     if max_changed == 1:
-        return found.select(*output)
+        return shown(level1, ones, every)
+    # the groups found so far are used several times below: written once
+    level1 = durable(level1)
     twos = _leave_out_sets(columns, anchors, 2)
     marked = _mark_matched(records, level1, columns, ones)
     level2 = _leave_out_groups(
         marked, columns, twos, F.count_if(~F.col("matched")).alias("n_new"), copies
     ).where((F.col("n_variants") > 1) & (F.col("n_new") > 0))
-    return found.select(*output).unionByName(
-        level2.select(_set_name(columns, twos).alias("left_out"), *columns, "n_variants", "n_new", "n_rows")
-    )
+    return shown(level1, ones, every).unionByName(shown(level2, twos, F.col("n_new")))
 
 
 def _mark_matched(records: DataFrame, groups: DataFrame, columns: list[str],

@@ -17,24 +17,28 @@ def duplicate_findings(df: DataFrame, table_name: str, columns: Iterable[str], a
                        max_changed: int = 1) -> DataFrame:
     """Exact and near duplicates. Both read the same counted records, a shuffle
     Spark runs once. ``n_bad`` is the rows beyond the first copy, or the records
-    in a near-duplicate group."""
+    in near-duplicate groups; the example of the latter tells how many groups
+    and rows those are."""
     columns, anchors = list(columns), list(anchors)
-    records = U.distinct_records(df, columns)
-    exact = records.agg(
-        F.coalesce(F.sum(F.col("n_copies") - 1), F.lit(0)).alias("exact"),
-        F.lit(0).cast("bigint").alias("near"),
-        F.coalesce(F.sum("n_copies"), F.lit(0)).alias("n"),
-    )
     zero = F.lit(0).cast("bigint")
-    near = U.near_duplicate_count(df, columns, anchors, max_changed).select(
-        zero.alias("exact"), F.col("n_records").alias("near"), zero.alias("n")
+    exact = U.distinct_records(df, columns).agg(
+        F.sum(F.col("n_copies") - 1).alias("exact"), F.sum("n_copies").alias("n"),
+        *(zero.alias(c) for c in ("near", "n_groups", "n_near_rows")),
+    )
+    near = U.near_duplicate_groups(df, columns, anchors, max_changed).agg(
+        zero.alias("exact"), zero.alias("n"), F.sum("n_new").alias("near"),
+        F.count(F.lit(1)).alias("n_groups"), F.sum("n_rows").alias("n_near_rows"),
+    )
+    both = exact.unionByName(near).agg(
+        *(F.coalesce(F.sum(c), zero).alias(c) for c in exact.columns)
     )
-    both = exact.unionByName(near).agg(*(F.sum(c).alias(c) for c in ("exact", "near", "n")))
+    groups = F.format_string("%d groups, %d rows", "n_groups", "n_near_rows")
     name = ",".join(columns)
     return as_rows(
         both,
         finding("exact_duplicates", table_name, name, "exact_duplicate", F.col("exact"), F.col("n")),
-        finding("near_duplicates", table_name, name, "near_duplicate_pattern", F.col("near"), F.col("n")),
+        finding("near_duplicates", table_name, name, "near_duplicate_pattern", F.col("near"), F.col("n"),
+                groups),
     )
 
 

@@ -42,7 +42,9 @@ _COPIES = " UNION ALL ".join((
     _finding("exact_duplicates", "customer", _RECORD_NAME, "exact_duplicate",
              f"({_excess('customers', ', '.join(RECORD))})", "CAST(NULL AS VARCHAR)", 0.88, "customers"),
     _finding("near_duplicates", "customer", _RECORD_NAME, "near_duplicate_pattern",
-             f"(SELECT COALESCE(SUM(n_new), 0) FROM ({_NEAR}) g)", "CAST(NULL AS VARCHAR)", 0.55, "customers"),
+             f"(SELECT COALESCE(SUM(n_new), 0) FROM ({_NEAR}) g)",
+             f"(SELECT printf('%d groups, %d rows', COUNT(*), COALESCE(SUM(n_rows), 0)) FROM ({_NEAR}) g)", 0.55,
+             "customers"),
 ))
 _DIRTY_CUSTOMERS = CUSTOMERS_WITH_NULLS.replace("customers AS", "dirty_customers AS")
 NULLS_DUPLICATES = f"WITH {_DIRTY_CUSTOMERS}, {CUSTOMERS_WITH_NEAR_COPIES} {_NULLS} UNION ALL {_COPIES}"
