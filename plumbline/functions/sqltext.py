@@ -22,9 +22,13 @@ def statement(sql: ColumnLike) -> Column:
     return F.regexp_replace(outer, r";+$", "")
 
 
+def statement_key(text: ColumnLike) -> Column:
+    return F.lower(F.regexp_replace(col(text), r"\s+", " "))
+
+
 def query_key(sql: ColumnLike) -> Column:
     """Equal for texts that differ only in case, spacing and a closing semicolon."""
-    return F.lower(F.regexp_replace(statement(sql), r"\s+", " "))
+    return statement_key(statement(sql))
 
 
 def referenced_tables(sql: ColumnLike) -> Column:

@@ -66,18 +66,18 @@ def novel_reference_share(base: DataFrame, current: DataFrame, key: str) -> Data
 def distribution_shift(base: DataFrame, current: DataFrame, column: str, quantiles: Iterable[float] = (0.25, 0.5, 0.75),
                        exact: bool = True) -> DataFrame:
     """(statistic, baseline_value, current_value, delta): standard deviation and percentiles."""
-    quantiles = list(quantiles)
     find = exact_percentiles if exact else approx_percentiles
-    spread = tagged(base, current, column).agg(
+    both = tagged(base, current, column)
+    spread = both.agg(
         F.lit("stddev").alias("statistic"),
         F.stddev_samp(of_baseline(column)).alias("baseline_value"),
         F.stddev_samp(of_current(column)).alias("current_value"),
     )
-    before = find(base, column, quantiles).withColumnRenamed("value", "baseline_value")
-    after = find(current, column, quantiles).withColumnRenamed("value", "current_value")
-    # one row per requested quantile on either side
-    percentiles = before.join(F.broadcast(after), "quantile").select(
-        F.concat(F.lit("p"), F.round(F.col("quantile") * 100).cast("int").cast("string")).alias("statistic"),
+    percent = F.round(F.col("quantile") * 100, 2).cast("string")
+    percentiles = find(both, column, list(quantiles), by="is_current").groupBy("quantile").agg(
+        F.max(of_baseline("value")).alias("baseline_value"), F.max(of_current("value")).alias("current_value"),
+    ).select(
+        F.concat(F.lit("p"), F.regexp_replace(percent, r"\.0$", "")).alias("statistic"),
         "baseline_value", "current_value",
     )
     return spread.unionByName(percentiles).withColumn("delta", F.col("current_value") - F.col("baseline_value"))

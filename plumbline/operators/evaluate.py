@@ -1,8 +1,8 @@
 """Grading many reports against the truth.
 
 Input: report rows as ``parse_reports`` makes them and one truth row per run.
-Each grader keeps the sections it needs (a filter that moves below the parsing),
-folds the rows of a run into its few relevant statements (the first in report
+Each grader keeps the sections it needs (pass them to ``parse_reports`` to skip
+the others while reading), folds the rows of a run into its few relevant statements (the first in report
 order wins, found by a minimum that combines before the shuffle), joins the
 truth on the run and scores all runs by projections. A run with a third of all
 rows is folded like any other. Scores are computed in steps, so that every
@@ -16,6 +16,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import scoring as S, vocabulary as V
 
 
+# the report sections each grader reads
+NULLS_SECTIONS = ("null_issues", "duplicate_row_count", "schema_violations")
+CONFORMANCE_SECTIONS = ("schema_violations",)
+DRIFT_SECTIONS = ("drift_details", "recommended_fixes")
+RELATIONAL_SECTIONS = ("relational_issues",)
+
+
 def _in(section: str) -> Column:
     return F.col("section") == section
 
@@ -76,7 +83,7 @@ def grade_nulls_duplicates(rows: DataFrame, truth: DataFrame, run: str, monotone
                            text_field: str = "email", key_field: str = "customer_id") -> DataFrame:
     """Truth columns: null_text, null_key, exact_duplicates."""
     folded = _fold(
-        rows, truth, run, ("null_issues", "duplicate_row_count", "schema_violations"),
+        rows, truth, run, NULLS_SECTIONS,
         *_first_count("text", _is_entry("null_issues", text_field)),
         *_first_count("key", _is_entry("null_issues", key_field)),
         *_first_count("copies", _in("duplicate_row_count")),
@@ -103,7 +110,7 @@ def grade_conformance(rows: DataFrame, truth: DataFrame, run: str, monotone: boo
     on_amount = S.mentions("field", "amount")
     unparseable = S.mentions("issue_type", "unparseable") | (on_amount & S.mentions("issue_type", "invalid"))
     folded = _fold(
-        rows, truth, run, ("schema_violations",),
+        rows, truth, run, CONFORMANCE_SECTIONS,
         _exists("type", on_amount & S.mentions("issue_type", "type")),
         *_first("amount", on_amount, "confidence"),
         *_first("date", S.mentions("field", "date"), "confidence"),
@@ -125,7 +132,7 @@ def grade_drift(rows: DataFrame, truth: DataFrame, run: str, measure: str = "amo
     """Truth columns: new_categories (comma-separated), reference_share."""
     fields = ("value", "confidence")
     folded = _fold(
-        rows, truth, run, ("drift_details", "recommended_fixes"),
+        rows, truth, run, DRIFT_SECTIONS,
         *_first("measure", _is_entry("drift_details", measure), *fields),
         *_first("category", _is_entry("drift_details", category), *fields),
         *_first("reference", _is_entry("drift_details", reference), *fields),
@@ -164,7 +171,7 @@ def grade_relational(rows: DataFrame, truth: DataFrame, run: str, monotone: bool
         for words in _RELATIONAL_WORDS.values() for word in words
         for column in _first_count(word, S.mentions("issue_type", word))
     ]
-    folded = _fold(rows, truth, run, ("relational_issues",), *lookups)
+    folded = _fold(rows, truth, run, RELATIONAL_SECTIONS, *lookups)
 
     def by_first_word(words: tuple[str, ...], field: str) -> Column:
         chosen = F.lit(None)

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..session import durable
 
 
-def exact_percentiles(df: DataFrame, column: str, quantiles: Iterable[float]) -> DataFrame:
-    """(quantile, value), interpolated between neighbours.
+def exact_percentiles(df: DataFrame, column: str, quantiles: Iterable[float], by: str | None = None) -> DataFrame:
+    """([by,] quantile, value), interpolated between neighbours. ``by`` splits
+    the rows into a few groups, such as two snapshots.
 
     The built-in exact percentile keeps every distinct value of the group in
     one task. Here equal values are first folded into (value, count), then
@@ -20,26 +21,24 @@ def exact_percentiles(df: DataFrame, column: str, quantiles: Iterable[float]) ->
     folder, because a range sort computed twice may cut differently.
     """
     quantiles = list(quantiles)
-    value = F.col(column).cast("double")
+    group = F.lit(True) if by is None else F.col(by)
     counts = (
-        df.select(value.alias("v"))
+        df.select(group.alias("g"), F.col(column).cast("double").alias("v"))
         .where(F.col("v").isNotNull() & ~F.isnan("v"))
-        .groupBy("v")
+        .groupBy("g", "v")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    ranged = durable(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    ranged = durable(counts.repartitionByRange("g", "v").withColumn("part", F.spark_partition_id()))
 
-    # one row per range: as many as there are shuffle partitions
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # one row per group and range: as many as there are shuffle partitions and groups
+    before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        ranged.groupBy("part")
+        ranged.groupBy("g", "part")
         .agg(F.sum("n").alias("n_part"))
         .select(
-            "part",
-            "n_part",
+            "g", "part", "n_part",
             F.coalesce(F.sum("n_part").over(before), F.lit(0)).alias("offset"),
-            F.sum("n_part").over(everything).alias("total"),
+            F.sum("n_part").over(Window.partitionBy("g")).alias("total"),
         )
     )
 
@@ -54,9 +53,9 @@ def exact_percentiles(df: DataFrame, column: str, quantiles: Iterable[float]) ->
         for rank in (F.floor(position(q)), F.ceil(position(q))):
             wanted = wanted | holds(rank, F.col("offset"), F.col("n_part"))
 
-    inside = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ranged.join(F.broadcast(offsets.where(wanted)), "part").select(
-        "v", "n", "total",
+    inside = Window.partitionBy("g", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = ranged.join(F.broadcast(offsets.where(wanted)), ["g", "part"]).select(
+        "g", "v", "n", "total",
         (F.col("offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("start"),
     )
 
@@ -68,14 +67,17 @@ def exact_percentiles(df: DataFrame, column: str, quantiles: Iterable[float]) ->
         low, high = value_at(F.floor(position(q))), value_at(F.ceil(position(q)))
         fraction = F.max(position(q) - F.floor(position(q)))
         rows.append(F.struct(F.lit(float(q)).alias("quantile"), (low + (high - low) * fraction).alias("value")))
-    return ranked.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    found = ranked.groupBy("g").agg(F.array(*rows).alias("rows"))
+    return found.select(*([] if by is None else [F.col("g").alias(by)]), F.inline("rows"))
 
 
-def approx_percentiles(df: DataFrame, column: str, quantiles: Iterable[float], accuracy: int = 10000) -> DataFrame:
-    """(quantile, value) from one pass with a bounded sketch per task."""
+def approx_percentiles(df: DataFrame, column: str, quantiles: Iterable[float], by: str | None = None,
+                       accuracy: int = 10000) -> DataFrame:
+    """([by,] quantile, value) from one pass with a bounded sketch per task and group."""
     quantiles = [float(q) for q in quantiles]
-    found = df.agg(
+    keys = [] if by is None else [by]
+    found = df.groupBy(*keys).agg(
         F.percentile_approx(F.col(column).cast("double"), quantiles, accuracy).alias("found")
     )
     pairs = F.arrays_zip(F.array(*map(F.lit, quantiles)).alias("quantile"), F.col("found").alias("value"))
-    return found.select(F.inline(pairs).alias("quantile", "value"))
+    return found.select(*keys, F.inline(pairs).alias("quantile", "value"))

@@ -13,18 +13,12 @@ def flag_statements(log: DataFrame, sql: str = "query") -> DataFrame:
     return log.withColumn("is_read_only", Q.is_read_only(sql)).withColumn("is_destructive", Q.is_destructive(sql))
 
 
-def _safe(log: DataFrame, sql: str) -> DataFrame:
-    text = Q.statement(sql)
-    return log.where((text != "") & Q.is_read_only(text) & ~Q.is_destructive(text))
-
-
 def distinct_queries(log: DataFrame, order: str, sql: str = "query") -> DataFrame:
     """(query_key, first_query, first_seen, n_uses) of the safe statements. The
     earliest spelling is found by a minimum, not by sorting each group."""
-    safe = _safe(log, sql).select(
-        Q.query_key(sql).alias("query_key"), F.struct(F.col(order), Q.statement(sql).alias("text")).alias("use")
-    )
-    return safe.groupBy("query_key").agg(F.min("use").alias("first"), F.count(F.lit(1)).alias("n_uses")).select(
+    safe = log.where(Q.is_read_only(sql) & ~Q.is_destructive(sql)).select(order, Q.statement(sql).alias("text"))
+    uses = safe.select(Q.statement_key("text").alias("query_key"), F.struct(order, "text").alias("use"))
+    return uses.groupBy("query_key").agg(F.min("use").alias("first"), F.count(F.lit(1)).alias("n_uses")).select(
         "query_key", F.col("first.text").alias("first_query"), F.col(f"first.{order}").alias("first_seen"), "n_uses"
     )
 

@@ -52,17 +52,19 @@ def _entries(section: Column, text: Column) -> Column:
     )
 
 
-def parse_reports(df: DataFrame, keys: Iterable[str], report: str = "report") -> DataFrame:
-    """Long rows of every report. A missing or ill-typed section is empty, a
+def parse_reports(df: DataFrame, keys: Iterable[str], report: str = "report",
+                  sections: Iterable[str] = SECTIONS) -> DataFrame:
+    """Long rows of every report, or of some sections of it (the others are
+    skipped over while reading). A missing or ill-typed section is empty, a
     missing duplicate count is 0 at even confidence; one bad value never loses
     the rest, because each level is read as text before its own parts are typed.
     Three row-wise steps (report -> sections -> statements), no shuffle."""
-    keys = list(keys)
-    texts = df.select(*keys, F.json_tuple(report, *SECTIONS).alias(*SECTIONS))
-    sections = texts.select(
-        *keys, F.inline(F.array(*(F.struct(F.lit(s).alias("section"), F.col(s).alias("text")) for s in SECTIONS)))
+    keys, wanted = list(keys), [s for s in SECTIONS if s in set(sections)]
+    texts = df.select(*keys, F.json_tuple(report, *wanted).alias(*wanted))
+    by_section = texts.select(
+        *keys, F.inline(F.array(*(F.struct(F.lit(s).alias("section"), F.col(s).alias("text")) for s in wanted)))
     )
-    statements = sections.select(
+    statements = by_section.select(
         *keys, "section", F.posexplode(_entries(F.col("section"), F.col("text"))).alias("seq", "entry")
     ).select(*keys, "section", "seq", "entry.field", "entry.body")
     own = [f"s_{name}" for name in _BODY_FIELDS]

@@ -46,17 +46,21 @@ CASE {_K} % 8 WHEN 0 THEN '"Monitor categories"' ELSE '"Cast amounts"' END || ']
 REPORTS = f"reports AS (SELECT o_orderkey AS run_id, o_custkey AS c, {REPORT} AS report FROM orders)"
 
 
-def _reports(spark, sf) -> DataFrame:
-    """Rows are spread by run while they are still two numbers wide: reading a
-    report is heavy work for few input bytes, and the later fold by run then
-    finds its partitioning and moves nothing again."""
+def _runs(spark, sf) -> DataFrame:
+    """One run per order, spread by run while rows are still two numbers wide:
+    reading a report is heavy work for few input bytes, and both the fold by run
+    and the join with the truth then find their partitioning."""
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     runs = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_orderkey").alias("run_id"))
-    return runs.repartition(n, "run_id").select("run_id", F.expr(REPORT).alias("report"))
+    return runs.repartition(n, "run_id")
+
 
+def _reports(spark, sf) -> DataFrame:
+    return _runs(spark, sf).select("run_id", F.expr(REPORT).alias("report"))
 
-def _rows(spark, sf) -> DataFrame:
-    return R.parse_reports(_reports(spark, sf), ["run_id"])
+
+def _rows(spark, sf, sections=R.SECTIONS) -> DataFrame:
+    return R.parse_reports(_reports(spark, sf), ["run_id"], sections=sections)
 
 
 def _count(x):
@@ -121,9 +125,9 @@ TRUTH = """truth AS (
 
 
 def _truth(spark, sf) -> DataFrame:
-    key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    return table(spark, sf, "orders").select(
-        key.alias("run_id"), (cust % 13).alias("null_text"), (cust % 5).alias("null_key"),
+    cust = F.col("o_custkey")
+    return _runs(spark, sf).select(
+        "run_id", (cust % 13).alias("null_text"), (cust % 5).alias("null_key"),
         (cust % 11).alias("exact_duplicates"), (cust % 17).alias("negative_quantity"),
         F.when(cust % 3 == 0, "crypto,NFT").when(cust % 3 == 1, "crypto").otherwise("").alias("new_categories"),
         F.lit(0.15).alias("reference_share"), (cust % 19).alias("orphaned_count"),
@@ -182,7 +186,7 @@ def _shown(df: DataFrame) -> DataFrame:
     {"null_email": 0.30, "null_cid": 0.25, "exact_dups": 0.30, "near_dups": 0.15},
 ))
 def graded_nulls_duplicates(spark, sf):
-    return _shown(E.grade_nulls_duplicates(_rows(spark, sf), _truth(spark, sf), "run_id"))
+    return _shown(E.grade_nulls_duplicates(_rows(spark, sf, E.NULLS_SECTIONS), _truth(spark, sf), "run_id"))
 
 
 _AMOUNT = "section = 'schema_violations' AND contains(lower(field), 'amount')"
@@ -203,7 +207,7 @@ _DETECTED = "CASE WHEN {0}.run_id IS NULL THEN 0.0 ELSE {1} END"
     {"amount_type": 0.25, "date_format": 0.25, "neg_qty": 0.25, "bad_amount": 0.25},
 ))
 def graded_conformance(spark, sf):
-    return _shown(E.grade_conformance(_rows(spark, sf), _truth(spark, sf), "run_id"))
+    return _shown(E.grade_conformance(_rows(spark, sf, E.CONFORMANCE_SECTIONS), _truth(spark, sf), "run_id"))
 
 
 _ENTRY = "section = 'drift_details' AND field = '{}'"
@@ -232,7 +236,7 @@ _CLOSE = f"(abs({_PCT} - reference_share) <= 0.05)"
     {"mean_shift": 0.40, "new_cats": 0.35, "ref_drift": 0.25},
 ))
 def graded_drift(spark, sf):
-    return _shown(E.grade_drift(_rows(spark, sf), _truth(spark, sf), "run_id"))
+    return _shown(E.grade_drift(_rows(spark, sf, E.DRIFT_SECTIONS), _truth(spark, sf), "run_id"))
 
 
 def _issue(word):
@@ -255,7 +259,7 @@ def _either(*aliases):
     {"orphans": 0.40, "temporal": 0.35, "aggregates": 0.25},
 ))
 def graded_relational(spark, sf):
-    return _shown(E.grade_relational(_rows(spark, sf), _truth(spark, sf), "run_id"))
+    return _shown(E.grade_relational(_rows(spark, sf, E.RELATIONAL_SECTIONS), _truth(spark, sf), "run_id"))
 
 
 # --- single formulas over rows of the tables ------------------------------------
