@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 SALTS = 64
 # A key is hot from one row in HOT_KEYS_AT_MOST on, so there can be no more hot
-# keys than that, however large the table: this bounds what is broadcast.
+# keys than that, however large the table. Each is broadcast as an 8-byte hash,
+# which bounds the broadcast to under a megabyte of data. Two keys of one hash
+# are salted alike on both sides, so a collision changes no result.
 HOT_KEYS_AT_MOST = 100_000
 HOT_FROM_ROWS = 100_000
 _SALT = "__salt"
@@ -38,16 +40,22 @@ def join_rows_with_keys(rows: DataFrame, keys: DataFrame, on: Iterable[str], how
     ``left_anti``; the first two keep the further columns of ``keys``.
     """
     on = list(on)
-    total = keys.agg(F.sum(n_rows)).scalar()
-    is_hot = (F.col(n_rows) >= hot_from) & (F.col(n_rows) >= total / F.lit(HOT_KEYS_AT_MOST))
-    hot = keys.where(is_hot).select(*(F.col(c).alias(f"__key_{c}") for c in on), F.lit(True).alias("__hot"))
-    marked = rows.join(F.broadcast(hot), _same(rows, hot, on), "left")
-    salt = F.when(F.col("__hot"), F.pmod(F.spark_partition_id(), F.lit(salts))).otherwise(F.lit(0))
-    salted = marked.select(*rows.columns, salt.alias(_SALT))
+    types = {f.name: f.dataType for f in rows.schema.fields}
     further = [c for c in keys.columns if c not in (*on, n_rows)]
-    repeated = keys.select(
-        *(F.col(c).alias(f"__key_{c}") for c in on), *further,
-        F.explode(F.sequence(F.lit(0), F.when(is_hot, F.lit(salts - 1)).otherwise(F.lit(0)))).alias(f"__key{_SALT}"),
+    sized = keys.select(
+        *(F.col(c).cast(types[c]).alias(f"__key_{c}") for c in on), *further, F.col(n_rows).alias("__n")
+    ).withColumn("__key_hash", F.xxhash64(*(f"__key_{c}" for c in on)))
+    total = sized.agg(F.sum("__n")).scalar()
+    is_hot = (F.col("__n") >= hot_from) & (F.col("__n") >= total / F.lit(HOT_KEYS_AT_MOST))
+    hot = sized.where(is_hot).select(F.col("__key_hash").alias("__hash")).distinct().withColumn("__hot", F.lit(True))
+
+    hashed = rows.withColumn("__hash", F.xxhash64(*on)).join(F.broadcast(hot), "__hash", "left")
+    salt = F.when(F.col("__hot"), F.pmod(F.spark_partition_id(), F.lit(salts))).otherwise(F.lit(0))
+    salted = hashed.select(*rows.columns, salt.alias(_SALT))
+    judged = sized.withColumnRenamed("__key_hash", "__hash").join(F.broadcast(hot), "__hash", "left")
+    last = F.when(F.col("__hot"), F.lit(salts - 1)).otherwise(F.lit(0))
+    repeated = judged.select(
+        *(f"__key_{c}" for c in on), *further, F.explode(F.sequence(F.lit(0), last)).alias(f"__key{_SALT}")
     )
     joined = salted.join(
         repeated, _same(salted, repeated, on) & (salted[_SALT] == repeated[f"__key{_SALT}"]), how
