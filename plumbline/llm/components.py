@@ -52,3 +52,14 @@ def connected_components(links: DataFrame) -> DataFrame:
         raise RuntimeError(f"components not settled after {MAX_ROUNDS} rounds")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+
+
+def smallest_ids(folded: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component_id): for every row of ``folded`` (node, first_id) the
+    smallest ``first_id`` of its component; null when all of them are null."""
+    labels = durable(connected_components(links)).select(F.col("node").alias("linked"), "root")
+    named = folded.join(labels, folded["node"] == labels["linked"]).select("node", "first_id", "root")
+    least = named.groupBy("root").agg(F.min("first_id").alias("component_id")).select(F.bitwise_not("root").alias("k"), "component_id")
+    in_groups = named.join(least, F.bitwise_not("root") == F.col("k")).select("node", "component_id")
+    alone = folded.join(labels, folded["node"] == labels["linked"], "left_anti").select("node", F.col("first_id").alias("component_id"))
+    return in_groups.unionByName(alone)

@@ -20,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import durable
-from .components import connected_components
+from .components import smallest_ids
 from .words import Words
 
 THRESHOLD = 3
@@ -68,14 +68,16 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): one row per document, fp as a signed long with the same bits."""
+    """(id, t, fp): one row per document; t is a hash of the text, fp the
+    fingerprint as a signed long with the same bits."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], ["id", "fp"])
+            bits = np.fromiter((fingerprint(t.as_py()) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits.view(np.int64))], ["id", "t", "fp"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(fold, "id bigint, fp bigint")
+    named = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    return named.mapInArrow(fold, "id bigint, t bigint, fp bigint")
 
 
 def _differing(a: Column | str, b: Column | str) -> Column:
@@ -172,7 +174,7 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id): one row per document.
+    """(id, t, fp, component_id): one row per document; t is a hash of the text.
 
     ``component_id`` is the smallest id reachable over links, the document itself
     included. Null and empty texts have the fingerprint zero, which links like any
@@ -180,10 +182,22 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     other id has a null ``component_id``. Repeated rows come back repeated.
     """
     prints = durable(fingerprints(docs, id_col, text_col))
-    folded = durable(prints.groupBy("fp").agg(F.min("id").alias("first_id")))
-    labels = durable(connected_components(fingerprint_links(folded.select("fp"))))
-    linked = folded.join(labels, folded["fp"] == labels["node"]).select("fp", "first_id", "root")
-    least = linked.groupBy("root").agg(F.min("first_id").alias("component_id")).select(F.bitwise_not("root").alias("k"), "component_id")
-    named = linked.join(least, F.bitwise_not("root") == F.col("k")).select("fp", "component_id")
-    alone = folded.join(labels, folded["fp"] == labels["node"], "left_anti").select("fp", F.col("first_id").alias("component_id"))
-    return prints.join(durable(named.unionByName(alone)), "fp").select("id", "fp", "component_id")
+    folded = durable(prints.groupBy(F.col("fp").alias("node")).agg(F.min("id").alias("first_id")))
+    named = durable(smallest_ids(folded, fingerprint_links(folded.select(F.col("node").alias("fp")))))
+    return prints.join(named, prints["fp"] == named["node"]).select("id", "t", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id.
+
+    Of rows that share this id, one stays. Components in which all ids are null
+    can not be told apart by id: there one row of each different text stays.
+    """
+    found = simhash_components(docs, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component_id")))
+    stay = found.groupBy("id", F.when(F.col("id").isNull(), F.col("t")).alias("own")).agg(F.min("t").alias("t")).select(
+        F.col("id").alias("stay_id"), F.col("t").alias("stay_t")
+    )
+    keyed = docs.withColumn("stay_of", F.xxhash64(text_col))
+    kept = keyed.join(stay, F.col(id_col).cast("bigint").eqNullSafe(F.col("stay_id")) & (F.col("stay_of") == F.col("stay_t")), "left_semi")
+    number = F.row_number().over(Window.partitionBy(id_col, "stay_of").orderBy(F.lit(0)))
+    return kept.withColumn("stay_number", number).where("stay_number = 1").select(*docs.columns)
