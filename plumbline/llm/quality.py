@@ -3,10 +3,13 @@ more bytes on it than one of bad text.
 
 Two zstandard dictionaries are trained, one from good and one from bad labelled
 texts. A text is cut into blocks of ``BLOCK`` bytes, all of them compressed with
-either dictionary; with B and G the summed sizes, the normalised difference
-(B - G) / (B + G) is its evidence, and a logistic curve fitted on labelled texts
-that the dictionaries have not seen turns it into a probability. Blocks keep the
-dictionary in play over a long text, which else would soon only refer to itself.
+either dictionary; with B and G the summed sizes, the difference normalised by the size
+of the text, (B - G) / bytes, is its evidence. It is divided by the text and not by
+B + G since a text that repeats itself is small either way: it owes nothing to the
+good dictionary, which is evidence against it. A rising curve fitted on labelled
+texts that the dictionaries have not seen turns the evidence into a probability.
+Blocks keep the dictionary in play over a long text, which else would soon only
+refer to itself.
 """
 
 from __future__ import annotations
@@ -19,13 +22,13 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .training import fit_logistic, held_out, labelled_sample, sigmoid
+from .training import fit_logistic, fit_monotone, held_out, labelled_sample, sigmoid
 
 #: Bounds of the training sample: texts of each label, and characters of one text.
-PER_CLASS = 3000
+PER_CLASS = 2500
 MAX_CHARS = 20_000
 DICTIONARY_BYTES = 112_640
-BLOCK = 1024
+BLOCK = 2048
 LEVEL = 3
 THRESHOLD = 0.3
 
@@ -36,6 +39,13 @@ class QualityModel:
     bad: bytes
     slope: float
     intercept: float
+    knots: tuple = ((), ())
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        """The monotone curve, with a fiftieth of the logistic one so that no two
+        amounts of evidence score the same."""
+        logistic = sigmoid(self.slope * x + self.intercept)
+        return 0.98 * np.interp(x, *self.knots) + 0.02 * logistic if len(self.knots[0]) else logistic
 
 
 def _blocks(text: str | None) -> list[bytes]:
@@ -58,7 +68,7 @@ class _Sizes:
         if not blocks:
             return 0.0
         good, bad = (sum(len(c.compress(b)) for b in blocks) for c in self._each)
-        return (bad - good) / (bad + good)
+        return (bad - good) / sum(map(len, blocks))
 
 
 def _dictionary(texts: list[str]) -> bytes:
@@ -87,7 +97,7 @@ def fit(sample: DataFrame) -> QualityModel:
     y = np.repeat([0.0, 1.0], [len(left[0]), len(left[1])])
     scale = x.std() or 1.0
     w = fit_logistic(x[:, None] / scale, y)
-    return QualityModel(good, bad, float(w[0] / scale), float(w[1]))
+    return QualityModel(good, bad, float(w[0] / scale), float(w[1]), fit_monotone(x, y))
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,7 +108,7 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
         sizes = _Sizes(model.good, model.bad) if model.good else None
         for batch in batches:
             x = np.array([sizes.difference(t.as_py()) if sizes else 0.0 for t in batch.column(1)], np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigmoid(model.slope * x + model.intercept))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.probability(x))], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(apply, "doc_id bigint, score double")
 

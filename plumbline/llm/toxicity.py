@@ -6,8 +6,10 @@ words is shared by all thresholds b_1 < ... < b_{K-1}:
     P(grade >= j) = sigmoid(w . x - b_j)
 
 and the expected severity is the sum of these over j. x holds ln(1 + count) of
-each lower-cased word. Words seen in fewer than ``MIN_DOCS`` texts of the sample
-have no weight, so that a long text does not gather the noise of rare words.
+each lower-cased word and of each beginning of a word with ``STEMS`` characters
+(stems take many endings). A feature has a weight only if its share of texts
+differs between clean and toxic ones beyond chance (``SCREEN`` standard errors), so
+that a long text does not gather the noise of thousands of rare words.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +28,13 @@ from pyspark.sql import DataFrame, functions as F
 from .training import labelled_sample, sigmoid
 
 #: Bounds of the training sample: texts of each label, and characters of one text.
-PER_CLASS = 3000
+PER_CLASS = 2000
 MAX_CHARS = 20_000
 BUCKETS = 1 << 18
+#: Lengths of word beginnings, and what a feature needs to get a weight.
+STEMS = (4, 5, 6, 7, 8)
 MIN_DOCS = 5
+SCREEN = 4.0
 #: A document is rejected from this expected severity on.
 REJECT_FROM = 0.5
 
@@ -44,14 +50,20 @@ class ToxicityModel:
         return float(sigmoid(x - self.thresholds).sum())
 
 
+@lru_cache(maxsize=200_000)
+def buckets_of(word: str) -> tuple[int, ...]:
+    """Feature numbers of a word: itself and its beginnings."""
+    names = {"=" + word, *(word[:k] for k in STEMS if len(word) >= k)}
+    return tuple(sorted({xxhash.xxh64_intdigest(n.encode()) % BUCKETS for n in names}))
+
+
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, values) of the words of a text, each bucket once."""
-    counts = Counter(_WORD.findall((text or "").lower()))
-    merged: dict[int, float] = {}
-    for word, n in counts.items():
-        bucket = xxhash.xxh64_intdigest(word.encode()) % BUCKETS
-        merged[bucket] = merged.get(bucket, 0) + n
-    return np.fromiter(merged, np.int64, len(merged)), np.log1p(np.fromiter(merged.values(), np.float64, len(merged)))
+    """(buckets, values) of a text, each bucket once."""
+    merged: Counter = Counter()
+    for word, n in Counter(_WORD.findall((text or "").lower())).items():
+        for bucket in buckets_of(word):
+            merged[bucket] += n
+    return np.fromiter(merged, np.int32, len(merged)), np.log1p(np.fromiter(merged.values(), np.float32, len(merged)))
 
 
 def _thresholds(free: np.ndarray) -> np.ndarray:
@@ -69,13 +81,20 @@ def fit(texts: list[str], grades: list[int], weight_of_grade: np.ndarray | None
     if not len(grades) or len(np.unique(grades)) < 2:
         return ToxicityModel(np.zeros(BUCKETS), np.repeat(-60.0 if top else 60.0, max(top, 1)))
     found = [features(t) for t in texts]
-    rows = np.repeat(np.arange(len(found)), [len(b) for b, _ in found])
+    rows = np.repeat(np.arange(len(found), dtype=np.int32), [len(b) for b, _ in found])
     buckets, values = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-    seen = np.bincount(buckets, minlength=BUCKETS)
-    keep = seen[buckets] >= MIN_DOCS
+    del found
+    toxic = grades > 0
+    in_toxic = np.bincount(buckets, toxic[rows], BUCKETS)
+    in_clean = np.bincount(buckets, ~toxic[rows], BUCKETS)
+    n_toxic, n_clean = toxic.sum(), (~toxic).sum()
+    pooled = (in_toxic + in_clean) / len(grades)
+    error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n_toxic + 1 / max(n_clean, 1)))
+    distinct = np.abs(in_toxic / n_toxic - in_clean / max(n_clean, 1)) >= SCREEN * error
+    keep = ((in_toxic + in_clean >= MIN_DOCS) & distinct)[buckets]
     rows, buckets, values = rows[keep], buckets[keep], values[keep]
     used, column = np.unique(buckets, return_inverse=True)
-    share = np.ones(top + 1) if weight_of_grade is None else weight_of_grade
+    share = np.ones(top + 1) if weight_of_grade is None else weight_of_grade[: top + 1]
     sample_weight = share[grades] / share[grades].sum()
 
     at_least = [(grades >= j).mean() for j in range(1, top + 1)]
@@ -109,29 +128,32 @@ def fit(texts: list[str], grades: list[int], weight_of_grade: np.ndarray | None
 def grades_of(texts: list[str], toxic: list[int]) -> list[int]:
     """Severity grades from a yes/no label: 0 clean, 1 toxic, 2 toxic and dense.
 
-    The words typical of toxic texts are those found in a far larger share of them
-    than of clean ones; a toxic text whose count of such words is over the median
-    of the toxic texts has grade 2.
+    Typical of toxic texts are features found in a far larger share of them than of
+    clean ones; a toxic text with more words of such a feature than the median of
+    the toxic texts has grade 2.
     """
-    sets = [Counter(_WORD.findall((t or "").lower())) for t in texts]
+    counts = [Counter(_WORD.findall((t or "").lower())) for t in texts]
+    sets = [{b for w in words for b in buckets_of(w)} for words in counts]
     n_toxic, n_clean = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
     in_toxic, in_clean = Counter(), Counter()
-    for words, y in zip(sets, toxic):
-        (in_toxic if y else in_clean).update(words.keys())
-    typical = {
-        w for w, n in in_toxic.items()
-        if n >= MIN_DOCS and n / n_toxic > 5 * (in_clean[w] + 1) / n_clean
-    }
-    hits = [sum(n for w, n in words.items() if w in typical) for words in sets]
+    for found, y in zip(sets, toxic):
+        (in_toxic if y else in_clean).update(found)
+    typical = {b for b, n in in_toxic.items() if n >= MIN_DOCS and n / n_toxic > 5 * (in_clean[b] + 1) / n_clean}
+    hits = [sum(n for w, n in words.items() if not typical.isdisjoint(buckets_of(w))) for words in counts]
     median = np.median([h for h, y in zip(hits, toxic) if y]) if any(toxic) else 0
     return [0 if not y else 2 if h > median else 1 for h, y in zip(hits, toxic)]
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> ToxicityModel:
-    """The model of the bounded sample of labelled documents, which is collected."""
+    """The model of the bounded sample of labelled documents, which is collected.
+    The sample has as many texts of either label; the fit weighs them back to the
+    shares that the labels have in ``labels``."""
     rows = sorted((r["doc_id"], r["text"] or "", r["label"]) for r in labelled_sample(docs, labels, "toxic", per_class, max_chars).collect())
     texts = [t for _, t, _ in rows]
-    return fit(texts, grades_of(texts, [y for *_, y in rows]))
+    toxic = np.array([y for *_, y in rows])
+    of = {r["toxic"]: r["count"] for r in labels.where(F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect()}
+    share = np.array([of.get(y, 0) / max(1, (toxic == y).sum()) for y in (0, 1, 1)])
+    return fit(texts, grades_of(texts, toxic.tolist()), share)
 
 
 def severity(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
@@ -144,24 +166,22 @@ def severity(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> D
     schema = docs.select(*kept).withColumn("severity", F.lit(0.0)).schema
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
+        cache: dict[str, tuple[int, ...]] = {}  # word: its buckets with a weight
 
-        def weight(word: str) -> float:
-            if word not in cache:
-                if len(cache) > 1_000_000:
+        def weighted(word: str) -> tuple[int, ...]:
+            found = cache.get(word)
+            if found is None:
+                if len(cache) > 500_000:  # bounds the worker's memory, not the words
                     cache.clear()
-                cache[word] = weights.get(xxhash.xxh64_intdigest(word.encode()) % BUCKETS, 0.0)
-            return cache[word]
+                found = cache[word] = tuple(b for b in buckets_of(word) if b in weights)
+            return found
 
         def evidence(text: str | None) -> float:
-            # Counts of words with a weight only; words of one bucket share its count.
-            counts: dict[float | int, list] = {}
+            counts: Counter = Counter()
             for word, n in Counter(_WORD.findall((text or "").lower())).items():
-                w = weight(word)
-                if w:
-                    bucket = xxhash.xxh64_intdigest(word.encode()) % BUCKETS
-                    counts.setdefault(bucket, [w, 0])[1] += n
-            return sum(w * float(np.log1p(n)) for w, n in counts.values())
+                for bucket in weighted(word):
+                    counts[bucket] += n
+            return sum(weights[b] * float(np.log1p(n)) for b, n in sorted(counts.items()))
 
         at = kept.index(text_col)
         for batch in batches:

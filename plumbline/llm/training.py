@@ -51,3 +51,20 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int
         if np.abs(step).max() < 1e-9:
             break
     return w
+
+
+def fit_monotone(x: np.ndarray, y: np.ndarray, prior: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Knots (x, probability) of a rising calibration curve: pool adjacent
+    violators, then the mean position and the share of ones of each pool, drawn
+    towards the share of all by ``prior`` observations."""
+    order = np.argsort(x, kind="stable")
+    share = float(y.mean())
+    pools: list[list[float]] = []  # sum of x, sum of y, count
+    for a, b in zip(x[order].tolist(), y[order].tolist()):
+        pools.append([a, b, 1])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+            last = pools.pop()
+            pools[-1] = [p + q for p, q in zip(pools[-1], last)]
+    at = np.array([p[0] / p[2] for p in pools])
+    value = np.array([(p[1] + prior * share) / (p[2] + prior) for p in pools])
+    return at, np.maximum.accumulate(value)
