@@ -176,7 +176,7 @@ SELECT doc_id, src AS source, n AS n_tokens, CAST(epoch AS BIGINT) AS epoch,
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs, **MIX).select(
-        "doc_id", "source", mixing.tokens().alias("n_tokens"), F.col("mix_epoch").cast("bigint").alias("epoch"), F.col("mix_order").alias("order_key")
+        "doc_id", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_epoch").cast("bigint").alias("epoch"), F.col("mix_order").alias("order_key")
     )
 
 

@@ -197,7 +197,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stay = found.groupBy("id", F.when(F.col("id").isNull(), F.col("t")).alias("own")).agg(F.min("t").alias("t")).select(
         F.col("id").alias("stay_id"), F.col("t").alias("stay_t")
     )
-    keyed = docs.withColumn("stay_of", F.xxhash64(text_col))
-    kept = keyed.join(stay, F.col(id_col).cast("bigint").eqNullSafe(F.col("stay_id")) & (F.col("stay_of") == F.col("stay_t")), "left_semi")
-    number = F.row_number().over(Window.partitionBy(id_col, "stay_of").orderBy(F.lit(0)))
-    return kept.withColumn("stay_number", number).where("stay_number = 1").select(*docs.columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("t"))
+    kept = keyed.join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("t") == F.col("stay_t")), "left_semi")
+    number = F.row_number().over(Window.partitionBy("id", "t").orderBy(F.lit(0)))
+    return kept.withColumn("number", number).where("number = 1").select("row.*")
