@@ -58,8 +58,17 @@ def chain(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn") -
     )
 
 
+def rooted(messages: DataFrame) -> DataFrame:
+    """``messages`` with a null parent where the parent is missing: such a message is a root."""
+    known = messages.select(F.col("tree").alias("t2"), F.col("id").alias("i2"))
+    here = messages.select("tree", "id", "parent", "role", "text", "score")
+    found = here.join(known, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("parent") == F.col("i2")), "left")
+    return found.select("tree", "id", F.col("i2").alias("parent"), "role", "text", "score")
+
+
 def ranked_branches(messages: DataFrame) -> DataFrame:
-    """Adds ``rank``: 1 for the best reply to the same message, by score, then id."""
+    """Adds ``rank``: 1 for the best reply to the same message, and for the best
+    root of a tree, by score, then id."""
     order = Window.partitionBy("tree", "parent").orderBy(F.desc_nulls_last("score"), "id")
     return messages.withColumn("rank", F.row_number().over(order))
 
@@ -67,15 +76,10 @@ def ranked_branches(messages: DataFrame) -> DataFrame:
 def _ancestors(nodes: DataFrame) -> DataFrame:
     """(tree, leaf, node, up): every leaf with itself (up 0) and all its ancestors.
 
-    A message whose parent is missing is a root; a parent that leads back to the
-    message itself is an error, found when the rounds do not end.
+    A parent that leads back to the message itself is an error, found when the
+    rounds do not end.
     """
-    here = nodes.select("tree", "id", "parent")
-    known = here.select(F.col("tree").alias("t2"), F.col("id").alias("i2"))
-    jump = durable(
-        here.join(known, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("parent") == F.col("i2")), "left")
-        .select("tree", "id", F.col("i2").alias("above"))
-    )
+    jump = nodes.select("tree", "id", F.col("parent").alias("above"))
     replied = jump.where("above IS NOT NULL").select(F.col("tree").alias("t2"), F.col("above").alias("i2")).distinct()
     reached = jump.join(replied, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("id") == F.col("i2")), "left_anti").select(
         "tree", F.col("id").alias("leaf"), F.col("id").alias("node"), F.lit(0).cast("bigint").alias("up")
@@ -104,7 +108,7 @@ def conversations(messages: DataFrame, best: int | None = None) -> DataFrame:
     ``path`` numbers the paths of a tree from the best. ``best`` keeps that many
     of each tree. (tree, id) must be unique; see ``chain`` for rows without ids.
     """
-    ranked = durable(ranked_branches(messages))
+    ranked = durable(ranked_branches(rooted(messages)))
     lines = _ancestors(ranked).join(
         ranked.select(F.col("tree").alias("t2"), F.col("id").alias("i2"), "rank", "role", "text"),
         F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("i2")),
