@@ -39,7 +39,7 @@ class QualityModel:
     bad: bytes
     slope: float
     intercept: float
-    knots: tuple = ((), ())
+    knots: tuple[tuple[float, ...], tuple[float, ...]] = ((), ())
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         """The monotone curve, with a fiftieth of the logistic one so that no two
@@ -97,7 +97,7 @@ def fit(sample: DataFrame) -> QualityModel:
     y = np.repeat([0.0, 1.0], [len(left[0]), len(left[1])])
     scale = x.std() or 1.0
     w = fit_logistic(x[:, None] / scale, y)
-    return QualityModel(good, bad, float(w[0] / scale), float(w[1]), fit_monotone(x, y))
+    return QualityModel(good, bad, float(w[0] / scale), float(w[1]), tuple(tuple(k.tolist()) for k in fit_monotone(x, y)))
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
