@@ -25,6 +25,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import durable
+
 SPAN = 10
 GRAM = 4
 #: Words as they are before A-Z are lowered.
@@ -138,14 +140,18 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     keyed = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("t"), F.col(text_col).alias("text"))
     windows = benchmark_windows(items)
     hits = window_hits(keyed.select("t", "text").withColumn("doc", F.col("t")), windows).drop("doc")
-    words_hit = hits.groupBy("t").agg(F.collect_set(F.struct("s", "e")).alias("spans")).select("t", F.expr(_COVERED).alias("n_hit"))
+    # Read twice below, and small: a row per contaminated text.
+    hit = durable(
+        hits.groupBy("t").agg(F.collect_set(F.struct("s", "e")).alias("spans"), F.collect_set("window").alias("windows"))
+        .select("t", F.expr(_COVERED).alias("n_hit"), "windows")
+    )
     listed = (
-        hits.select("t", "window").distinct().join(windows.select("window", "item"), "window")
+        hit.select("t", F.explode("windows").alias("window")).join(windows.select("window", "item"), "window")
         .groupBy("t").agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
     n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(RAW_WORD)).cast("bigint")
     return (
-        keyed.select("doc", "t", n_words.alias("n_words")).join(words_hit, "t", "left").join(listed, "t", "left")
+        keyed.select("doc", "t", n_words.alias("n_words")).join(hit.select("t", "n_hit"), "t", "left").join(listed, "t", "left")
         .select(F.col("doc").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"),
                 F.coalesce("items", F.array().cast("array<string>")).alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
     )
@@ -155,4 +161,5 @@ def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     """``docs`` without the rows that have a word hit; all columns pass through."""
     own = F.xxhash64(F.col(id_col), F.col(text_col))
     hit = window_hits(docs.select(own.alias("doc"), own.alias("t"), F.col(text_col).alias("text")), benchmark_windows(items))
-    return docs.withColumn("hit_of", own).join(hit.select(F.col("t").alias("hit_of")).distinct(), "hit_of", "left_anti").select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), own.alias("t"))
+    return whole.join(hit.select("t").distinct(), "t", "left_anti").select("row.*")
