@@ -24,6 +24,8 @@ BLOCKED_STATEMENTS = (
     "DROP", "TRUNCATE", "DELETE", "INSERT", "UPDATE", "CREATE",
     "ALTER", "ATTACH", "COPY", "EXPORT", "IMPORT",
 )
+# functions that reach beyond the tables
+FOREIGN_CALLS = ("reflect", "try_reflect", "java_method")
 # flagged when auditing a query log
 DESTRUCTIVE_STATEMENTS = ("drop", "truncate", "delete", "insert", "update", "alter", "create")
 QUERY_FEATURES = {
@@ -34,10 +36,6 @@ QUERY_FEATURES = {
     "has_limit": ("limit",),
 }
 
-# --- fixed values: result sizes ------------------------------------------
-MAX_FETCHED_ROWS = 100
-MAX_SHOWN_ROWS = 50
-
 # --- fixed values: confidence reported with each kind of finding ---------
 CONFIDENCE = {
     "null": 0.9,
@@ -51,6 +49,7 @@ CONFIDENCE = {
     "out_of_range": 0.9,
     "unparseable": 0.88,
     "mean_shift": 0.9,
+    "distribution_shift": 0.9,
     "new_category": 0.85,
     "referential_drift": 0.83,
     "orphaned_fk": 0.88,
@@ -58,6 +57,51 @@ CONFIDENCE = {
     "aggregate_mismatch": 0.83,
 }
 
+# --- fixed values: the section of a report each kind of finding goes to, in
+# the order in which a column's drift is told
+REPORT_SECTIONS = {
+    "null": "null_issues",
+    "disguised_null": "null_issues",
+    "missing": "null_issues",
+    "exact_duplicate": "duplicate_row_count",
+    "near_duplicate_pattern": "schema_violations",
+    "type_violation": "schema_violations",
+    "date_format_violation": "schema_violations",
+    "negative_value": "schema_violations",
+    "out_of_range": "schema_violations",
+    "unparseable": "schema_violations",
+    "mean_shift": "drift_details",
+    "distribution_shift": "drift_details",
+    "new_category": "drift_details",
+    "referential_drift": "drift_details",
+    "orphaned_fk": "relational_issues",
+    "temporal_violation": "relational_issues",
+    "aggregate_mismatch": "relational_issues",
+}
+
+# --- the repair that answers each kind of finding (names of operators/repair.py)
+FIXES = {
+    "null": "quarantine",
+    "disguised_null": "disguised_to_null",
+    "missing": "disguised_to_null",
+    "exact_duplicate": "drop_duplicates",
+    "near_duplicate_pattern": "quarantine",
+    "type_violation": "currency_to_decimal",
+    "date_format_violation": "dates_to_iso",
+    "negative_value": "update",
+    "out_of_range": "quarantine",
+    "unparseable": "currency_to_decimal",
+    "mean_shift": "quarantine",
+    "distribution_shift": "quarantine",
+    "new_category": "quarantine",
+    "referential_drift": "quarantine",
+    "orphaned_fk": "quarantine",
+    "temporal_violation": "quarantine",
+    "aggregate_mismatch": "update",
+}
+# a mean or percentile that moves by less than this share of its baseline is no drift
+MIN_MOVE = 0.05
+
 # --- fixed values: scoring -----------------------------------------------
 SCORE_EPSILON = 1e-6
 COUNT_TOLERANCE = 0.15
@@ -77,12 +121,26 @@ WEIGHTS = {
     "relational": {"orphans": 0.40, "temporal": 0.35, "aggregates": 0.25},
 }
 CATEGORY_WORDS = ("categor", "crypto", "nft")
+NEAR_WORDS = ("near",)
+AMOUNT_WORDS = ("amount",)
+DATE_WORDS = ("date",)
+QUANTITY_WORDS = ("quantity",)
+TYPE_WORDS = ("type",)
+NEGATIVE_WORDS = ("negative",)
+UNPARSEABLE_WORDS = ("unparseable",)
+INVALID_WORDS = ("invalid",)
+SHIFT_WORDS = ("shift", "mean")
+# an issue is looked up by these words in turn; the first word that finds one decides
+RELATIONAL_WORDS = {
+    "orphans": ("orphan", "foreign_key"),
+    "temporal": ("temporal", "ship_date"),
+    "aggregates": ("aggregate", "mismatch", "total"),
+}
 MAX_MEAN_DROP = 0.08
 MAX_REPEAT_RATIO = 0.20
 
 # --- fixed values: run history -------------------------------------------
 TOP_RUNS = 5
-KEPT_RUNS = 500
 RANK_WEIGHT_START = 0.08
 RANK_WEIGHT_STEP = 0.02
 

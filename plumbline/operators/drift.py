@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import share
-from .quantiles import approx_percentiles, exact_percentiles
+from .quantiles import approx_percentiles, exact_percentiles, usable
 
 
 def tagged(base: DataFrame, current: DataFrame, *columns: str) -> DataFrame:
@@ -65,14 +65,19 @@ def novel_reference_share(base: DataFrame, current: DataFrame, key: str) -> Data
 
 def distribution_shift(base: DataFrame, current: DataFrame, column: str, quantiles: Iterable[float] = (0.25, 0.5, 0.75),
                        exact: bool = True) -> DataFrame:
-    """(statistic, baseline_value, current_value, delta): standard deviation and percentiles."""
+    """(statistic, baseline_value, current_value, delta): standard deviation,
+    percentiles and ``ignored``, the rows left out of both for being NULL or NaN."""
     find = exact_percentiles if exact else approx_percentiles
-    both = tagged(base, current, column)
+    both = tagged(base, current, column).select("is_current", usable(column).alias(column))
     spread = both.agg(
-        F.lit("stddev").alias("statistic"),
-        F.stddev_samp(of_baseline(column)).alias("baseline_value"),
-        F.stddev_samp(of_current(column)).alias("current_value"),
-    )
+        F.array(
+            F.struct(F.lit("stddev").alias("statistic"), F.stddev_samp(of_baseline(column)).alias("baseline_value"),
+                     F.stddev_samp(of_current(column)).alias("current_value")),
+            F.struct(F.lit("ignored").alias("statistic"),
+                     F.count_if(~F.col("is_current") & F.col(column).isNull()).cast("double").alias("baseline_value"),
+                     F.count_if(F.col("is_current") & F.col(column).isNull()).cast("double").alias("current_value")),
+        ).alias("rows")
+    ).select(F.inline("rows"))
     percent = F.round(F.col("quantile") * 100, 2).cast("string")
     percentiles = find(both, column, list(quantiles), by="is_current").groupBy("quantile").agg(
         F.max(of_baseline("value")).alias("baseline_value"), F.max(of_current("value")).alias("current_value"),

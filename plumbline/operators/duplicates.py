@@ -9,7 +9,6 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..session import durable
 from .spread import join_rows_with_keys
 
 
@@ -112,8 +111,7 @@ def near_duplicate_groups(df: DataFrame, columns: Iterable[str], anchors: Iterab
     every = F.col("n_variants").alias("n_new")
     if max_changed == 1:
         return shown(level1, ones, every)
-    # the groups found so far are used several times below: written once
-    level1 = durable(level1)
+    # used twice below: Spark runs its shuffle once and reads it for both
     twos = _leave_out_sets(columns, anchors, 2)
     marked = _mark_matched(records, level1, columns, ones)
     level2 = _leave_out_groups(

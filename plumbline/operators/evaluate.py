@@ -53,6 +53,8 @@ def _found(name: str) -> Column:
 
 
 def _fold(rows: DataFrame, truth: DataFrame, run: str, sections: tuple[str, ...], *aggregates: Column) -> DataFrame:
+    if "report" in rows.columns:  # merged reports: the statements of the second come after the first's
+        rows = rows.withColumn("seq", F.struct("report", "seq"))
     folded = rows.where(F.col("section").isin(*sections)).groupBy(run).agg(*aggregates)
     return truth.join(folded, run, "left")
 
@@ -87,7 +89,7 @@ def grade_nulls_duplicates(rows: DataFrame, truth: DataFrame, run: str, monotone
         *_first_count("text", _is_entry("null_issues", text_field)),
         *_first_count("key", _is_entry("null_issues", key_field)),
         *_first_count("copies", _in("duplicate_row_count")),
-        _exists("near", _in("schema_violations") & S.mentions("issue_type", "near")),
+        _exists("near", _in("schema_violations") & S.mentions("issue_type", *V.NEAR_WORDS)),
     )
     judged = _count_accuracies(
         folded, {"text": "null_text", "key": "null_key", "copies": "exact_duplicates"}, monotone
@@ -107,14 +109,14 @@ def _detected(found: Column, confidence: Column, credit: float = 1.0) -> Column:
 
 def grade_conformance(rows: DataFrame, truth: DataFrame, run: str, monotone: bool = False) -> DataFrame:
     """Truth column: negative_quantity."""
-    on_amount = S.mentions("field", "amount")
-    unparseable = S.mentions("issue_type", "unparseable") | (on_amount & S.mentions("issue_type", "invalid"))
+    on_amount = S.mentions("field", *V.AMOUNT_WORDS)
+    unparseable = S.mentions("issue_type", *V.UNPARSEABLE_WORDS) | (on_amount & S.mentions("issue_type", *V.INVALID_WORDS))
     folded = _fold(
         rows, truth, run, CONFORMANCE_SECTIONS,
-        _exists("type", on_amount & S.mentions("issue_type", "type")),
+        _exists("type", on_amount & S.mentions("issue_type", *V.TYPE_WORDS)),
         *_first("amount", on_amount, "confidence"),
-        *_first("date", S.mentions("field", "date"), "confidence"),
-        *_first_count("negative", S.mentions("field", "quantity") & S.mentions("issue_type", "negative")),
+        *_first("date", S.mentions("field", *V.DATE_WORDS), "confidence"),
+        *_first_count("negative", S.mentions("field", *V.QUANTITY_WORDS) & S.mentions("issue_type", *V.NEGATIVE_WORDS)),
         _exists("unparseable", unparseable),
     )
     judged = _count_accuracies(folded, {"negative": "negative_quantity"}, monotone)
@@ -139,7 +141,7 @@ def grade_drift(rows: DataFrame, truth: DataFrame, run: str, measure: str = "amo
         _exists("mention", S.mentions(F.concat_ws(" ", "field", "value"), *V.CATEGORY_WORDS)),
     )
     read = folded.withColumns({
-        "shifted": S.mentions("measure_value", "shift", "mean"),
+        "shifted": S.mentions("measure_value", *V.SHIFT_WORDS),
         "said": S.category_set("category_value"),
         "true": S.category_set("new_categories"),
         "share": S.share_from_text("reference_value"),
@@ -156,19 +158,11 @@ def grade_drift(rows: DataFrame, truth: DataFrame, run: str, measure: str = "amo
     })
 
 
-# an issue is looked up by these words in turn; the first word that finds one decides
-_RELATIONAL_WORDS = {
-    "orphans": ("orphan", "foreign_key"),
-    "temporal": ("temporal", "ship_date"),
-    "aggregates": ("aggregate", "mismatch", "total"),
-}
-
-
 def grade_relational(rows: DataFrame, truth: DataFrame, run: str, monotone: bool = False) -> DataFrame:
     """Truth columns: orphaned_count, temporal_count, mismatch_count."""
     lookups = [
         column
-        for words in _RELATIONAL_WORDS.values() for word in words
+        for words in V.RELATIONAL_WORDS.values() for word in words
         for column in _first_count(word, S.mentions("issue_type", word))
     ]
     folded = _fold(rows, truth, run, RELATIONAL_SECTIONS, *lookups)
@@ -181,13 +175,13 @@ def grade_relational(rows: DataFrame, truth: DataFrame, run: str, monotone: bool
 
     chosen = folded.withColumns({
         f"{name}_{field}": by_first_word(words, field)
-        for name, words in _RELATIONAL_WORDS.items() for field in ("found", "n_reported", "confidence")
+        for name, words in V.RELATIONAL_WORDS.items() for field in ("found", "n_reported", "confidence")
     })
     judged = _count_accuracies(
         chosen, {"orphans": "orphaned_count", "temporal": "temporal_count", "aggregates": "mismatch_count"}, monotone
     )
     cut = V.CORRECT_ABOVE["counts"]
-    return _grade(judged, run, "relational", {name: _count_score(name, cut) for name in _RELATIONAL_WORDS})
+    return _grade(judged, run, "relational", {name: _count_score(name, cut) for name in V.RELATIONAL_WORDS})
 
 
 def summarise_runs(scores: DataFrame, task: str, score: str = "total") -> DataFrame:

@@ -18,7 +18,11 @@ def top_runs(runs: DataFrame, k: int = V.TOP_RUNS) -> DataFrame:
     )
 
 
-def keep_best_runs(runs: DataFrame, n: int = V.KEPT_RUNS) -> DataFrame:
+def keep_best_runs(runs: DataFrame, n: int, per_task: bool = True) -> DataFrame:
+    """The ``n`` best runs of each task. ``per_task=False`` keeps ``n`` over all
+    tasks, later tasks first, and so may leave tasks without a run."""
+    if per_task:
+        return top_runs(runs, n).drop("run_rank")
     return runs.orderBy(F.desc("task_id"), F.desc("score"), F.asc("seed")).limit(n)
 
 

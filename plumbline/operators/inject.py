@@ -7,7 +7,7 @@ every retried task, and the truth is the number of rows the predicate matches.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -43,14 +43,27 @@ def disguise(df: DataFrame, column: str, pick: Column, key: ColumnLike,
     return _set(df, column, choice(tokens, key), pick)
 
 
+def append_variants(df: DataFrame, *variants: tuple[Column, Mapping[str, Column]]) -> DataFrame:
+    """``df`` and, for every (pick, changes), a copy of each picked row with the
+    changed columns. All read the old row, in one scan: a row becomes an array of
+    itself and its copies."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+
+    def row(changes: Mapping[str, Column]) -> Column:
+        return F.struct(*(changes[c].cast(types[c]).alias(c) if c in changes else F.col(c) for c in df.columns))
+
+    copies = (F.when(pick, row(changes)) for pick, changes in variants)
+    rows = F.filter(F.array(row({}), *copies), lambda r: r.isNotNull())
+    return df.select(F.inline(rows))
+
+
 def append_copies(df: DataFrame, pick: Column) -> DataFrame:
-    return df.unionByName(df.where(pick))
+    return append_variants(df, (pick, {}))
 
 
 def append_near_copies(df: DataFrame, pick: Column, column: str, changed: Column) -> DataFrame:
     """``changed`` must differ from the old value; a copy it would leave equal is not added."""
-    copies = df.where(pick & ~changed.eqNullSafe(F.col(column)))
-    return df.unionByName(_set(copies, column, changed, F.lit(True)))
+    return append_variants(df, (pick & ~changed.eqNullSafe(F.col(column)), {column: changed}))
 
 
 def negate(df: DataFrame, column: str, pick: Column) -> DataFrame:

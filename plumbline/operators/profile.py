@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import ColumnLike, col
 
@@ -35,11 +35,24 @@ def group_mean(df: DataFrame, key: str, value: ColumnLike, name: str = "mean_val
 
 
 def column_summary(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """COUNT, SUM, AVG, MIN and MAX of numeric columns from one pass."""
+    """COUNT, SUM, AVG, MIN and MAX of numeric columns from one pass.
+
+    A double holds integers up to 2^53 only. For integer and decimal columns
+    ``exact_sum``, ``exact_min`` and ``exact_max`` hold the decimal digits as text;
+    they are NULL for other columns.
+    """
     columns = list(columns)
     aggregates = []
     for c in columns:
-        x = F.col(c).cast("double")
+        x, kind = F.col(c).cast("double"), df.schema[c].dataType
+        is_exact = isinstance(kind, (T.IntegralType, T.DecimalType))
+        scale = kind.scale if isinstance(kind, T.DecimalType) else 0
+
+        def exact(aggregate: Column) -> Column:
+            return aggregate.cast(f"decimal(38,{scale})").cast("string") if is_exact else F.lit(None).cast("string")
+
+        # 28 digits leave the sum ten more, enough for 10^10 of the largest values
+        digits = F.col(c).cast(f"decimal(28,{scale})") if is_exact and not isinstance(kind, T.DecimalType) else F.col(c)
         aggregates.append(
             F.struct(
                 F.lit(c).alias("column_name"),
@@ -48,6 +61,7 @@ def column_summary(df: DataFrame, columns: Iterable[str]) -> DataFrame:
                 F.avg(x).alias("avg_value"),
                 F.min(x).alias("min_value"),
                 F.max(x).alias("max_value"),
+                exact(F.sum(digits)).alias("exact_sum"), exact(F.min(F.col(c))).alias("exact_min"), exact(F.max(F.col(c))).alias("exact_max"),
             ).alias(c)
         )
     wide = df.agg(*aggregates)

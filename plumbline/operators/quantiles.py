@@ -1,12 +1,20 @@
-"""Percentiles of a column too large for one task."""
+"""Percentiles of a column too large for one task. NaN is no value here: it is
+left out like NULL."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import durable
+#: Accuracy of the sketch that brackets a rank: off by one row in so many at most.
+ACCURACY = 20_000
+
+
+def usable(column: str) -> Column:
+    """The column as a double; NULL for NaN."""
+    x = F.col(column).cast("double")
+    return F.when(~F.isnan(x), x)
 
 
 def exact_percentiles(df: DataFrame, column: str, quantiles: Iterable[float], by: str | None = None) -> DataFrame:
@@ -14,70 +22,56 @@ def exact_percentiles(df: DataFrame, column: str, quantiles: Iterable[float], by
     the rows into a few groups, such as two snapshots.
 
     The built-in exact percentile keeps every distinct value of the group in
-    one task. Here equal values are first folded into (value, count), then
-    sorted into ranges; the rank of a value is the count in the ranges before
-    its own plus the count before it inside its range. Only ranges that hold a
-    wanted rank are looked into. The ranges are written once to the checkpoint
-    folder, because a range sort computed twice may cut differently.
+    one task. Here a first pass brackets each wanted rank by a sketch of known
+    error; a second pass counts the values below the bracket and keeps, folded to
+    (value, count), only those inside it: about four rows in ``ACCURACY``. Both are
+    plain aggregations that combine before the shuffle, nothing is written, and
+    nothing runs before an action. A group of up to ``ACCURACY`` rows is its own
+    bracket.
     """
-    quantiles = list(quantiles)
+    quantiles = [float(q) for q in quantiles]
     group = F.lit(True) if by is None else F.col(by)
-    counts = (
-        df.select(group.alias("g"), F.col(column).cast("double").alias("v"))
-        .where(F.col("v").isNotNull() & ~F.isnan("v"))
-        .groupBy("g", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    ranged = durable(counts.repartitionByRange("g", "v").withColumn("part", F.spark_partition_id()))
-
-    # one row per group and range: as many as there are shuffle partitions and groups
-    before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy("g", "part")
-        .agg(F.sum("n").alias("n_part"))
-        .select(
-            "g", "part", "n_part",
-            F.coalesce(F.sum("n_part").over(before), F.lit(0)).alias("offset"),
-            F.sum("n_part").over(Window.partitionBy("g")).alias("total"),
+    values = df.select(group.alias("g"), usable(column).alias("v")).where("v IS NOT NULL")
+
+    low = [max(0.0, q - 2 / ACCURACY) for q in quantiles]
+    high = [min(1.0, q + 2 / ACCURACY) for q in quantiles]
+    sketch = F.percentile_approx("v", [*low, *high], ACCURACY)
+    whole = F.col("total") <= ACCURACY
+
+    def bracket(i: int, q: float) -> Column:
+        lowest, highest = whole | F.lit(low[i] == 0.0), whole | F.lit(high[i] == 1.0)
+        return F.struct(
+            F.lit(q).alias("quantile"), F.when(lowest, F.col("least")).otherwise(F.col("cuts")[i]).alias("low"),
+            F.when(highest, F.col("most")).otherwise(F.col("cuts")[len(quantiles) + i]).alias("high"),
         )
-    )
 
-    def position(q: float):
-        return F.lit(float(q)) * (F.col("total") - 1)
-
-    def holds(rank, start, length):
-        return (rank >= start) & (rank < start + length)
-
-    wanted = F.lit(False)
-    for q in quantiles:
-        for rank in (F.floor(position(q)), F.ceil(position(q))):
-            wanted = wanted | holds(rank, F.col("offset"), F.col("n_part"))
-
-    inside = Window.partitionBy("g", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ranged.join(F.broadcast(offsets.where(wanted)), ["g", "part"]).select(
-        "g", "v", "n", "total",
-        (F.col("offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("start"),
+    brackets = (
+        values.groupBy("g").agg(sketch.alias("cuts"), F.count("v").alias("total"), F.min("v").alias("least"), F.max("v").alias("most"))
+        .select("g", "total", F.array(*(bracket(i, q) for i, q in enumerate(quantiles))).alias("brackets"))
     )
+    # one row per group; a group is a snapshot
+    near = values.join(F.broadcast(brackets), "g").select("g", "total", "v", F.inline("brackets")).where("v <= high")
+    folded = near.groupBy("g", "quantile", "total", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("g", "quantile").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = folded.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
-    def value_at(rank):
-        return F.max(F.when(holds(rank, F.col("start"), F.col("n")), F.col("v")))
+    position = F.col("quantile") * (F.col("total") - 1)
 
-    rows = []
-    for q in quantiles:
-        low, high = value_at(F.floor(position(q))), value_at(F.ceil(position(q)))
-        fraction = F.max(position(q) - F.floor(position(q)))
-        rows.append(F.struct(F.lit(float(q)).alias("quantile"), (low + (high - low) * fraction).alias("value")))
-    found = ranked.groupBy("g").agg(F.array(*rows).alias("rows"))
-    return found.select(*([] if by is None else [F.col("g").alias(by)]), F.inline("rows"))
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("start")) & (rank < F.col("start") + F.col("n")), F.col("v")))
+
+    lower, upper = value_at(F.floor(position)), value_at(F.ceil(position))
+    fraction = F.max(position - F.floor(position))
+    found = ranked.groupBy("g", "quantile").agg((lower + (upper - lower) * fraction).alias("value"))
+    return found.select(*([] if by is None else [F.col("g").alias(by)]), "quantile", "value")
 
 
 def approx_percentiles(df: DataFrame, column: str, quantiles: Iterable[float], by: str | None = None,
                        accuracy: int = 10000) -> DataFrame:
-    """([by,] quantile, value) from one pass with a bounded sketch per task and group."""
+    """([by,] quantile, value) from one pass with a bounded sketch per task and
+    group; the rank of a value is off by one row in ``accuracy`` at most."""
     quantiles = [float(q) for q in quantiles]
     keys = [] if by is None else [by]
-    found = df.groupBy(*keys).agg(
-        F.percentile_approx(F.col(column).cast("double"), quantiles, accuracy).alias("found")
-    )
+    found = df.groupBy(*keys).agg(F.percentile_approx(usable(column), quantiles, accuracy).alias("found"))
     pairs = F.arrays_zip(F.array(*map(F.lit, quantiles)).alias("quantile"), F.col("found").alias("value"))
     return found.select(*keys, F.inline(pairs).alias("quantile", "value"))

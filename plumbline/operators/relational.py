@@ -1,9 +1,10 @@
 """Checks between tables.
 
 Counts fold the child table to one row per key before any join, so the join
-sees distinct keys and a hot key weighs as much as any other. Row-returning
-variants find the offending keys that way and then pick their rows with a semi
-join that salts the hot ones.
+sees distinct keys and a hot key weighs as much as any other. Rows without a
+parent are one anti join of two scans, which adaptive execution splits when a
+key is hot. Parents without a child are picked by their keys, with the hot ones
+salted (``spread.py``), since the child side there is large and repeats its keys.
 """
 
 from __future__ import annotations
@@ -15,25 +16,17 @@ from ..functions.columns import ColumnLike, col, ends_before_start
 from .spread import join_rows_with_keys
 
 
-def _orphan_keys(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
-    """(fk, n_rows) for every non-NULL key no parent has."""
-    counts = child.where(F.col(fk).isNotNull()).groupBy(fk).agg(F.count(F.lit(1)).alias("n_rows"))
-    known = parent.select(F.col(pk).alias(fk)).distinct()
-    return counts.join(known, fk, "left_anti")
-
-
 def orphan_count(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
-    """Rows without a parent; a NULL key has none."""
-    nulls = child.agg(F.count_if(F.col(fk).isNull()).alias("n_rows"))
-    return (
-        _orphan_keys(child, fk, parent, pk).select("n_rows").unionByName(nulls)
-        .agg(F.sum("n_rows").alias("orphan_count"))
-    )
+    """Rows without a parent; a NULL key has none. One scan of either table."""
+    counts = child.groupBy(fk).agg(F.count(F.lit(1)).alias("n_rows"))
+    known = parent.select(F.col(pk).alias(fk)).distinct()
+    return counts.join(known, fk, "left_anti").agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("orphan_count"))
 
 
 def orphan_rows(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
-    found = join_rows_with_keys(child.where(F.col(fk).isNotNull()), _orphan_keys(child, fk, parent, pk), [fk])
-    return found.unionByName(child.where(F.col(fk).isNull()))
+    """The rows without a parent, NULL keys included."""
+    known = parent.select(F.col(pk).alias("__pk"))
+    return child.join(known, child[fk] == known["__pk"], "left_anti")
 
 
 def temporal_violations(df: DataFrame, start: ColumnLike, end: ColumnLike) -> DataFrame:

@@ -56,7 +56,8 @@ def dates_to_iso(df: DataFrame, column: str, fmt: str = V.TEXT_DATE_PARSE_FORMAT
 def drop_duplicates(df: DataFrame, keys: Iterable[str], order_by: Iterable[str] = (), keep: str = "first") -> DataFrame:
     """One row per key: the first (or last) by ``order_by``, ties broken by all
     other columns in table order, so the outcome never depends on task order.
-    NULL sorts lowest.
+    NULL sorts lowest. A map (or what holds one) has no order: it takes part in
+    ties by its JSON text and can be no key and no ``order_by`` column.
 
     The choice is a minimum over whole rows, which combines inside each task
     before the shuffle. A window would bring all copies of a hot key to one task.
@@ -66,8 +67,16 @@ def drop_duplicates(df: DataFrame, keys: Iterable[str], order_by: Iterable[str]
     ordered = [c for c in order_by if c not in keys] + rest
     if not ordered:
         return df.select(*df.columns).distinct()
-    pick = F.min if keep == "first" else F.max
-    kept = df.groupBy(*keys).agg(pick(F.struct(*ordered)).alias("kept"))
+    has_map = {f.name for f in df.schema.fields if "map<" in f.dataType.simpleString()}
+    if unordered := has_map & {*keys, *order_by}:
+        raise ValueError(f"maps have no order: {sorted(unordered)}")
+    place = F.struct(*(c for c in ordered if c not in has_map), *(F.to_json(F.struct(c)).alias(f"__{c}") for c in ordered if c in has_map))
+    if not has_map:
+        pick = F.min if keep == "first" else F.max
+        kept = df.groupBy(*keys).agg(pick(place).alias("kept"))
+    else:
+        pick_by = F.min_by if keep == "first" else F.max_by
+        kept = df.groupBy(*keys).agg(pick_by(F.struct(*ordered), place).alias("kept"))
     return kept.select(*(F.col(c) if c in keys else F.col(f"kept.{c}").alias(c) for c in df.columns))
 
 

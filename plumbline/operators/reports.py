@@ -104,7 +104,9 @@ def parse_reports(df: DataFrame, keys: Iterable[str], report: str = "report",
 def merge_reports(first: DataFrame, second: DataFrame, keys: Iterable[str]) -> DataFrame:
     """Two sets of report rows as one per run: map entries of the second
     override, the larger duplicate count wins, list entries occur once, and
-    violations of both are kept in order. One aggregation."""
+    violations of both are kept in order. ``report`` tells the report (0 or 1) a
+    statement comes from and ``seq`` its place there; in order of both they are
+    the merged report. One aggregation."""
     keys = list(keys)
     # the second report's statements come after the first one's
     place = F.struct("priority", "seq")
@@ -134,7 +136,7 @@ def merge_reports(first: DataFrame, second: DataFrame, keys: Iterable[str]) -> D
     )
     return merged.select(
         *keys, "section",
-        (F.col("place.priority") * F.lit(1_000_000) + F.col("place.seq")).alias("seq"),
+        F.col("place.priority").alias("report"), F.col("place.seq").alias("seq"),
         F.coalesce("name", "item_field").alias("field"),
         *(F.col(f"best.{c}") for c in ("issue_type", "value", "n_reported", "confidence")),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import drift as D, duplicates as U, relational as R
 from ..functions import vocabulary as V
@@ -42,6 +42,16 @@ def duplicate_findings(df: DataFrame, table_name: str, columns: Iterable[str], a
     )
 
 
+def exact_duplicate_finding(df: DataFrame, table_name: str, columns: Iterable[str]) -> DataFrame:
+    columns = list(columns)
+    counts = U.distinct_records(df, columns).agg(
+        F.coalesce(F.sum(F.col("n_copies") - 1), F.lit(0)).alias("bad"), F.coalesce(F.sum("n_copies"), F.lit(0)).alias("n")
+    )
+    return as_rows(
+        counts, finding("exact_duplicates", table_name, ",".join(columns), "exact_duplicate", F.col("bad"), F.col("n"))
+    )
+
+
 def audit_nulls_duplicates(df: DataFrame, table_name: str, missing: Iterable[str], nulls: Iterable[str],
                            records: Iterable[str], anchors: Iterable[str] = ()) -> DataFrame:
     """Missing values (real or disguised) of ``missing``, real nulls of
@@ -65,21 +75,54 @@ def audit_conformance(df: DataFrame, table_name: str, amounts: Iterable[str] = (
     ])
 
 
-def mean_shift_finding(base: DataFrame, current: DataFrame, table_name: str, column: str) -> DataFrame:
-    """``n_bad`` is all current rows once the mean moved; ``rate`` is the relative move."""
+def mean_shift_finding(base: DataFrame, current: DataFrame, table_name: str, column: str,
+                       min_move: float = V.MIN_MOVE) -> DataFrame:
+    """``n_bad`` is all current rows once the mean moved by more than ``min_move``
+    of the baseline mean; ``rate`` is that relative move. A mean that is NULL in
+    one snapshot only (all values gone, or the first ones) has moved."""
     means = D.tagged(base, current, column).agg(
         F.avg(D.of_baseline(column)).alias("b"), F.avg(D.of_current(column)).alias("c"),
         F.count_if(F.col("is_current")).alias("n"),
     )
-    text = F.format_string("mean shift from %.2f to %.2f", "b", "c")
+    moved = F.abs(F.col("c") - F.col("b")) > F.lit(min_move) * F.abs("b")
+    moved = F.coalesce(moved, F.col("b").isNull() != F.col("c").isNull())
+
+    def shown(mean: str) -> Column:
+        return F.when(F.col(mean).isNull(), "none").otherwise(F.format_string("%.2f", mean))
+
+    text = F.concat(F.lit("mean shift from "), shown("b"), F.lit(" to "), shown("c"))
     return as_rows(
         means,
-        finding("mean_shift", table_name, column, "mean_shift",
-                F.when(F.col("b") != F.col("c"), F.col("n")).otherwise(0), F.col("n"), text,
+        finding("mean_shift", table_name, column, "mean_shift", F.when(moved, F.col("n")).otherwise(0), F.col("n"), text,
                 rate=F.abs(F.col("c") - F.col("b")) / F.abs(F.nullif("b", F.lit(0.0)))),
     )
 
 
+def distribution_finding(base: DataFrame, current: DataFrame, table_name: str, column: str,
+                         quantiles: Iterable[float] = (0.25, 0.5, 0.75), min_move: float = V.MIN_MOVE, exact: bool = True) -> DataFrame:
+    """``n_bad`` is all current rows once the standard deviation or a percentile
+    moved by more than ``min_move`` baseline standard deviations; ``rate`` is the
+    largest such move and the example names what moved. NULL on one side only has moved."""
+    size = current.agg(F.count(F.lit(1))).scalar()
+    stats = D.distribution_shift(base, current, column, quantiles, exact).where("statistic <> 'ignored'")
+    spread = F.max(F.when(F.col("statistic") == "stddev", F.col("baseline_value"))).alias("spread")
+    told = stats.agg(
+        spread, F.collect_list(F.struct("statistic", "baseline_value", "current_value", F.abs("delta").alias("move"))).alias("rows")
+    )
+    moved = F.filter("rows", lambda r: F.coalesce(
+        r["move"] > F.lit(min_move) * F.col("spread"), r["baseline_value"].isNull() != r["current_value"].isNull()
+    ))
+    names = F.array_sort(F.transform(moved, lambda r: r["statistic"]))
+    judged = told.select(
+        size.alias("n"), names.alias("names"), (F.array_max(F.transform("rows", lambda r: r["move"])) / F.nullif("spread", F.lit(0.0))).alias("rate")
+    )
+    return as_rows(
+        judged,
+        finding("distribution_shift", table_name, column, "distribution_shift", F.when(F.size("names") > 0, F.col("n")).otherwise(0), F.col("n"),
+                F.when(F.size("names") > 0, F.concat(F.lit("moved: "), F.array_join("names", ", "))), rate=F.col("rate")),
+    )
+
+
 def new_category_findings(base: DataFrame, current: DataFrame, table_name: str, column: str) -> DataFrame:
     """One row per category only the current snapshot has; the table size is a
     scalar subquery."""
@@ -103,9 +146,14 @@ def reference_drift_finding(base: DataFrame, current: DataFrame, table_name: str
 
 
 def audit_drift(base: DataFrame, current: DataFrame, table_name: str, measures: Iterable[str] = (),
-                categories: Iterable[str] = (), references: Iterable[str] = ()) -> DataFrame:
+                categories: Iterable[str] = (), references: Iterable[str] = (), distributions: Iterable[str] = (),
+                min_move: float = V.MIN_MOVE, exact: bool = True) -> DataFrame:
+    """Means of ``measures``, spread and percentiles of ``distributions``, new
+    ``categories``, unknown ``references``. ``exact=False`` reads percentiles
+    from bounded sketches."""
     return all_findings(
-        *(mean_shift_finding(base, current, table_name, c) for c in measures),
+        *(mean_shift_finding(base, current, table_name, c, min_move) for c in measures),
+        *(distribution_finding(base, current, table_name, c, min_move=min_move, exact=exact) for c in distributions),
         *(new_category_findings(base, current, table_name, c) for c in categories),
         *(reference_drift_finding(base, current, table_name, c) for c in references),
     )
@@ -148,7 +196,9 @@ def audit_relational(orphans: Mapping | None = None, temporal: Mapping | None =
                      totals: Mapping | None = None) -> DataFrame:
     """Each argument holds the keyword arguments of one check:
     ``orphan_finding``, ``suite.run_checks`` (df, table_name, start, end) and
-    ``mismatch_finding``."""
+    ``mismatch_finding``. Each check scans its own tables: the time check needs
+    single lines with their order, the totals lines folded per order, and a
+    shuffle shared by both would carry whole lines where the fold carries sums."""
     parts = []
     if orphans:
         parts.append(orphan_finding(**orphans))
@@ -158,3 +208,17 @@ def audit_relational(orphans: Mapping | None = None, temporal: Mapping | None =
     if totals:
         parts.append(mismatch_finding(**totals))
     return all_findings(*parts)
+
+
+def full_audit(nulls_duplicates: Iterable[Mapping] = (), conformance: Iterable[Mapping] = (), drift: Iterable[Mapping] = (),
+               relational: Iterable[Mapping] = ()) -> DataFrame:
+    """All audits over any tables as one set of findings. Each argument lists the
+    keyword arguments of calls to the audit of that name."""
+    calls = (
+        (audit_nulls_duplicates, nulls_duplicates), (audit_conformance, conformance), (audit_drift, drift),
+        (audit_relational, relational),
+    )
+    parts = [audit(**arguments) for audit, many in calls for arguments in many]
+    if not parts:
+        raise ValueError("nothing to audit")
+    return all_findings(*parts)

@@ -47,8 +47,19 @@ FROM customer c JOIN spend s ON c.c_custkey = s.o_custkey GROUP BY c.c_mktsegmen
 
 @query(AD_HOC)
 def guarded_sql(spark, sf):
-    S.register(spark, S.load(spark, sf, ("customer", "orders")))
-    return S.run_sql(spark, AD_HOC)
+    tables = S.load(spark, sf, ("customer", "orders"))
+    S.register(spark, tables)
+    return S.run_sql(spark, AD_HOC, tables)
+
+
+WHOLE_RESULT = "SELECT o_orderkey, o_custkey, 'U' <> o_orderstatus AS kept FROM orders WHERE o_totalprice IS DISTINCT FROM 0"
+
+
+@query(WHOLE_RESULT)
+def guarded_sql_whole_result(spark, sf):
+    tables = S.load(spark, sf, ("orders",))
+    S.register(spark, tables)
+    return S.run_sql(spark, WHOLE_RESULT, tables)
 
 
 @query("""
@@ -56,4 +67,4 @@ SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DES
 """)
 def result_preview(spark, sf):
     orders = S.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    return S.preview(orders, [F.desc("o_totalprice"), F.asc("o_orderkey")])
+    return S.preview(orders, [F.desc("o_totalprice"), F.asc("o_orderkey")], 50)

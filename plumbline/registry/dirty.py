@@ -11,9 +11,8 @@ from ..sources.catalog import table
 
 SPLIT = "2024-01-16"
 NEW_CATEGORIES = ("crypto", "NFT")
-NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[nN][aA][nN]|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
-ISO = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T].*)?\s*$"
-TOKENS_SQL = "('null','n/a','unknown','-','','0','none')"
+NUMBER, ISO = V.NUMBER_PATTERN, V.ISO_DATE_PATTERN
+TOKENS_SQL = "(" + ",".join(f"'{t}'" for t in V.NULL_TOKENS) + ")"
 
 
 def _list(values) -> str:
@@ -52,15 +51,24 @@ customers AS (
 
 def customers_with_near_copies(spark: SparkSession, sf: str) -> DataFrame:
     """Exact copies, copies with another nation, and copies with another nation and balance."""
-    df = customers_with_copies(spark, sf)
+    return with_near_copies(table(spark, sf, "customer"))
+
+
+def with_near_copies(customers: DataFrame) -> DataFrame:
     other = F.pmod(F.col("c_nationkey") + 1, F.lit(25))
-    df = I.append_near_copies(df, I.pick_rows("c_custkey", 75, 2), "c_nationkey", other)
-    both = table(spark, sf, "customer").where(I.pick_rows("c_custkey", 120, 9))
-    return df.unionByName(
-        both.withColumn("c_nationkey", other).withColumn("c_acctbal", F.col("c_acctbal") + 1)
+    return I.append_variants(
+        customers,
+        (I.pick_rows("c_custkey", 50, 1), {}),
+        (I.pick_rows("c_custkey", 75, 2), {"c_nationkey": other}),
+        (I.pick_rows("c_custkey", 120, 9), {"c_nationkey": other, "c_acctbal": F.col("c_acctbal") + 1}),
     )
 
 
+def dirty_customers(spark: SparkSession, sf: str) -> DataFrame:
+    """Nulls, disguised nulls, copies and near copies in one table."""
+    return with_near_copies(customers_with_nulls(spark, sf))
+
+
 CUSTOMERS_WITH_NEAR_COPIES = """
 customers AS (
   SELECT * FROM customer
@@ -71,11 +79,16 @@ customers AS (
             FROM customer WHERE c_custkey % 120 = 9)"""
 
 
+DIRTY_CUSTOMERS = CUSTOMERS_WITH_NULLS.replace("customers AS", "nulled AS") + "," + CUSTOMERS_WITH_NEAR_COPIES.replace("FROM customer", "FROM nulled")
+
+
 # --- orders: numbers and dates as text -------------------------------------
 def orders_as_text(spark: SparkSession, sf: str) -> DataFrame:
     df = I.as_currency_text(table(spark, sf, "orders"), "o_totalprice")
     df = I.spoil_numbers(df, "o_totalprice", I.pick_rows("o_orderkey", 101, 7), "o_orderkey")
     df = I.null_out(df, "o_totalprice", I.pick_rows("o_orderkey", 499, 12))
+    df = df.withColumn("quantity", F.pmod("o_custkey", F.lit(19)) + 1)
+    df = I.negate(df, "quantity", I.pick_rows("o_orderkey", 61, 2))
     return I.as_text_date(df, "o_orderdate")
 
 
@@ -85,7 +98,8 @@ dirty_orders AS (
          CASE WHEN o_orderkey % 499 = 12 THEN NULL
               WHEN o_orderkey % 101 = 7 THEN ({_list(V.UNPARSEABLE_MARKERS)})[o_orderkey % 4 + 1]
               ELSE '$' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END AS o_totalprice,
-         strftime(o_orderdate, '%b %d %Y') AS o_orderdate, o_orderpriority
+         strftime(o_orderdate, '%b %d %Y') AS o_orderdate, o_orderpriority,
+         (o_custkey % 19 + 1) * CASE WHEN o_orderkey % 61 = 2 THEN -1 ELSE 1 END AS quantity
   FROM orders)"""
 
 PARSED = f"""CASE WHEN regexp_full_match(replace(o_totalprice, '$', ''), '{NUMBER}')

@@ -39,9 +39,14 @@ def top_runs(spark, sf):
     return H.top_runs(_runs(spark, sf)).select("task_id", "seed", "score", "run_rank")
 
 
-@query(f"WITH {RUNS} SELECT task_id, seed, score FROM runs ORDER BY task_id DESC, score DESC, seed LIMIT 500")
+@query(f"{_TOP} SELECT task_id, seed, score FROM ranked WHERE run_rank <= 500")
 def kept_runs(spark, sf):
-    return H.keep_best_runs(_runs(spark, sf)).select("task_id", "seed", "score")
+    return H.keep_best_runs(_runs(spark, sf), 500).select("task_id", "seed", "score")
+
+
+@query(f"WITH {RUNS} SELECT task_id, seed, score FROM runs ORDER BY task_id DESC, score DESC, seed LIMIT 500")
+def kept_runs_overall(spark, sf):
+    return H.keep_best_runs(_runs(spark, sf), 500, per_task=False).select("task_id", "seed", "score")
 
 
 _NAMES = "[" + ",".join(f"'{n}'" for n in PLAN_SQL) + "]"
@@ -54,3 +59,17 @@ SELECT task_id, query, ROUND(SUM(greatest(0.0, 0.08 - 0.02 * place) * greatest(0
 FROM used GROUP BY 1, 2""")
 def check_weights(spark, sf):
     return H.check_weights(_runs(spark, sf)).withColumn("weight", F.round("weight", 9))
+
+
+@query(f"""{_TOP}, used AS (
+  SELECT task_id, score, place, ({_NAMES})[CAST((start + place) % 7 + 1 AS INTEGER)] AS query
+  FROM ranked, (SELECT unnest(range(0, 6)) AS place) p WHERE run_rank <= 5 AND place < steps),
+weights AS (
+  SELECT task_id, query, SUM(greatest(0.0, 0.08 - 0.02 * place) * greatest(0.0, score)) AS weight FROM used GROUP BY 1, 2),
+asked AS (SELECT DISTINCT task_id, q AS query FROM runs, (SELECT unnest({_NAMES[:-1]}, 'never asked']) AS q) n)
+SELECT task_id, query, ROUND(COALESCE(weight, 0.0), 9) AS weight FROM asked LEFT JOIN weights USING (task_id, query)""")
+def check_weights_of_queries(spark, sf):
+    """A weight for every query of a list, 0 for one that no top run used."""
+    runs = _runs(spark, sf)
+    asked = runs.select("task_id", F.explode(F.array(*map(F.lit, (*PLAN_SQL, "never asked")))).alias("query"))
+    return H.check_weights(runs, queries=asked).withColumn("weight", F.round("weight", 9))

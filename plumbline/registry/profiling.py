@@ -40,16 +40,22 @@ def projected_preview(spark, sf):
 
 
 _SUMMARY = " UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, COUNT({c}) AS n_values, ROUND(SUM({c}), 2) AS sum_value, "
-    f"ROUND(AVG({c}), 6) AS avg_value, CAST(MIN({c}) AS DOUBLE) AS min_value, CAST(MAX({c}) AS DOUBLE) AS max_value "
-    "FROM lineitem"
-    for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    f"SELECT '{c}' AS column_name, COUNT({c}) AS n_values, {'NULL' if exact else f'ROUND(SUM({c}), 2)'} AS sum_value, "
+    f"{'NULL' if exact else f'ROUND(AVG({c}), 6)'} AS avg_value, CAST(MIN({c}) AS DOUBLE) AS min_value, CAST(MAX({c}) AS DOUBLE) AS max_value, "
+    + ", ".join(f"CAST({f}({c}) AS VARCHAR) AS exact_{f.lower()}" if exact else f"CAST(NULL AS VARCHAR) AS exact_{f.lower()}" for f in ("SUM", "MIN", "MAX"))
+    + " FROM summed"
+    for c, exact in (("l_quantity", False), ("l_extendedprice", False), ("big_key", True), ("price", True))
 )
+_SUMMED = """summed AS (SELECT l_quantity, l_extendedprice, 9007199254740993 + l_orderkey AS big_key,
+  CAST(l_extendedprice AS DECIMAL(18,2)) AS price FROM lineitem)"""
 
 
-@query(_SUMMARY)
+@query(f"WITH {_SUMMED} {_SUMMARY}")
 def column_summary(spark, sf):
-    summary = P.column_summary(
-        table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    lines = table(spark, sf, "lineitem").select(
+        "l_quantity", "l_extendedprice", (F.lit(9007199254740993) + F.col("l_orderkey")).alias("big_key"),
+        F.col("l_extendedprice").cast("decimal(18,2)").alias("price"),
     )
-    return summary.withColumn("sum_value", F.round("sum_value", 2)).withColumn("avg_value", F.round("avg_value", 6))
+    summary = P.column_summary(lines, ["l_quantity", "l_extendedprice", "big_key", "price"])
+    # sums of large numbers as doubles depend on their order: shown where there is no exact sum
+    return summary.withColumns({c: F.when(F.col("exact_sum").isNull(), F.round(c, n)) for c, n in (("sum_value", 2), ("avg_value", 6))})

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import inject as I, repair as X
 from ..plans import audits as A, suite
+from ..plans.findings import all_findings
 from ..sources.catalog import table
 from . import query
 from .dirty import (
@@ -94,24 +95,37 @@ def quarantined_rows(spark, sf):
 _BAD = f"lower(trim(c_mktsegment)) IN {TOKENS_SQL}"
 
 
-@query(f"""WITH {CUSTOMERS_WITH_NULLS}, {_NEGATIVE_LINES}, b AS (
+_SURPLUS = "COUNT(*) - COUNT(DISTINCT (c_name, c_nationkey, c_acctbal, c_mktsegment))"
+
+
+@query(f"""WITH {CUSTOMERS_WITH_NULLS}, {_NEGATIVE_LINES},
+copied AS (SELECT * FROM customer UNION ALL SELECT * FROM customer WHERE c_custkey % 50 = 1), b AS (
   SELECT 'disguised_null' AS "check", 'customer' AS table_name, 'c_mktsegment' AS column_name,
          COUNT(*) FILTER (WHERE {_BAD}) AS n FROM customers
   UNION ALL SELECT 'not_negative', 'lineitem', 'l_quantity', COUNT(*) FILTER (WHERE l_quantity < 0) FROM dirty_lines
-  UNION ALL SELECT 'exact_duplicates', 'customer', 'c_name,c_nationkey,c_acctbal,c_mktsegment',
-         COUNT(*) FILTER (WHERE c_custkey % 50 = 1) FROM customer)
-SELECT "check", table_name, column_name, n AS n_bad_before, CAST(0 AS BIGINT) AS n_bad_after, n AS n_fixed,
-       TRUE AS is_resolved FROM b""")
+  UNION ALL SELECT 'null', 'customer', 'c_nationkey', COUNT(*) FILTER (WHERE c_nationkey IS NULL) FROM customers
+  UNION ALL SELECT 'exact_duplicates', 'customer', 'c_name,c_nationkey,c_acctbal,c_mktsegment', {_SURPLUS} FROM copied),
+cleaned AS (SELECT CASE WHEN NOT ({_BAD}) THEN c_mktsegment END AS c_mktsegment, c_nationkey FROM customers),
+set_right AS (SELECT CASE WHEN l_quantity < 0 THEN abs(l_quantity) ELSE l_quantity END AS l_quantity FROM dirty_lines),
+once AS (SELECT DISTINCT c_name, c_nationkey, c_acctbal, c_mktsegment FROM copied),
+a AS (
+  SELECT 'disguised_null' AS "check", COUNT(*) FILTER (WHERE {_BAD}) AS n FROM cleaned
+  UNION ALL SELECT 'not_negative', COUNT(*) FILTER (WHERE l_quantity < 0) FROM set_right
+  UNION ALL SELECT 'null', COUNT(*) FILTER (WHERE c_nationkey IS NULL) FROM cleaned
+  UNION ALL SELECT 'exact_duplicates', {_SURPLUS} FROM once)
+SELECT b."check", b.table_name, b.column_name, b.n AS n_bad_before, a.n AS n_bad_after, b.n - a.n AS n_fixed,
+       a.n = 0 AS is_resolved FROM b JOIN a ON b."check" = a."check" ORDER BY 1""")
 def repair_verified(spark, sf):
     customers, lines = customers_with_nulls(spark, sf), _negative_lines(spark, sf)
     copies = customers_with_copies(spark, sf)
 
     def checks(customers, lines, copies):
-        found = suite.run_checks(customers, "customer", [suite.disguised_null("c_mktsegment")]).unionByName(
-            suite.run_checks(lines, "lineitem", [suite.not_negative("l_quantity")])
+        # no repair puts the lost nations back: that row stays unresolved
+        return all_findings(
+            suite.run_checks(customers, "customer", [suite.disguised_null("c_mktsegment"), suite.null("c_nationkey")]),
+            suite.run_checks(lines, "lineitem", [suite.not_negative("l_quantity")]),
+            A.exact_duplicate_finding(copies, "customer", RECORD),
         )
-        duplicates = A.duplicate_findings(copies, "customer", RECORD, ["c_name"])
-        return found.unionByName(duplicates.where(F.col("check") == "exact_duplicates"))
 
     return X.compare_findings(
         checks(customers, lines, copies),

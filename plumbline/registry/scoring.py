@@ -73,10 +73,9 @@ def _map_section(name):
   {value} AS value, {_count(value)} AS n_reported,
   CASE WHEN json_type(v) = 'OBJECT' THEN COALESCE(CAST(json_extract_string(v, '$.confidence') AS DOUBLE), 0.5)
        ELSE 0.5 END AS confidence
-FROM (SELECT run_id, k, i, json_extract(report, '$.{name}."' || k || '"') AS v FROM (
-        SELECT run_id, report, unnest(json_keys(report, '$.{name}')) AS k,
-               unnest(range(0, len(json_keys(report, '$.{name}')))) AS i
-        FROM reports WHERE json_type(report, '$.{name}') = 'OBJECT') a) b"""
+FROM (SELECT run_id, unnest(json_keys(report, '$.{name}')) AS k, unnest(json_extract(report, '$.{name}.*')) AS v,
+             unnest(range(0, len(json_keys(report, '$.{name}')))) AS i
+      FROM reports WHERE json_type(report, '$.{name}') = 'OBJECT') b"""
 
 
 def _item_section(name):
@@ -85,24 +84,24 @@ def _item_section(name):
 
     return f"""SELECT run_id, '{name}', CAST(i AS INTEGER), {at('column')}, {at('issue_type')}, {at('example')},
   COALESCE({_count(at('count'))}, 0), COALESCE(CAST({at('confidence')} AS DOUBLE), 0.5)
-FROM (SELECT run_id, i, json_extract(report, '$.{name}[' || i || ']') AS v FROM (
-        SELECT run_id, report, unnest(range(0, CAST(json_array_length(report, '$.{name}') AS BIGINT))) AS i
-        FROM reports WHERE json_type(report, '$.{name}') = 'ARRAY') a) b"""
+FROM (SELECT run_id, unnest(json_extract(report, '$.{name}[*]')) AS v,
+             unnest(range(0, CAST(json_array_length(report, '$.{name}') AS BIGINT))) AS i
+      FROM reports WHERE json_type(report, '$.{name}') = 'ARRAY') b"""
 
 
 def _list_section(name):
     item = "json_extract_string(v, '$')"
     return f"""SELECT run_id, '{name}', CAST(i AS INTEGER), {item}, NULL, {item}, NULL, NULL
-FROM (SELECT run_id, i, json_extract(report, '$.{name}[' || i || ']') AS v FROM (
-        SELECT run_id, report, unnest(range(0, CAST(json_array_length(report, '$.{name}') AS BIGINT))) AS i
-        FROM reports WHERE json_type(report, '$.{name}') = 'ARRAY') a) b"""
+FROM (SELECT run_id, unnest(json_extract(report, '$.{name}[*]')) AS v,
+             unnest(range(0, CAST(json_array_length(report, '$.{name}') AS BIGINT))) AS i
+      FROM reports WHERE json_type(report, '$.{name}') = 'ARRAY') b"""
 
 
 _DUP = "json_extract(report, '$.duplicate_row_count')"
 _DUP_COUNT = f"""COALESCE({_count(f"CASE WHEN json_type({_DUP}) = 'OBJECT' THEN json_extract_string({_DUP}, '$.value') ELSE json_extract_string({_DUP}, '$') END")}, 0)"""
 _DUP_ROWS = f"""SELECT run_id, 'duplicate_row_count', 0, NULL, NULL, CAST({_DUP_COUNT} AS VARCHAR), {_DUP_COUNT},
   COALESCE(NULLIF(CAST(json_extract_string({_DUP}, '$.confidence') AS DOUBLE), 0), 0.5) FROM reports"""
-PARSED = f"{REPORTS}, parsed AS (" + " UNION ALL ".join((
+PARSED = f"{REPORTS}, parsed AS MATERIALIZED (" + " UNION ALL ".join((
     _map_section("null_issues"), _map_section("drift_details"), _DUP_ROWS,
     _item_section("schema_violations"), _item_section("relational_issues"),
     _list_section("drifted_columns"), _list_section("recommended_fixes"),
@@ -358,10 +357,10 @@ def run_regressions(spark, sf):
 
 
 # --- merging two reports of a run ---------------------------------------------------
-_MERGED = f"""WITH {PARSED.replace('reports AS (', 'all_reports AS (', 1).replace('parsed AS (', 'reports AS (SELECT * FROM all_reports), parsed AS (', 1)},
+_MERGED = f"""WITH {PARSED},
 second AS (SELECT p.* REPLACE (p.run_id - 1 AS run_id) FROM parsed p WHERE p.run_id % 2 = 1),
 both_rows AS (SELECT *, 0 AS priority FROM parsed WHERE run_id % 2 = 0 UNION ALL SELECT *, 1 FROM second),
-placed AS (SELECT *, priority * 1000000 + seq AS place FROM both_rows),
+placed AS (SELECT *, struct_pack(p := priority, s := seq) AS place FROM both_rows),
 first_place AS (
   SELECT *, MIN(place) OVER w AS min_place,
          row_number() OVER (PARTITION BY run_id, section, field ORDER BY
@@ -370,10 +369,10 @@ first_place AS (
            CASE WHEN section IN ('drifted_columns', 'recommended_fixes') THEN -seq ELSE seq END DESC,
            value DESC, confidence DESC) AS rn
   FROM placed WINDOW w AS (PARTITION BY run_id, section, field))
-SELECT run_id, section, CAST(min_place AS BIGINT) AS seq, field, issue_type, value, n_reported, confidence
+SELECT run_id, section, min_place.p AS report, CAST(min_place.s AS BIGINT) AS seq, field, issue_type, value, n_reported, confidence
 FROM first_place WHERE section NOT IN ('schema_violations', 'relational_issues') AND rn = 1
 UNION ALL
-SELECT run_id, section, CAST(place AS BIGINT), field, issue_type, value, n_reported, confidence
+SELECT run_id, section, place.p, CAST(place.s AS BIGINT), field, issue_type, value, n_reported, confidence
 FROM placed WHERE section IN ('schema_violations', 'relational_issues')"""
 
 

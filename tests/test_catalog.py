@@ -31,10 +31,28 @@ def test_allowed_statements(text):
     assert S.guard(text) == text.strip()
 
 
-def test_run_sql_is_capped(spark):
+def test_run_sql_returns_the_whole_result(spark):
     S.register(spark, {"numbers": spark.range(500).toDF("n")})
-    assert S.run_sql(spark, "SELECT n FROM numbers;").count() == 100
-    assert S.run_sql(spark, "SELECT n FROM numbers", max_rows=None).count() == 500
+    assert S.run_sql(spark, "SELECT n FROM numbers;").count() == 500
+    assert S.run_sql(spark, "WITH a AS (SELECT n FROM numbers), b AS (SELECT * FROM a) SELECT * FROM a JOIN b USING (n)", ["numbers"]).count() == 500
+
+
+@pytest.mark.parametrize("text", [
+    "SELECT * FROM parquet.`/root/testdata/sf0.001/region.parquet`",
+    "SELECT (SELECT count(*) FROM json . `/tmp/x`) AS n",
+    "SELECT reflect('java.lang.System', 'getProperty', 'user.home')",
+    "SELECT try_reflect ('java.lang.System', 'exit', 1)", "SELECT java_method('a', 'b')",
+    "SELECT 'update'", "SELECT * FROM other", "SELECT * FROM numbers, other o", "SELECT * FROM numbers n JOIN other ON true",
+    "SELECT n FROM numbers WHERE n IN (SELECT n FROM global_temp.other)",
+])
+def test_reads_of_anything_else_are_refused(spark, text):
+    with pytest.raises(S.RefusedStatement):
+        S.run_sql(spark, text, ["numbers"])
+
+
+def test_named_tables():
+    assert S.named_tables("SELECT EXTRACT(year FROM d), 'from x' FROM a, b AS c -- from d\n LEFT JOIN e ON a.k IS DISTINCT FROM e.k") == {"a", "b", "e"}
+    assert S.named_tables("WITH t (x) AS (SELECT 1), u AS (SELECT * FROM v) SELECT * FROM t, u") == {"v"}
 
 
 def test_preview_is_ordered(spark):

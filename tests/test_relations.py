@@ -131,28 +131,48 @@ def test_repeated_parent_meets_its_lines_as_often(spark, rows):
 
 
 # --- the salted join -----------------------------------------------------------------
-@pytest.mark.parametrize("hot_from", [1, 2, 1000])
+@pytest.mark.parametrize("rows_per_task", [1, 2, 1000])
 @pytest.mark.parametrize("how, expected", [
     ("left_semi", [1, 1, None]), ("left_anti", [2, 3]), ("left", [1, 1, 2, 3, None]), ("inner", [1, 1, None]),
 ])
-def test_salted_join_matches_a_plain_one(spark, how, expected, hot_from):
+def test_salted_join_matches_a_plain_one(spark, how, expected, rows_per_task):
     left = spark.createDataFrame([(1,), (1,), (2,), (3,), (None,)], "k long").repartition(3)
     keys = spark.createDataFrame([(1, "a", 2), (None, "b", 1), (7, "c", 0)], "k long, tag string, n_rows long")
-    got = join_rows_with_keys(left, keys, ["k"], how, hot_from=hot_from, salts=4)
+    got = join_rows_with_keys(left, keys, ["k"], how, rows_per_task=rows_per_task)
     assert sorted((r.k for r in got.collect()), key=lambda k: (k is None, k)) == expected
     assert got.columns == (["k", "tag"] if how in ("left", "inner") else ["k"])
 
 
-@pytest.mark.parametrize("hot_from, spread_out", [(10000, True), (10**9, False)])
-def test_salted_join_spreads_a_hot_key(spark, hot_from, spread_out):
+@pytest.mark.parametrize("shuffled", [False, True])
+@pytest.mark.parametrize("rows_per_task, spread_out", [(5000, True), (10**9, False)])
+def test_salted_join_spreads_a_hot_key(spark, rows_per_task, spread_out, shuffled):
     left = spark.range(0, 40000, numPartitions=16).select(F.lit(1).alias("k"), "id")
+    left = left.repartition(8, "k") if shuffled else left
     keys = spark.createDataFrame([(1, 40000)], "k int, n_rows long")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        joined = join_rows_with_keys(left, keys, ["k"], hot_from=hot_from)
+        joined = join_rows_with_keys(left, keys, ["k"], rows_per_task=rows_per_task)
         tasks = joined.groupBy(F.spark_partition_id()).count().collect()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sum(r["count"] for r in tasks) == 40000 and (len(tasks) > 1) == spread_out
+
+
+def test_salts_grow_with_the_key(spark):
+    left = spark.range(0, 40000, numPartitions=4).select(F.when(F.col("id") < 30000, 1).otherwise(2).alias("k"), F.lit(0).alias("same"))
+    keys = spark.createDataFrame([(1, 30000), (2, 10000)], "k int, n_rows long")
+    plan = join_rows_with_keys(left, keys, ["k"], rows_per_task=5000)
+    assert plan.count() == 40000
+
+
+def test_orphan_rows_scan_each_table_once(spark, tmp_path):
+    for name, df in (("child", spark.range(100).select((F.col("id") % 7).alias("fk"), "id")), ("parent", spark.range(5).toDF("pk"))):
+        df.write.parquet(str(tmp_path / name))
+    child, parent = (spark.read.parquet(str(tmp_path / n)) for n in ("child", "parent"))
+    for made in (R.orphan_rows(child, "fk", parent, "pk"), R.orphan_count(child, "fk", parent, "pk")):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 2
+    assert R.orphan_rows(child, "fk", parent, "pk").count() == 28
+    assert R.orphan_count(child, "fk", parent, "pk").first()[0] == 28

@@ -95,7 +95,7 @@ def test_merge(spark):
                            "schema_violations": [{"column": "x", "issue_type": "t"}], "drifted_columns": ["p", "q"]})
     second = _parse(spark, {"null_issues": {"a": {"value": 7, "confidence": 0.1}}, "duplicate_row_count": 4,
                             "schema_violations": [{"column": "x", "issue_type": "t"}], "drifted_columns": ["q", "r"]})
-    rows = R.merge_reports(first, second, ["run"]).orderBy("section", "seq").collect()
+    rows = R.merge_reports(first, second, ["run"]).orderBy("section", "report", "seq").collect()
     assert [(r.section, r.field, r.n_reported) for r in rows] == [
         ("drifted_columns", "p", None), ("drifted_columns", "q", None), ("drifted_columns", "r", None),
         ("duplicate_row_count", None, 9), ("null_issues", "a", 7), ("null_issues", "b", 2),
@@ -198,7 +198,14 @@ def test_check_weights(spark, runs, rows):
 
 
 def test_keep_best(runs):
-    assert [(r.task_id, r.score) for r in H.keep_best_runs(runs, 2).collect()] == [(2, -0.5), (1, 0.9)]
+    assert [(r.task_id, r.score) for r in H.keep_best_runs(runs, 2, per_task=False).collect()] == [(2, -0.5), (1, 0.9)]
+    assert {r.task_id for r in H.keep_best_runs(runs, 1).collect()} == {1, 2}
+
+
+def test_no_task_is_emptied(spark):
+    many = spark.range(2000).select((F.col("id") % 4).cast("int").alias("task_id"), F.col("id").alias("seed"), (F.col("id") / 2000).alias("score"))
+    kept = {r.task_id: r["count"] for r in H.keep_best_runs(many, 300).groupBy("task_id").count().collect()}
+    assert kept == {0: 300, 1: 300, 2: 300, 3: 300}
 
 
 # --- query log ------------------------------------------------------------------------------
