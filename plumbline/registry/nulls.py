@@ -1,7 +1,7 @@
 """Real and disguised nulls in customer and, for disguises, in whole texts."""
 
 from ..functions.vocabulary import ROW_FLAG_TOKENS
-from ..operators import nulls as N
+from ..operators import inject as I, nulls as N
 from ..sources.catalog import table
 from . import query
 from .dirty import CUSTOMERS_WITH_NULLS, TOKENS_SQL, customers_with_nulls
@@ -53,10 +53,20 @@ def null_row_flags(spark, sf):
     return flagged.select("c_custkey", "has_missing")
 
 
-@query(" UNION ALL ".join(
+_DIRTY_DOCUMENTS = """dirty_documents AS (
+  SELECT CASE WHEN doc_id % 41 = 3 THEN NULL ELSE text END AS text, CASE WHEN doc_id % 37 = 2 THEN 'UNKNOWN' ELSE lang END AS lang,
+         CASE WHEN doc_id % 29 = 1 THEN NULL WHEN doc_id % 31 = 4 THEN ' n/a ' ELSE source END AS source FROM documents)"""
+
+
+@query(f"WITH {_DIRTY_DOCUMENTS} " + " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, {_n(f'{c} IS NULL', 'n_null')}, {_n(_disguised(c), 'n_disguised')}, "
-    f"{_n(f'{c} IS NULL OR {_disguised(c)}', 'n_missing')}, COUNT(*) AS n_rows FROM documents"
+    f"{_n(f'{c} IS NULL OR {_disguised(c)}', 'n_missing')}, COUNT(*) AS n_rows FROM dirty_documents"
     for c in ("text", "lang", "source")
 ))
 def missing_counts_in_documents(spark, sf):
-    return N.missing_counts(table(spark, sf, "documents"), ["text", "lang", "source"])
+    docs = table(spark, sf, "documents")
+    docs = I.null_out(docs, "text", I.pick_rows("doc_id", 41, 3))
+    docs = I.disguise(docs, "lang", I.pick_rows("doc_id", 37, 2), "doc_id", ["UNKNOWN"])
+    docs = I.disguise(docs, "source", I.pick_rows("doc_id", 31, 4), "doc_id", [" n/a "])
+    docs = I.null_out(docs, "source", I.pick_rows("doc_id", 29, 1))
+    return N.missing_counts(docs, ["text", "lang", "source"])

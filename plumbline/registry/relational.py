@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import relational as R
+from ..operators import inject as I, relational as R
 from ..sources.catalog import table
 from . import query
 from .dirty import ORDERS_WITH_LINE_TOTALS, ORDERS_WITH_ORPHANS, orders_with_line_totals, orders_with_orphans
@@ -21,10 +21,12 @@ def orphan_rows(spark, sf):
     return rows.select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-@query("""SELECT COUNT(*) AS orphan_count FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id
+@query("""SELECT COUNT(*) AS orphan_count FROM labels l LEFT JOIN documents d
+  ON CASE WHEN l.doc_id % 40 = 1 THEN l.doc_id + 1000000000000 ELSE l.doc_id END = d.doc_id
 WHERE d.doc_id IS NULL""")
 def orphan_labels(spark, sf):
-    return R.orphan_count(table(spark, sf, "labels"), "doc_id", table(spark, sf, "documents"), "doc_id")
+    labels = I.orphan_keys(table(spark, sf, "labels"), "doc_id", I.pick_rows("doc_id", 40, 1), 1_000_000_000_000)
+    return R.orphan_count(labels, "doc_id", table(spark, sf, "documents"), "doc_id")
 
 
 def _lines_with_orders(spark, sf):

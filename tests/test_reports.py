@@ -9,26 +9,20 @@ from plumbline.functions import scoring as S
 from plumbline.operators import evaluate as E, history as H, querylog as Q, reports as R
 
 
-def _accuracy(reported, actual, tolerance=0.15):
-    if actual == 0:
-        return 1.0 if reported == 0 else 0.0
-    off = abs(reported - actual) / actual
-    return max(0.0, 1.0 - (off / tolerance if off <= tolerance else off))
-
-
 def _parse(spark, *reports):
     values = [(i, r if isinstance(r, str) or r is None else json.dumps(r)) for i, r in enumerate(reports)]
     return R.parse_reports(spark.createDataFrame(values, "run long, report string"), ["run"])
 
 
 # --- formulas -----------------------------------------------------------------------
-@pytest.mark.parametrize("reported, actual", [
-    (0, 0), (3, 0), (0, 10), (114, 100), (115, 100), (116, 100), (300, 100), (86, 100), (85, 100), (84, 100), (7, 7),
+@pytest.mark.parametrize("reported, actual, accuracy", [
+    (0, 0, 1.0), (3, 0, 0.0), (0, 10, 0.0), (103, 100, 0.8), (112, 100, 0.2), (115, 100, 0.0), (116, 100, 0.84), (150, 100, 0.5),
+    (300, 100, 0.0), (94, 100, 0.6), (85, 100, 0.0), (84, 100, 0.84), (7, 7, 1.0),
 ])
-def test_count_accuracy(spark, one, reported, actual):
+def test_count_accuracy(spark, one, reported, actual, accuracy):
     df = spark.createDataFrame([(reported, actual)], "r long, a long")
     got = one(df.select(S.count_accuracy("r", "a").alias("s"), S.count_accuracy("r", "a", monotone=True).alias("m")))
-    assert got["s"] == pytest.approx(_accuracy(reported, actual), abs=1e-9)
+    assert got["s"] == pytest.approx(accuracy, abs=1e-9)
     assert 0.0 <= got["m"] <= 1.0
 
 
