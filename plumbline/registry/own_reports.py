@@ -30,24 +30,33 @@ def _findings(spark, sf) -> DataFrame:
 
 
 # --- grading -------------------------------------------------------------------
+_CHECKS = (
+    "missing", "null", "exact_duplicates", "near_duplicates", "number_type", "iso_format", "not_negative", "parseable", "mean_shift",
+    "orphans", "ordered", "aggregate_mismatch",
+)
+_FACTS = "facts AS MATERIALIZED (SELECT " + ", ".join(
+    f"max(n_bad) FILTER (WHERE \"check\" = '{c}') AS n_{c}, max(confidence) FILTER (WHERE \"check\" = '{c}') AS conf_{c}" for c in _CHECKS
+) + """, list(example) FILTER (WHERE "check" = 'new_category') AS said,
+  CAST(replace(max(example) FILTER (WHERE "check" = 'novel_reference'), '%', '') AS DOUBLE) / 100 AS said_share FROM findings)"""
+
+
 def _n(check):
-    return f"(SELECT n_bad FROM findings WHERE \"check\" = '{check}')"
+    return f"n_{check}"
 
 
 def _counted(check, actual, above):
     accuracy = _accuracy(_n(check), actual)
-    confidence = f"(SELECT confidence FROM findings WHERE \"check\" = '{check}')"
-    return f"CASE WHEN {_n(check)} > 0 THEN {_brier(accuracy, confidence, f'{accuracy} > {above}')} ELSE 0.0 END"
+    return f"CASE WHEN {_n(check)} > 0 THEN {_brier(accuracy, f'conf_{check}', f'{accuracy} > {above}')} ELSE 0.0 END"
 
 
 def _seen(check, confidence, credit="1.0"):
     return f"CASE WHEN {_n(check)} > 0 THEN {_brier(credit, confidence, 'TRUE')} ELSE 0.0 END"
 
 
-_SAID = "(SELECT list(example) FROM findings WHERE \"check\" = 'new_category')"
+_SAID = "said"
 _HITS = f"CAST(len(list_intersect({_SAID}, ['crypto', 'NFT'])) AS DOUBLE)"
 _F1 = f"(2.0 * ({_HITS} / len({_SAID})) * ({_HITS} / 2) / greatest({_HITS} / len({_SAID}) + {_HITS} / 2, 1e-6))"
-_SHARE = "(SELECT CAST(replace(example, '%', '') AS DOUBLE) / 100 FROM findings WHERE \"check\" = 'novel_reference')"
+_SHARE = "said_share"
 _SCORES = {
     "nulls_duplicates": {
         "null_email": _counted("missing", "t.null_text", 0.6), "null_cid": _counted("null", "t.null_key", 0.6),
@@ -67,7 +76,7 @@ _SCORES = {
         "aggregates": _counted("aggregate_mismatch", "t.mismatch_count", 0.5),
     },
 }
-_TRUTH = f"""truth AS (SELECT
+_TRUTH = f"""truth AS MATERIALIZED (SELECT
   (SELECT COUNT(*) FILTER (WHERE c_custkey % 97 = 3 OR c_custkey % 89 = 5) FROM (WITH {DIRTY_CUSTOMERS} SELECT * FROM customers) c) AS null_text,
   (SELECT COUNT(*) FILTER (WHERE c_custkey % 131 = 8) FROM (WITH {DIRTY_CUSTOMERS} SELECT * FROM customers) c) AS null_key,
   (SELECT COUNT(*) FILTER (WHERE c_custkey % 50 = 1) FROM customer) AS exact_duplicates,
@@ -81,10 +90,10 @@ _TRUTH = f"""truth AS (SELECT
 
 def _graded(audit):
     total = " + ".join(f"{_strict(f'CAST({score} AS DOUBLE)')} * {V.WEIGHTS[audit][name]}" for name, score in _SCORES[audit].items())
-    return f"SELECT '{audit}' AS audit, {_strict(f'CAST(ROUND(CAST({total} AS DECIMAL(18,10)), 4) AS DOUBLE)')} AS total FROM truth t"
+    return f"SELECT '{audit}' AS audit, {_strict(f'CAST(ROUND(CAST({total} AS DECIMAL(18,10)), 4) AS DOUBLE)')} AS total FROM truth t, facts"
 
 
-@query(f"WITH {FINDINGS}, {_TRUTH} " + " UNION ALL ".join(map(_graded, _AUDITS)))
+@query(f"WITH {FINDINGS}, {_FACTS}, {_TRUTH} " + " UNION ALL ".join(map(_graded, _AUDITS)))
 def graded_own_audit(spark, sf):
     """Findings of each audit -> report rows -> grade against what was injected."""
     rows = P.report_rows(_findings(spark, sf), ["audit"]).withColumn(
