@@ -47,7 +47,7 @@ def test_ordinal_grades_in_order():
         n = int(rng.integers(0, 12))
         texts.append(" ".join(["bad"] * n + [f"w{rng.integers(0, 30)}" for _ in range(30)]))
         grades.append(0 if n < 2 else 1 if n < 5 else 2 if n < 9 else 3)
-    model = toxicity.fit(texts, grades)
+    model = toxicity.fit(toxicity.Texts.of(texts), grades)
     assert len(model.thresholds) == 3 and (np.diff(model.thresholds) > 0).all()
 
     def severity(text):
@@ -60,9 +60,9 @@ def test_ordinal_grades_in_order():
 
 
 def test_gradient_descends_to_the_grade_shares():
-    model = toxicity.fit(["same words"] * 100, [0] * 60 + [1] * 30 + [2] * 10)
+    model = toxicity.fit(toxicity.Texts.of(["same words"] * 100), [0] * 60 + [1] * 30 + [2] * 10)
     assert model.severity(0.0) == pytest.approx(0.4 + 0.1, abs=0.05)
-    assert toxicity.fit([], []).severity(0.0) < 1e-9 and toxicity.fit(["a"], [1]).severity(0.0) > 0.99
+    assert toxicity.fit(toxicity.Texts.of([]), []).severity(0.0) < 1e-9 and toxicity.fit(toxicity.Texts.of(["a"]), [1]).severity(0.0) > 0.99
 
 
 def test_monotone_curve():
@@ -80,5 +80,5 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert scored.count() == 10 and scored.where("severity IS NULL").count() == 0
     assert toxicity.toxicity(odd_docs, labels.limit(0)).where("toxic").count() == 0
     assert toxicity.toxicity(no_docs, labels).count() == 0
-    model = toxicity.fit(["a"], [0])
+    model = toxicity.fit(toxicity.Texts.of(["a"]), [0])
     assert toxicity.severity(odd_docs, model).columns == [*odd_docs.columns, "severity"]
