@@ -1,14 +1,17 @@
 """Near-duplicate embeddings with a forest of random-projection trees.
 
 Each tree splits the vectors again and again at the median of their projections
-on a random direction. Vectors within ``SPILL`` of the median, by rank, go to both
+on a random direction. Vectors within ``SPILL`` of the cut, by rank, go to both
 sides, so that close vectors are seldom parted; ``TREES`` trees with other
-directions make up for those that are. Vectors are compared inside the leaves
-only, by exact cosine in double precision.
+directions make up for those that are. The cut leaves the median, the direction is
+drawn anew and the spill grows where more links would be parted than ``MISSED``
+allows at this depth; a node that no such cut divides (a dense cluster) becomes a
+leaf. Vectors are compared inside the leaves only, by exact cosine in double precision.
 
 A pair that meets in several leaves counts in the first of them: each vector
 carries the numbers of its leaves, and a leaf passes over pairs that share a
-smaller one. A leaf gives back a count per vector and one link per vector to its
+smaller one. Vectors that share an undivided cluster are not even compared again
+in later trees. A leaf gives back a count per vector and one link per vector to its
 local component, never its pairs. Equal vectors are folded first.
 
 The trees are fitted on a bounded sample and applied to every vector. A leaf that
@@ -19,6 +22,7 @@ in pairs of blocks, so nothing is left out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import erf, exp, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +33,14 @@ from .components import smallest_ids
 
 COSINE = 0.95
 TREES = 8
-#: Ranks around the median that go to both sides: from 0.5 - SPILL to 0.5 + SPILL.
+#: Ranks around the cut that go to both sides: from cut - SPILL to cut + SPILL; wider where that parts too many links.
 SPILL = 0.05
+SPILLS = (SPILL, 0.075, 0.1)
+#: Ranks at which a node may be cut, and directions tried, in this order.
+CUTS = (0.5, 0.45, 0.55, 0.4, 0.6, 0.35, 0.65, 0.3, 0.7, 0.25, 0.75)
+DIRECTIONS = 4
+#: Share of links at exactly the cosine asked for that all trees together may part.
+MISSED = 0.001
 #: Vectors a leaf should hold.
 LEAF = 512
 #: Rows of the sample the trees are fitted on (256 bytes each for 64 floats), and of it in a leaf at least.
@@ -47,24 +57,55 @@ def unit_vectors(values: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _parted(gap: float, distance: float) -> float:
+    """Expected excess over ``gap`` of a normal difference with deviation ``distance``."""
+    z = gap / distance
+    return 2 * distance * (exp(-z * z / 2) / sqrt(2 * pi) - z * (1 - erf(z / sqrt(2))) / 2)
+
+
+def _cut(at: np.ndarray, distance: float, allowed: float) -> tuple[float, float] | None:
+    """The first (low, high) that parts at most ``allowed`` of the links around the
+    cut: the density of rows there times what a link reaches beyond the gap."""
+    at = np.sort(at)
+    for spill in SPILLS:
+        for cut in CUTS:
+            low, high = np.quantile(at, (cut - spill, cut + spill))
+            if high > low and 2 * spill / (high - low) * _parted(high - low, distance) <= allowed:
+                return low, high
+    return None
+
+
 class Tree:
-    """Directions and the two cuts of every inner node, in heap order."""
+    """Directions and the two cuts of every inner node, in heap order. ``whole``
+    has the leaves of nodes that were not divided further."""
 
-    def __init__(self, sample: np.ndarray, depth: int, seed: int):
+    def __init__(self, sample: np.ndarray, depth: int, seed: int, cosine: float, trees: int):
         rng = np.random.default_rng(seed)
         inner, dim = (1 << depth) - 1, sample.shape[1]
         self.depth = depth
         self.directions = rng.standard_normal((inner, dim)).astype(np.float32)
-        self.low, self.high = np.zeros(inner), np.zeros(inner)
+        self.low, self.high = np.full(inner, np.inf), np.full(inner, np.inf)  # everything goes left
+        self.whole = []
+        allowed = 1 - (1 - MISSED ** (1 / trees)) ** (1 / max(depth, 1))
+        link = sqrt(max(2 - 2 * cosine, 1e-12) / dim)
         rows = {0: np.arange(len(sample))}
         for node in range(inner):
-            own = rows.pop(node)
-            if len(own) < 2:  # an empty part of the sample: everything goes left
-                self.low[node] = self.high[node] = np.inf
-                rows[2 * node + 1], rows[2 * node + 2] = own, own[:0]
+            own = rows.pop(node, None)
+            if own is None:
+                continue
+            found = None
+            for _ in range(DIRECTIONS if len(own) > 1 else 0):
+                direction = self.directions[node].astype(np.float64)
+                at = sample[own] @ direction
+                found = _cut(at, link * np.linalg.norm(direction), allowed)
+                if found:
+                    break
+                self.directions[node] = rng.standard_normal(dim)
+            if not found:
+                level = (node + 1).bit_length() - 1
+                self.whole.append(((node + 1) << (depth - level)) - (1 << depth))
                 continue
-            at = sample[own] @ self.directions[node].astype(np.float64)
-            self.low[node], self.high[node] = np.quantile(at, (0.5 - SPILL, 0.5 + SPILL))
+            self.low[node], self.high[node] = found
             rows[2 * node + 1], rows[2 * node + 2] = own[at <= self.high[node]], own[at >= self.low[node]]
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,11 +118,11 @@ class Tree:
         return row, node - ((1 << self.depth) - 1)
 
 
-def fit(sample: np.ndarray, n_vectors: int, trees: int = TREES, seed: int = 42) -> list[Tree]:
+def fit(sample: np.ndarray, n_vectors: int, trees: int = TREES, seed: int = 42, cosine: float = COSINE) -> list[Tree]:
     depth = 0
     while n_vectors > LEAF << depth and len(sample) >= SAMPLE_IN_LEAF << (depth + 1):
         depth += 1
-    return [Tree(sample, depth, seed + t) for t in range(trees if depth else 1)]
+    return [Tree(sample, depth, seed + t, cosine, trees) for t in range(trees if depth else 1)]
 
 
 def _matrix(column: pa.Array, dim: int, kind: type) -> np.ndarray:
@@ -89,7 +130,9 @@ def _matrix(column: pa.Array, dim: int, kind: type) -> np.ndarray:
 
 
 def _routed(models: dict[int, list[Tree]], kind: type):
-    """Each vector once per leaf: (leaf, node, copies, vector, leaves)."""
+    """Each vector once per leaf: (leaf, first, node, copies, vector, leaves); ``first`` is
+    its first undivided cluster when that comes before the leaf, else -1."""
+    whole = {dim: np.array([w + (t << tree.depth) for t, tree in enumerate(of) for w in tree.whole], np.int64) for dim, of in models.items()}
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,18 +152,22 @@ def _routed(models: dict[int, list[Tree]], kind: type):
                 row, leaf = row[order], leaf[order]
                 cut = np.searchsorted(row, np.arange(len(own) + 1))
                 codes = leaf.astype(np.int32)
+                first = np.full(len(own), np.iinfo(np.int32).max)
+                is_whole = np.isin(leaf, whole[dim])
+                np.minimum.at(first, row[is_whole], leaf[is_whole])
+                first = np.where(first[row] < leaf, first[row], -1).astype(np.int32)
                 lists_of = [codes[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
                 packed = [v.tobytes() for v in values]
                 at = pa.array(own[row])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(row), dim, np.int32)), pa.array(codes), batch.column(0).take(at), batch.column(1).take(at),
+                    [pa.array(np.full(len(row), dim, np.int32)), pa.array(codes), pa.array(first), batch.column(0).take(at), batch.column(1).take(at),
                      pa.array([packed[i] for i in row.tolist()], pa.binary()), pa.array([lists_of[i] for i in row.tolist()], pa.binary())],
-                    ["dim", "leaf", "node", "copies", "vector", "leaves"])
+                    ["dim", "leaf", "first", "node", "copies", "vector", "leaves"])
 
     return route
 
 
-_ROUTED = "dim int, leaf int, node bigint, copies bigint, vector binary, leaves binary"
+_ROUTED = "dim int, leaf int, first int, node bigint, copies bigint, vector binary, leaves binary"
 
 
 def _first_meeting(a: list[bytes], b: list[bytes], leaf: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -207,17 +254,31 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     models = {}
     for row in folded.groupBy(F.size("vector").alias("dim")).count().collect():  # lengths of vectors: usually one
         chosen = folded.where(F.size("vector") == row["dim"]).orderBy(F.xxhash64(F.lit(7), "node")).limit(SAMPLE).select("vector").toArrow()
-        models[row["dim"]] = fit(unit_vectors(np.stack(chosen.column(0).to_numpy())), row["count"], trees)
+        models[row["dim"]] = fit(unit_vectors(np.stack(chosen.column(0).to_numpy())), row["count"], trees, cosine=cosine)
 
     routed = folded.select("node", "copies", "vector").mapInArrow(_routed(models, kind), _ROUTED)
-    large = routed.groupBy("dim", "leaf").count().where(F.col("count") > BLOCK).collect() if models else []
-    # Leaves are at most TREES * SAMPLE / SAMPLE_IN_LEAF per length, so the table below is bounded.
-    sizes = vectors.sparkSession.createDataFrame(
-        [(r["dim"], r["leaf"], -(-r["count"] // BLOCK)) for r in large], "dim int, leaf int, g int"
+    counted = routed.groupBy("dim", "leaf", "first").count()
+    sums = counted.groupBy("dim", "leaf").agg(
+        F.sum("count").alias("all"), F.collect_list(F.when((F.col("first") >= 0) & (F.col("count") > BLOCK), F.struct("first", "count"))).alias("clusters")
     )
-    dealt = routed.join(F.broadcast(sizes), ["dim", "leaf"], "left").withColumn("g", F.coalesce("g", F.lit(1)))
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, g - 1)"))).select(
+    large = sums.where(F.col("all") > BLOCK).collect() if models else []
+    # Leaves are at most TREES * SAMPLE / SAMPLE_IN_LEAF per length and their clusters hold over BLOCK vectors, so both tables below are bounded.
+    sizes, clusters = [], []
+    for r in large:
+        start = -(-(r["all"] - sum(c["count"] for c in r["clusters"])) // BLOCK)
+        rest = start
+        for c in r["clusters"]:
+            clusters.append((r["dim"], r["leaf"], c["first"], start, -(-c["count"] // BLOCK)))
+            start += clusters[-1][-1]
+        sizes.append((r["dim"], r["leaf"], rest, start))
+    spark = vectors.sparkSession
+    sizes = spark.createDataFrame(sizes, "dim int, leaf int, rest int, n int")
+    clusters = spark.createDataFrame(clusters, "dim int, leaf int, first int, start int, g int")
+    dealt = routed.join(F.broadcast(sizes), ["dim", "leaf"], "left").join(F.broadcast(clusters), ["dim", "leaf", "first"], "left")
+    dealt = dealt.withColumn("n", F.coalesce("n", F.lit(1))).withColumn("hash", F.xxhash64("node"))
+    dealt = dealt.withColumn("mine", F.expr("coalesce(start, 0) + pmod(hash, coalesce(g, rest, 1))").cast("int"))
+    others = F.expr("filter(sequence(0, n - 1), o -> start IS NULL OR o < start OR o >= start + g)")  # a cluster was compared with itself in ``first``
+    dealt = dealt.withColumn("other", F.explode(others)).select(
         "dim", "leaf", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
         (F.col("mine") <= F.col("other")).alias("left"), "node", "copies", "vector", "leaves",
     )

@@ -201,6 +201,24 @@ def test_forest_against_all_pairs(spark, monkeypatch, block):
     assert np.mean([got[k][1] == root[k] for k in got]) >= 0.99
 
 
+@pytest.mark.parametrize("block", [2048, 40])
+def test_forest_finds_links_of_a_hot_cluster_at_depth(spark, monkeypatch, block):
+    monkeypatch.setattr(forest, "BLOCK", block)
+    monkeypatch.setattr(forest, "LEAF", 8)
+    monkeypatch.setattr(forest, "SAMPLE_IN_LEAF", 4)
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(rng.standard_normal((1800, 64)))
+    x[:600] = np.sqrt(0.955) * x[0] + np.sqrt(0.045) * unit(rng.standard_normal((600, 64)))
+    x = unit(x).astype(np.float32)
+    exact = forest.unit_vectors(x)
+    assert forest.fit(exact, len(x))[0].depth == 8
+    degree = (exact @ exact.T >= 0.95).sum(axis=1) - 1
+    data = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {r.id: r.n_links for r in forest.near_vectors(spark.createDataFrame(data, "vec_id bigint, embedding array<float>")).collect()}
+    assert all(got[k] <= degree[k] for k in got) and sum(got.values()) >= 0.999 * degree.sum() > 100_000
+
+
 def test_forest_small_table_is_exact_and_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     data = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 0.0]), (5, None), (6, []), (7, [nan, 1.0]), (8, [inf, 1.0]), (9, [None, 1.0]),
