@@ -53,9 +53,14 @@ IMPLIED = {
     "tfoot": (SECTIONS | {"caption", "colgroup"}, frozenset({"table"})),
 }
 _ENDS_AT_CELL = frozenset("td th caption table".split())
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: In these a table stands inside the open one; anywhere else in a table it ends it.
+_HOLDS_TABLE = frozenset("td th caption template noscript".split())
+
+# As in HTML a quote opens a value only right after "="; one that is never closed is a character like any other, so no text is lost.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)"
+    r"((?>[\s/]++|[^\s/>][^\s/>=]*+(?>\s*+=\s*+(?>\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+)*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
@@ -99,6 +104,8 @@ class TreeBuilder:
             return
         if tag in CLOSES_P:
             self._close(frozenset({"p"}), _ENDS_AT_CELL | {"button"})
+        if tag == "table":
+            self._close(frozenset({"table"}), _HOLDS_TABLE)
         if tag in IMPLIED:
             tags, beyond = IMPLIED[tag]
             if tag in ("tr", *SECTIONS):
@@ -260,7 +267,7 @@ def render(root: Node) -> str:
             if tag == "table":
                 rows = tables.pop()
                 flow = flows.pop()
-                flow.add_block(_aligned(rows))
+                _outer(flow, flows).add_block(_aligned(rows))
             elif tag in CELLS and tables:
                 flow.end_line()
                 tables[-1][-1].append((flow.lines, _span(node)))
@@ -280,9 +287,7 @@ def render(root: Node) -> str:
                 flow.end_line(tag in SPACED)
             continue
         if isinstance(node, str):
-            target = flow
-            if flow is _TABLE:  # text in a table but in no cell goes before the table
-                target = flows[-1]
+            target = _outer(flow, flows)  # text in a table but in no cell goes before the table
             if keeps:
                 first, *more = node.split("\n")
                 target.write(first)
@@ -371,6 +376,11 @@ class _Outside(_Lines):
 _TABLE = _Outside()
 
 
+def _outer(flow: _Lines, flows: list[_Lines]) -> _Lines:
+    """The flow itself, or the nearest one around it that is not between cells."""
+    return flow if flow is not _TABLE else next(f for f in reversed(flows) if f is not _TABLE)
+
+
 def visible_text(page: str | None) -> str:
     return render(tree(page))
 

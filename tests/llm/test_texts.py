@@ -149,3 +149,14 @@ def test_extract_keeps_columns(spark):
     df = spark.createDataFrame([(1, "<p>a", "clash"), (None, None, None), (1, "<p>a", "clash")], "page_id bigint, html string, text string")
     assert sorted(map(tuple, html_text.extract(df).collect()), key=str) == [(1, "a"), (1, "a"), (None, "")]
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<table><tr><table><tr><td>X</table></table>", "X"), ("<table><tr><td>A<tr><table><tr><td>X</table>after", "A\n\nX\n\nafter"),
+    ("<table><table>stray<tr><td>X</table>", "stray\n\nX"), ("<table><caption>cap<table><tr><td>X</table></caption><tr><td>Y</table>", "cap\n\nX\n\nY"),
+    ("<table><tr><td>A<table><tr><td>in</table></table>", "A\nin"), ("<table><tr><template><table><tr><td>X</table></template><td>Y</table>", "Y"),
+    ("<p title=it's>Hello, don't go</p>", "Hello, don't go"), ('<a href="x"">one</a> <b class=\'y\'\'>two</b> "three"', 'one two "three"'),
+    ('<p a = "x>y" b>T', "T"), ('<p title="never closed>Hello</p> <i>x</i>', "Hello\n\nx"), ('<p "hidden">T</p>', "T"), ("<p a=>T</p>", "T"),
+])
+def test_malformed_pages_keep_their_text(page, text):
+    assert html_text.visible_text(page) == text
