@@ -4,12 +4,14 @@ Rows lie in old shards; new shards have capacities. How many bytes go from each
 old shard to each new one is a minimum-cost flow: bytes that stay cost nothing,
 bytes that move cost one each, or what a given cost table says. The flow is made
 of *blocks*: the rows of an old shard are dealt to blocks by a hash of their text,
-and blocks fill the flow's amounts from the largest to the smallest. Equal texts
-are in one block and so in one shard, unless their block is over ``WHOLE`` of a
-mean shard; such a block is dealt in slices by id.
-
-Only sizes per block and per slice reach the driver: at most ``BLOCKS`` per old
-shard and about ``SLICES`` in all, whatever the corpus. Texts are never shuffled.
+and blocks fill the flow's amounts from the largest to the smallest. A block of over
+``WHOLE`` of a mean shard is divided by text: each text of that size is a part of its
+own, the others go to ``PARTS`` parts by another hash. So equal texts of an old shard are
+in one part and in one shard, unless no shard can hold them: only such a text is dealt
+in slices by id. Shards are as even as these parts allow.
+
+Only sizes per block, part and slice reach the driver: at most ``BLOCKS`` per old
+shard, a few thousand parts and about ``SLICES``, whatever the corpus. Texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ BLOCKS = 1024
 #: Slices all blocks are cut into, about; a slice is what one task numbers at a time.
 SLICES = 40_000
 SLICE_ROWS = 128
-#: A block of more than this share of a mean shard need not stay together.
+#: A block of more than this share of a mean shard is divided by text, into so many parts beside the texts of that size.
 WHOLE = 0.25
+PARTS = 64
 _INFINITE = float("inf")
 
 
@@ -82,14 +85,14 @@ def equal_capacities(total: int, shards: int) -> list[int]:
     return [total // shards + (j < total % shards) for j in range(shards)]
 
 
-def _fill(units: list[tuple[int, int, int]], flow: list[list[int]], capacity: list[int]) -> list[int]:
-    """A new shard for each unit (size, old shard, number): the largest first, to
+def _fill(units: list[tuple], flow: list[list[int]], capacity: list[int]) -> list[int]:
+    """A new shard for each unit (size, old shard, numbers): the largest first, to
     where most of the old shard's flow is still open; then single units move from
     the fullest to the emptiest shard, relative to capacity, while that evens them."""
     left = [list(row) for row in flow]
     where = [0] * len(units)
     for k in sorted(range(len(units)), key=lambda k: (-units[k][0], units[k][1:])):
-        size, old, _ = units[k]
+        size, old = units[k][:2]
         j = max(range(len(capacity)), key=lambda j: (left[old][j], j == old, -j))
         left[old][j] -= size
         where[k] = j
@@ -114,27 +117,37 @@ def _fill(units: list[tuple[int, int, int]], flow: list[list[int]], capacity: li
 
 @dataclass(frozen=True)
 class Plan:
-    """Where every slice of every block goes. ``cells``: (old, block, slice, shard,
-    first slot); ``slices``: (old, block, number of slices), for blocks with more than one."""
+    """Where every slice of every part goes. ``cells``: (old, block, part, slice, shard,
+    first slot); ``slices``: (old, block, part, number of slices), for parts with more than
+    one; ``wide``: (old, block) of divided blocks; ``hot``: (old, block, h, hot part)."""
 
     cells: DataFrame
     slices: DataFrame
+    wide: DataFrame
+    hot: DataFrame
     flow: list[list[int]]
 
 
 def sized(docs: DataFrame, old_shard, id_col: str = "doc_id", text_col: str = "text", blocks: int = BLOCKS) -> DataFrame:
-    """(id, size, text_crc32, old, block): without the text. ``old_shard`` is a
+    """(id, size, text_crc32, old, h, block): without the text; h is its hash. ``old_shard`` is a
     column of ints from 0. A null text has size 1 and the checksum of an empty one."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        old_shard.cast("int").alias("old"), F.pmod(F.xxhash64(F.lit("block"), text), F.lit(blocks)).cast("int").alias("block"),
-    )
+        old_shard.cast("int").alias("old"), F.xxhash64(F.lit("block"), text).alias("h"),
+    ).withColumn("block", F.pmod("h", F.lit(blocks)).cast("int"))
+
+
+def _parted(rows: DataFrame, wide: DataFrame, hot: DataFrame) -> DataFrame:
+    """Adds ``part``: 0 for a block that is not divided."""
+    marked = rows.join(F.broadcast(wide.withColumn("is_wide", F.lit(True))), ["old", "block"], "left")  # both at most n_old * n_new / WHOLE rows
+    other = F.when(F.col("is_wide"), F.pmod(F.xxhash64(F.lit("part"), "h"), F.lit(PARTS)).cast("int")).otherwise(F.lit(0))
+    return marked.join(F.broadcast(hot), ["old", "block", "h"], "left").withColumn("part", F.coalesce("hot_part", other)).drop("is_wide", "hot_part")
 
 
 def _sliced(rows: DataFrame, slices: DataFrame) -> DataFrame:
     n = F.coalesce("n_slices", F.lit(1))
-    return rows.join(F.broadcast(slices), ["old", "block"], "left").withColumn(  # a row per block at most
+    return rows.join(F.broadcast(slices), ["old", "block", "part"], "left").withColumn(  # a row per part at most
         "slice", F.pmod(F.xxhash64(F.lit("slice"), "id"), n).cast("int")
     ).drop("n_slices")
 
@@ -143,46 +156,57 @@ def plan(rows: DataFrame, n_new: int, capacity: list[int] | None = None, cost: l
     """The plan for ``sized`` rows; capacities are equal unless given."""
     spark = rows.sparkSession
     blocks = rows.groupBy("old", "block").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
+    total = sum(r["size"] for r in blocks)
+    capacity = capacity or equal_capacities(total, n_new)
+    large = WHOLE * total / n_new
+    wide = spark.createDataFrame([(r["old"], r["block"]) for r in blocks if r["size"] > large], "old int, block int")
+    inside = rows.join(F.broadcast(wide), ["old", "block"])
+    texts = inside.groupBy("old", "block", "h").agg(F.sum("size").alias("size")).where(F.col("size") > large)
+    texts = sorted((r["old"], r["block"], r["h"]) for r in texts.collect()) if any(r["size"] > large for r in blocks) else []
+    hot = spark.createDataFrame([(*t, PARTS + k) for k, t in enumerate(texts)], "old int, block int, h bigint, hot_part int")
+    parted = _parted(rows, wide, hot)
+    parts = {(r["old"], r["block"], 0): (r["size"], r["n"]) for r in blocks if r["size"] <= large}
+    if len(parts) < len(blocks):
+        of_wide = _parted(inside, wide, hot).groupBy("old", "block", "part").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+        parts |= {(r["old"], r["block"], r["part"]): (r["size"], r["n"]) for r in of_wide.collect()}
     per_slice = max(SLICE_ROWS, -(-sum(r["n"] for r in blocks) // SLICES))
-    many = [(r["old"], r["block"], -(-r["n"] // per_slice)) for r in blocks if r["n"] > per_slice]
-    slices = spark.createDataFrame(many, "old int, block int, n_slices int")
+    many = [(*key, -(-n // per_slice)) for key, (_, n) in parts.items() if n > per_slice]
+    slices = spark.createDataFrame(many, "old int, block int, part int, n_slices int")
     cells = sorted(
-        (r["old"], r["block"], r["slice"], r["size"], r["n"])
-        for r in _sliced(rows, slices).groupBy("old", "block", "slice").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
+        (r["old"], r["block"], r["part"], r["slice"], r["size"], r["n"])
+        for r in _sliced(parted, slices).groupBy("old", "block", "part", "slice").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     )
-    total = sum(r["size"] for r in blocks)
-    capacity = capacity or equal_capacities(total, n_new)
     n_old = max((r["old"] for r in blocks), default=-1) + 1
     supply = [sum(r["size"] for r in blocks if r["old"] == i) for i in range(n_old)]
     flow = minimum_cost_flow(supply, capacity, cost)
 
-    whole = {(r["old"], r["block"]): r["size"] for r in blocks if r["size"] <= WHOLE * total / n_new}
-    units = [(size, old, block) for (old, block), size in sorted(whole.items())]
-    keys = [(old, block, None) for _, old, block in units]
-    for old, block, piece, size, _ in cells:
-        if (old, block) not in whole:
-            units.append((size, old, block))
-            keys.append((old, block, piece))
+    whole = {key for key, (size, _) in parts.items() if key[2] < PARTS or size <= max(capacity)}  # else a text that no shard can hold
+    units = [(parts[key][0], *key) for key in sorted(whole)]
+    keys = [(*key, None) for key in sorted(whole)]
+    for old, block, part, piece, size, _ in cells:
+        if (old, block, part) not in whole:
+            units.append((size, old, block, part))
+            keys.append((old, block, part, piece))
     shard_of = dict(zip(keys, _fill(units, flow, capacity)))
     slot, placed = [0] * n_new, []
-    for old, block, piece, _, n in cells:
-        shard = shard_of[(old, block, None if (old, block) in whole else piece)]
-        placed.append((old, block, piece, shard, slot[shard]))
+    for old, block, part, piece, _, n in cells:
+        shard = shard_of[(old, block, part, None if (old, block, part) in whole else piece)]
+        placed.append((old, block, part, piece, shard, slot[shard]))
         slot[shard] += n
-    table = spark.createDataFrame(placed, "old int, block int, slice int, shard int, first_slot bigint")
-    return Plan(table, slices, flow)
+    table = spark.createDataFrame(placed, "old int, block int, part int, slice int, shard int, first_slot bigint")
+    return Plan(table, slices, wide, hot, flow)
 
 
 def assigned(rows: DataFrame, made: Plan) -> DataFrame:
     """``rows`` with ``slice``, ``shard`` and ``first_slot``: no shuffle, the plan is
-    a row per slice, about ``SLICES`` and a row per block at most."""
-    return _sliced(rows, made.slices).join(F.broadcast(made.cells), ["old", "block", "slice"])
+    a row per slice, about ``SLICES`` and a row per part at most."""
+    return _sliced(_parted(rows, made.wide, made.hot), made.slices).join(F.broadcast(made.cells), ["old", "block", "part", "slice"])
 
 
 def slots(placed: DataFrame) -> DataFrame:
     """Adds ``slot``, gapless from 0 in every shard: the rank within the slice, in
     order of checksum and id, after all slices before it."""
-    order = Window.partitionBy("old", "block", "slice").orderBy("text_crc32", "id", "size")
+    order = Window.partitionBy("old", "block", "part", "slice").orderBy("text_crc32", "id", "size")
     return placed.withColumn("slot", F.col("first_slot") + F.row_number().over(order) - 1)
 
 
@@ -211,7 +235,8 @@ def rewrite(docs: DataFrame, old_shard, folder: str, n_new: int = 8, **options)
     hit = moved.select(F.col("shard").alias("s")).unionByName(moved.select(F.col("old").alias("s"))).distinct()
     affected = [r["s"] for r in hit.collect()]  # shard numbers
     keyed = docs.select(F.struct(*own).alias("row"), old.cast("int").alias("old"),
-                        F.pmod(F.xxhash64(F.lit("block"), F.coalesce("text", F.lit(""))), F.lit(BLOCKS)).cast("int").alias("block"), F.col("doc_id").alias("id"))
+                        F.xxhash64(F.lit("block"), F.coalesce("text", F.lit(""))).alias("h"), F.col("doc_id").alias("id"))
+    keyed = keyed.withColumn("block", F.pmod("h", F.lit(BLOCKS)).cast("int"))
     out = assigned(keyed, made).where(F.col("shard").isin(affected)).select("row.*", "shard")
     out.write.mode("overwrite").partitionBy("shard").parquet(folder)
     return docs.sparkSession.range(n_new).select(F.col("id").cast("int").alias("shard"), F.col("id").isin(affected).alias("affected"))

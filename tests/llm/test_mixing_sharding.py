@@ -119,6 +119,25 @@ def test_one_text_fills_the_table(spark, monkeypatch):
     assert max(sizes) - min(sizes) <= 60
 
 
+def test_copies_stay_together_beside_a_hot_text(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCKS", 2)
+    monkeypatch.setattr(sharding, "SLICE_ROWS", 16)
+    k = F.col("id")
+    text = F.when(k < 1000, "hot text").when(k < 1240, "held here").otherwise(F.lpad((k % 300).cast("string"), 8, "0"))
+    docs = spark.range(3000).select(k.alias("doc_id"), text.alias("text"))
+    rows = sharding.sized(docs, F.lit(0), blocks=2)
+    got = sharding.slots(sharding.assigned(rows, sharding.plan(rows, 8))).collect()
+    assert len(got) == 3000
+    for shard in range(8):
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+    shards = {}
+    for r in got:
+        shards.setdefault(r.text_crc32, set()).add(r.shard)
+    assert len(shards) == 302 and sorted(map(len, shards.values()))[:-1] == [1] * 301
+    sizes = [sum(r.size for r in got if r.shard == s) for s in range(8)]
+    assert max(sizes) - min(sizes) <= 0.01 * sum(sizes)
+
+
 def test_capacities_and_odd_tables(spark, odd_docs, no_docs):
     checked(sharding.reshard(odd_docs, F.lit(None), 3), odd_docs, 3)
     assert sharding.reshard(no_docs, F.lit(0), 8).count() == 0
