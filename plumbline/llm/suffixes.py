@@ -15,8 +15,9 @@ a window that covers it also starts in a document with a smaller id.
    agree in their first 1, 2, 4, ... words share a node of that depth. A node of
    depth 50 with two documents is a repeat; words that runs share beyond 50 make
    overlapping windows, whose union is the maximal repeat.
-3. **Longer prefixes.** A name with more than ``CROWD`` such runs (a passage in a
-   third of all documents) would not fit a group. Its prefix is lengthened to the
+3. **Longer prefixes.** A name with more than ``CROWD`` such runs or more than
+   ``CROWD_WORDS`` words in them (a passage in a third of all documents, a line that
+   long documents repeat) would not fit a group. Its prefix is lengthened to the
    whole window: the suffixes are dealt by a 128-bit digest of their 50 words and
    only the smallest id of each is kept, combined before the shuffle.
 
@@ -39,6 +40,8 @@ LENGTH = 50
 ANCHOR = 8
 #: More runs than this under one name are dealt by the whole window.
 CROWD = 2048
+#: Or more words than this in its runs: in periodic text one run is a whole document.
+CROWD_WORDS = 1_000_000
 #: Words of runs that one group of trees should hold, on average.
 GROUP_WORDS = 400_000
 _LAST = np.iinfo(np.int64).max  # stands for a null id: later than any other
@@ -149,14 +152,14 @@ def _run_words(length: int):
     """The words of each listed run, read from the document's text."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"name": pa.int64(), "n_runs": pa.int64(), "doc": pa.int64(), "t": pa.int64(), "first": pa.int32(), "words": pa.binary()}
+        kinds = {"name": pa.int64(), "crowded": pa.bool_(), "doc": pa.int64(), "t": pa.int64(), "first": pa.int32(), "words": pa.binary()}
         for batch in batches:
             for row in batch.to_pylist():
                 words = Words(row["text"])
                 out = {c: [] for c in kinds}
                 for r in row["runs"]:
                     out["name"].append(r["name"])
-                    out["n_runs"].append(r["n_runs"])
+                    out["crowded"].append(r["crowded"])
                     out["doc"].append(row["doc"])
                     out["t"].append(row["t"])
                     out["first"].append(r["first"])
@@ -209,23 +212,27 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     settled = found.where("alike").select("doc", "t", F.col("first").alias("s"), (F.col("first") + F.col("count") + (length - 1)).alias("e"))
 
     unsettled = found.where("NOT alike")
-    size = unsettled.agg(F.sum(F.col("count") + (length - 1)).alias("words"), F.max("n_runs").alias("most")).first()
+    # A name in CROWD_WORDS words at least, so few names are broadcast.
+    wordy = unsettled.groupBy("name").agg(F.sum(F.col("count") + (length - 1)).alias("n_words")).where(F.col("n_words") > CROWD_WORDS)
+    crowded = (F.col("n_runs") > CROWD) | F.col("n_words").isNotNull()
+    unsettled = unsettled.join(F.broadcast(wordy), "name", "left").withColumn("crowded", crowded)
+    size = unsettled.agg(F.sum(F.col("count") + (length - 1)).alias("words"), F.max("crowded").alias("most")).first()
     if not size["words"]:
         return settled
-    listed = unsettled.groupBy("doc", "t").agg(F.collect_list(F.struct("name", "n_runs", "first", "count")).alias("runs"))
+    listed = unsettled.groupBy("doc", "t").agg(F.collect_list(F.struct("name", "crowded", "first", "count")).alias("runs"))
     words = durable(
         docs.select("doc", "t", "text").join(listed, ["doc", "t"]).select("doc", "t", "text", "runs")
-        .mapInArrow(_run_words(length), "name bigint, n_runs bigint, doc bigint, t bigint, first int, words binary")
+        .mapInArrow(_run_words(length), "name bigint, crowded boolean, doc bigint, t bigint, first int, words binary")
     )
     groups = max(1, -(-size["words"] // GROUP_WORDS))
     by_tree = (
-        words.where(F.col("n_runs") <= CROWD).withColumn("group", F.pmod(F.xxhash64("name"), F.lit(groups)))
+        words.where(~F.col("crowded")).withColumn("group", F.pmod(F.xxhash64("name"), F.lit(groups)))
         .groupBy("group").applyInArrow(_repeats_in_group(length), _SPAN_SQL)
     )
     spans = settled.unionByName(by_tree)
-    if size["most"] <= CROWD:
+    if not size["most"]:
         return spans
-    crowded = words.where(F.col("n_runs") > CROWD)
+    crowded = words.where("crowded")
     suffixes = crowded.mapInArrow(_suffix_digests(length), "h1 bigint, h2 bigint, doc bigint, t bigint, at int")
     earliest = suffixes.groupBy("h1", "h2").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).where("first_doc < last_doc")
     earliest = earliest.select(F.bitwise_not("h1").alias("k1"), F.bitwise_not("h2").alias("k2"), "first_doc")

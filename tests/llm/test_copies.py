@@ -166,6 +166,18 @@ def test_tree_nodes_name_equal_windows():
     assert suffixes.tree_nodes([], 50)[0].tolist() == []
 
 
+def test_long_runs_of_one_line_are_dealt_by_window(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "CROWD_WORDS", 500)
+    def no_tree(length):
+        def fail(table):
+            raise AssertionError("words of a crowded name in one group")
+        return fail
+    monkeypatch.setattr(suffixes, "_repeats_in_group", no_tree)
+    docs = [(i, "one line again and again " * (60 + i)) for i in range(3)]
+    got = {r.doc_id: r.n_removed for r in suffixes.cut_repeats(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == {0: 0, 1: 305, 2: 310}
+
+
 def test_cut_odd_rows(odd_docs, no_docs):
     got = {(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()[:6] if r.n_words < 100 else "") for r in suffixes.cut_repeats(odd_docs).collect()}
     assert {(d, n, k) for d, n, k, _ in got} == {(1, 5, 0), (2, 0, 0), (3, 0, 0), (None, 3, 0), (4, 20000, 0), (4, 4, 0), (5, 20001, 20000), (6, 0, 0), (7, 6, 0)}
