@@ -226,6 +226,7 @@ def rewrite(docs: DataFrame, old_shard, folder: str, n_new: int = 8, **options)
 
     All columns of ``docs`` are written; ``shard`` of the input is replaced. The text
     goes from the scan to its file; each shard is written by several tasks, by slice.
+    Raises when ``folder`` is there already: nothing in it is replaced or removed.
     """
     own = [c for c in docs.columns if c != "shard"]
     old = F.coalesce(old_shard, F.lit(0))
@@ -238,5 +239,5 @@ def rewrite(docs: DataFrame, old_shard, folder: str, n_new: int = 8, **options)
                         F.xxhash64(F.lit("block"), F.coalesce("text", F.lit(""))).alias("h"), F.col("doc_id").alias("id"))
     keyed = keyed.withColumn("block", F.pmod("h", F.lit(BLOCKS)).cast("int"))
     out = assigned(keyed, made).where(F.col("shard").isin(affected)).select("row.*", "shard")
-    out.write.mode("overwrite").partitionBy("shard").parquet(folder)
+    out.write.mode("errorifexists").partitionBy("shard").parquet(folder)
     return docs.sparkSession.range(n_new).select(F.col("id").cast("int").alias("shard"), F.col("id").isin(affected).alias("affected"))

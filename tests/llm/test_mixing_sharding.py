@@ -156,6 +156,14 @@ def test_rewrite_leaves_untouched_shards(spark, tmp_path):
     assert sorted(r.doc_id for r in back.collect()) == list(range(250))
 
 
+def test_rewrite_refuses_a_folder_that_is_there(spark, tmp_path):
+    docs = spark.range(30).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    docs.withColumn("shard", F.lit(7)).write.partitionBy("shard").parquet(str(tmp_path / "out"))
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        sharding.rewrite(docs, F.lit(0), str(tmp_path / "out"), 2)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 30
+
+
 def test_pipeline_stage_by_stage(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
