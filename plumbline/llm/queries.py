@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.catalog import table
-from . import chat, decontaminate, forest, html_text, mixing, quality, sharding, simhash, suffixes, toxicity
+from . import alignment, bpe, chat, decontaminate, forest, html_text, mixing, quality, sharding, simhash, sketches, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -206,3 +206,60 @@ def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def tokenizer(name: str) -> str:
+    """The path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _digest(text):
+    return F.sha2(text.cast("binary"), 256)
+
+
+@query()
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.aligned(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+    side = {name: (lambda x, name=name: F.array_join(x[name].cast("array<string>"), ",")) for name in "ab"}
+    text = F.array_join(F.transform("groups", lambda x: F.concat(side["a"](x), F.lit("|"), side["b"](x))), ";")
+    n_groups = F.size("groups").cast("bigint")
+    return alignment.with_counts(found.select(
+        "doc_id", F.col("n_a").cast("bigint").alias("n_a"), F.col("n_b").cast("bigint").alias("n_b"), n_groups.alias("n_groups"),
+        F.when(F.size("groups") > 0, _digest(text)).otherwise("").alias("groups_sha256"), "batch", "links", "pairs",
+    ))
+
+
+@query()
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer("byte_bpe_50k.json")
+    found = bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents"), path), path)
+    return found.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), _digest(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
+        _digest(F.col("decoded")).alias("decoded_sha256"),
+    )
+
+
+@query(r"""
+WITH found AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts, row_number() OVER () AS r FROM documents),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+corpus AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_terms FROM found WHERE len(ts) > 0),
+flat AS (SELECT r, unnest(ts) AS term FROM found),
+tfs AS (SELECT r, term, count(*) AS tf FROM flat SEMI JOIN asked USING (term) GROUP BY r, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tfs, corpus GROUP BY term),
+scores AS (
+  SELECT item_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(ts) * n_docs) // n_terms)))) AS score
+  FROM asked JOIN weights USING (term) JOIN tfs USING (term) JOIN found USING (r), corpus GROUP BY item_id, r),
+ranked AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM scores JOIN found USING (r) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 10
+""")
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

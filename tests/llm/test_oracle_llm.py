@@ -19,5 +19,5 @@ def test_a_query_for_each_operator():
     import __spark_entry__ as entry
 
     numbers = {int(n[2:].split("_")[0]) for n in queries.QUERIES}
-    assert numbers == set(range(1, 11))
+    assert numbers == set(range(1, 14))
     assert {*queries.QUERIES, "pipeline"} <= set(entry.queries())
