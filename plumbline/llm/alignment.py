@@ -28,10 +28,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import durable_table
-from .bpe import read_vocabulary, shared_encoder, steps
+from .bpe import read_vocabulary, shared_encoder, steps, token_bytes
 
 #: Bytes of text in a batch.
-STEP_BYTES = 3_000_000
+STEP_BYTES = 1_000_000
 
 
 @functools.lru_cache(maxsize=2)
@@ -100,12 +100,22 @@ def _gaps(places: pa.ChunkedArray) -> pa.Array:
 _PAIRS = "array<struct<a: int, b: int, n: bigint>>"
 
 
-def aligned(docs: DataFrame, vocabulary: str, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_a, n_b, groups, batch, links, pairs): one row per row of ``docs``.
+def as_text(groups: pa.ListArray) -> pa.Array:
+    """Groups as ``a1,a2|b1;a3|b2,b3``: the ids of A and of B of each group, in order."""
+    sides = []
+    for name in "ab":
+        ids = pc.struct_field(groups.flatten(), name)
+        sides.append(pc.binary_join(pa.ListArray.from_arrays(ids.offsets, ids.flatten().cast(pa.string())), ","))
+    return pc.binary_join(pa.ListArray.from_arrays(groups.offsets, pc.binary_join_element_wise(*sides, "|")), ";")
+
+
+def aligned(docs: DataFrame, vocabulary: str, model: str, id_col: str = "doc_id", text_col: str = "text", text_groups: bool = False) -> DataFrame:
+    """(doc_id, n_a, n_b, groups, n_groups, batch, links, pairs): one row per row of ``docs``.
 
     ``vocabulary`` and ``model`` are paths of tokenizer files, read by the driver (about
     2 MB) and sent with the tasks. ``groups`` is an array of (a: ids, b: ids) in order of
-    the text. ``links`` has one number per link: which of the ``pairs`` (a, b, n) of its
+    the text, or with ``text_groups`` one string (see ``as_text``), which is less to move, beside
+    ``n_groups``. ``links`` has one number per link: which of the ``pairs`` (a, b, n) of its
     batch it is; ``pairs`` stands on the first row of each batch and counts every
     distinct pair once. Strings of special tokens are plain text. Null and empty texts, and
     texts that either tokenizer does not give back byte by byte, have no tokens.
@@ -116,7 +126,7 @@ def aligned(docs: DataFrame, vocabulary: str, model: str, id_col: str = "doc_id"
         proto = file.read()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared_encoder(spec, False)
+        encoder, a_bytes = shared_encoder(spec, False), token_bytes(spec)
         sp, b_bytes = _pieces(proto)
         part_no, k = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -125,11 +135,10 @@ def aligned(docs: DataFrame, vocabulary: str, model: str, id_col: str = "doc_id"
                 part = batch.slice(first, last - first)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 spaced = [" " + t if t else "" for t in texts]
-                flat, offsets = encoder.encode(spaced)
-                a = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+                a = encoder.encode(spaced)
                 b = pa.array(sp.encode(texts, num_threads=1), pa.list_(pa.int32()))
                 whole = pa.array([t.encode("utf-8", "surrogatepass") if t else None for t in spaced], pa.binary())
-                sizes_of, groups, found = align(a, b, encoder.token_bytes, b_bytes, whole)
+                sizes_of, groups, found = align(a, b, a_bytes, b_bytes, whole)
                 pairs = found.group_by(["a", "b"], use_threads=False).aggregate([([], "count_all")])
                 names = ["a", "b", "count_all"]
                 pairs = pairs.append_column("i", pa.array(np.arange(len(pairs)), pa.int32()))
@@ -138,17 +147,19 @@ def aligned(docs: DataFrame, vocabulary: str, model: str, id_col: str = "doc_id"
                 of_first = pa.array([0] + [len(listed)] * len(part), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0), sizes_of.field("a"), sizes_of.field("b"), groups, pa.array([f"{part_no}-{k}"] * len(part)),
+                        part.column(0), sizes_of.field("a"), sizes_of.field("b"), as_text(groups) if text_groups else groups,
+                        pc.list_value_length(groups), pa.array([f"{part_no}-{k}"] * len(part)),
                         pa.ListArray.from_arrays(groups.offsets, links.combine_chunks()),
                         pa.ListArray.from_arrays(of_first, listed, mask=pa.array(np.arange(len(part)) > 0)),
                     ],
-                    ["doc_id", "n_a", "n_b", "groups", "batch", "links", "pairs"],
+                    ["doc_id", "n_a", "n_b", "groups", "n_groups", "batch", "links", "pairs"],
                 )
                 k += 1
 
     kind = docs.select(id_col).dtypes[0][1]
+    groups = "string" if text_groups else "array<struct<a: array<int>, b: array<int>>>"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        apply, f"doc_id {kind}, n_a int, n_b int, groups array<struct<a: array<int>, b: array<int>>>, batch string, links array<int>, pairs {_PAIRS}"
+        apply, f"doc_id {kind}, n_a int, n_b int, groups {groups}, n_groups int, batch string, links array<int>, pairs {_PAIRS}"
     )
 
 

@@ -221,13 +221,12 @@ def _digest(text):
 
 @query()
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = alignment.aligned(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
-    side = {name: (lambda x, name=name: F.array_join(x[name].cast("array<string>"), ",")) for name in "ab"}
-    text = F.array_join(F.transform("groups", lambda x: F.concat(side["a"](x), F.lit("|"), side["b"](x))), ";")
-    n_groups = F.size("groups").cast("bigint")
+    found = alignment.aligned(
+        table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"), text_groups=True
+    )
     return alignment.with_counts(found.select(
-        "doc_id", F.col("n_a").cast("bigint").alias("n_a"), F.col("n_b").cast("bigint").alias("n_b"), n_groups.alias("n_groups"),
-        F.when(F.size("groups") > 0, _digest(text)).otherwise("").alias("groups_sha256"), "batch", "links", "pairs",
+        "doc_id", *(F.col(c).cast("bigint").alias(c) for c in ("n_a", "n_b", "n_groups")),
+        F.when(F.col("n_groups") > 0, _digest(F.col("groups"))).otherwise("").alias("groups_sha256"), "batch", "links", "pairs",
     ))
 
 

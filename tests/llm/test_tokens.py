@@ -1,16 +1,18 @@
 """Tokenizer operators against the libraries and against plain Python."""
 
+import functools
 import hashlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings, strategies as st
 
 from plumbline.llm import alignment, bpe, queries
 
 TEXTS = [
     "plain words, it's 12 o'clock!!", "", None, "  two  spaces \n\n\t and more\r\n ", "a<|endoftext|>b <|endoftext|><|endoftext|>",
-    "漢字かな交じり \U0001f600\U0001f9ff ՘ \U00031350", "x" * 5000, "''s !!'s 'S we'll", "ȩ́ Ünïcödé ﬁ ﷺ ①", "<s> </s> <unk> <0x41> ▁", "tail space ",
+    "漢字かな交じり \U0001f600\U0001f9ff ՘ \U00031350", "x" * 5000, "a long run of words " * 200 + "和" * 300, "''s !!'s 'S we'll", "ȩ́ Ünïcödé ﬁ ﷺ ①", "<s> </s> <unk> <0x41> ▁", "tail space ",
     " lead", "\x00\x01\x1c\x85", "plain words, it's 12 o'clock!!",
 ]
 
@@ -44,32 +46,57 @@ def test_encoding_is_the_library_s(spark, library):
         assert r["decoded"] == library.decode(ids, skip_special_tokens=False) == text
 
 
-def test_special_strings_as_plain_text(library):
+@pytest.fixture(scope="module")
+def spec():
+    return bpe.read_vocabulary(queries.tokenizer("byte_bpe_50k.json"))
+
+
+def test_special_strings_as_plain_text(library, spec):
     library.encode_special_tokens = True
     try:
-        flat, _ = bpe.Encoder(bpe.read_vocabulary(queries.tokenizer("byte_bpe_50k.json")), special=False).encode(TEXTS)
-        assert flat.tolist() == [i for t in TEXTS if t for i in library.encode(t, add_special_tokens=False).ids]
+        ids = bpe.Encoder(spec, special=False).encode(TEXTS).to_pylist()
+        assert ids == [library.encode(t, add_special_tokens=False).ids if t else [] for t in TEXTS]
     finally:
         library.encode_special_tokens = False
 
 
-def test_fragments_never_cross_a_boundary():
-    encoder = bpe.Encoder(bpe.read_vocabulary(queries.tokenizer("byte_bpe_50k.json")))
-    words = [w for t in TEXTS if t for w in encoder.words(t) if isinstance(w, str)]
-    cut = encoder.fragments(words)
-    assert [b"".join(f) for f in cut] == [w.encode() for w in words]
-    assert any(len(f) > 1 for f in cut)
-    for before, after in ((x, y) for f in cut for x, y in zip(f, f[1:])):
-        assert not encoder.pairs[before[-1], after[0]]
-    for f in (f for fragments in cut for f in fragments):
-        assert all(encoder.pairs[x, y] for x, y in zip(f, f[1:]))
+@pytest.mark.parametrize("fragment", [1, 7, 100])
+def test_every_certain_cut_may_be_used(library, spec, monkeypatch, fragment):
+    monkeypatch.setattr(bpe, "FRAGMENT", fragment)
+    encoder = bpe.Encoder(spec)
+    texts = [t for t in TEXTS if t] + [r["text"] for r in _given() if r["text"]]
+    n_cuts = 0
+    for text, ids in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        pieces = encoder.fragments(text)
+        assert "".join(pieces) == text
+        n_cuts += len(pieces) - 1
+        for left, right in zip(pieces, pieces[1:]):
+            assert not encoder.pairs[left.encode()[-1], right.encode()[0]]
+        assert encoder.ids(text) == ids.ids, text[:100]
+    assert n_cuts > len(texts)
+
+
+def _given():
+    import pyarrow.parquet as pq
+
+    return pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).to_pylist()
 
 
-def test_a_short_memory_changes_nothing(monkeypatch, library):
-    monkeypatch.setattr(bpe, "MEMO", 1)
-    encoder = bpe.Encoder(bpe.read_vocabulary(queries.tokenizer("byte_bpe_50k.json")))
-    for text in [t for t in TEXTS if t] * 2:
-        assert encoder.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\x85\u3000'srtvemld!?.,aZ09é漢Ж\U0001f600"), st.characters(exclude_categories=["Cs"])), max_size=60))
+@settings(max_examples=400, deadline=None)
+def test_any_text(text):
+    encoder, library = _both()
+    assert encoder.ids(text) == library.encode(text, add_special_tokens=False).ids
+    at = [0, *encoder.cuts(text).tolist(), len(text)] if text else [0]
+    assert [i for a, b in zip(at, at[1:]) for i in encoder._by_library(text[a:b])] == encoder._by_library(text)
+
+
+@functools.cache
+def _both():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer("byte_bpe_50k.json")
+    return bpe.Encoder(bpe.read_vocabulary(path)), Tokenizer.from_file(path)
 
 
 def test_decoding_of_odd_ids(spark, library):
@@ -84,16 +111,15 @@ def test_refuses_other_vocabularies():
         bpe.Encoder(bpe.read_vocabulary(queries.tokenizer("word_bpe_49k.json")))
 
 
-def test_classes_agree_with_the_library(library):
-    """Every character that is split without the library, in the contexts that matter."""
+def test_classes_agree_with_the_library(library, spec):
+    """Every character that is encoded without the library, in the contexts that matter."""
     import unicodedata
 
-    encoder = bpe.Encoder(bpe.read_vocabulary(queries.tokenizer("byte_bpe_50k.json")))
+    encoder = bpe.Encoder(spec)
     known = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.ucd_3_2_0.category(chr(c)) != "Cn"]
     for a in range(0, len(known), 4096):
         text = "".join(f"a{c}1{c}!{c} {c}{c}" for c in known[a : a + 4096])
-        spans = [x for _, x in library.pre_tokenizer.pre_tokenize_str(text)]
-        assert [m.span() for m in encoder._pattern.finditer(text)] == spans
+        assert encoder._merge(text) == library.encode(text, add_special_tokens=False).ids
 
 
 def test_steps_cover_all_rows():
@@ -104,7 +130,8 @@ def test_steps_cover_all_rows():
 def _plain_alignment(texts, library, pieces):
     """(n_a, n_b, groups, links) of each text, token by token."""
     library.encode_special_tokens = True
-    names = {i: bytes(bpe._alphabet().index(c) for c in t) for t, i in library.get_vocab(with_added_tokens=False).items()}
+    at = {c: b for b, c in enumerate(bpe.alphabet())}
+    names = {i: bytes(at[c] for c in t) for t, i in library.get_vocab(with_added_tokens=False).items()}
     out = []
     for text in texts:
         a = library.encode(" " + text, add_special_tokens=False).ids if text else []
@@ -167,5 +194,8 @@ def test_odd_and_empty_tables(spark, odd_docs, no_docs, tmp_path):
         assert alignment.with_counts(made.drop("groups")).count() == n
         assert bpe.decoded(bpe.encoded(docs, path), path).count() == n
     nothing_to_count = odd_docs.where("text IS NULL OR text = ''")
+    lists = {r["doc_id"]: r["groups"] for r in alignment.aligned(odd_docs, path, model).collect() if r["doc_id"] == 1}
+    text = {r["doc_id"]: r["groups"] for r in alignment.aligned(odd_docs, path, model, text_groups=True).collect()}
+    assert text[1] == ";".join(f"{','.join(map(str, g['a']))}|{','.join(map(str, g['b']))}" for g in lists[1])
     rows = alignment.with_counts(alignment.aligned(nothing_to_count, path, model)).collect()
     assert [(r["n_links"], r["count_sum"], r["groups"]) for r in rows] == [(0, 0, [])] * 2
