@@ -61,7 +61,7 @@ def _sizes(ids: pa.ListArray, keep: pa.Array) -> pa.ListArray:
 def _ends(ids: pa.ListArray, lengths: pa.Array) -> tuple[pa.Array, pa.Array]:
     """(document, end in bytes) of every token: a cumulative sum that starts anew in
     each document, by taking off what had come before it."""
-    parents = pc.list_parent_indices(ids).cast(pa.int64())
+    parents = pc.list_parent_indices(ids).cast(pa.int32())
     upto = pc.cumulative_sum(lengths.take(ids.flatten()))
     before = pa.concat_arrays([pa.array([0], pa.int64()), upto]).take(ids.offsets.slice(0, len(ids)))
     return parents, pc.subtract(upto, before.take(parents))
@@ -73,7 +73,7 @@ def _joined(ids: pa.ListArray, names: pa.Array) -> pa.Array:
 
 def align(a: pa.ListArray, b: pa.ListArray, a_bytes: pa.Array, b_bytes: pa.Array, whole: pa.Array) -> tuple[pa.Array, pa.Array, pa.Table]:
     """(n_a, groups, links) of the ids of some texts, given as bytes in ``whole`` (null: no
-    tokens). ``links`` is a table (doc, a, b, a_at, b_at) in order of the text; documents
+    tokens). ``links`` is a table (doc, a_at, b_at, a, b) in order of the text; documents
     whose tokens do not join to ``whole`` have no tokens."""
     same = pc.and_(pc.equal(_joined(a, a_bytes), whole), pc.equal(_joined(b, b_bytes), whole))
     same = pc.fill_null(same, False)
@@ -81,9 +81,10 @@ def align(a: pa.ListArray, b: pa.ListArray, a_bytes: pa.Array, b_bytes: pa.Array
     tables = []
     for name, ids, names in (("a", a, a_bytes), ("b", b, b_bytes)):
         doc, end = _ends(ids, pc.binary_length(names).cast(pa.int64()))
-        flat = ids.flatten()
-        tables.append(pa.table({"doc": doc, "end": end, name: flat, f"{name}_at": pa.array(np.arange(len(flat)), pa.int64())}))
-    links = tables[0].join(tables[1], ["doc", "end"], join_type="inner", use_threads=False).sort_by("a_at").combine_chunks()
+        tables.append(pa.table({"doc": doc, "end": end, f"{name}_at": pa.array(np.arange(len(doc)), pa.int32())}))
+    ends = tables[0].join(tables[1], ["doc", "end"], join_type="inner", use_threads=False).select(["doc", "a_at", "b_at"]).combine_chunks()
+    ends = ends.take(pc.sort_indices(ends["a_at"]))
+    links = ends.append_column("a", a.flatten().take(ends["a_at"])).append_column("b", b.flatten().take(ends["b_at"]))
     groups = pa.StructArray.from_arrays(
         [_lists(ids.flatten(), _gaps(links[f"{name}_at"])) for name, ids in (("a", a), ("b", b))], ["a", "b"]
     )

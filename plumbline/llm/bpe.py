@@ -50,6 +50,10 @@ def _recent(char: str) -> bool:
     return unicodedata.ucd_3_2_0.category(char) == "Cn"
 
 
+#: Which code points are white space; none lies beyond.
+_WHITE = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
+
+
 def _end_bytes(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first, last) byte of each code point in UTF-8."""
     first = np.select(
@@ -108,11 +112,13 @@ class Encoder:
         the start of a fragment it may begin a contraction). The pattern looks ahead
         nowhere else and never back, and all pairs inside contractions are in tokens.
         """
-        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        first, last = _end_bytes(code)
-        cut = ~self.pairs[last[:-1], first[1:]] & (code[1:] != ord("'"))
-        at = np.flatnonzero(cut) + 1
-        return at[[not text[k - 1].isspace() for k in at.tolist()]] if len(at) else at
+        if text.isascii():
+            code = first = last = np.frombuffer(text.encode(), np.uint8)
+        else:
+            code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            first, last = _end_bytes(code)
+        white = _WHITE[code if text.isascii() else np.minimum(code, len(_WHITE) - 1)]
+        return np.flatnonzero(~self.pairs[last[:-1], first[1:]] & (code[1:] != ord("'")) & ~white[:-1]) + 1
 
     def fragments(self, text: str) -> list[str]:
         """The text in pieces of at least ``FRAGMENT`` characters (but for the last) that end at a cut."""

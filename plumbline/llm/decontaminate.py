@@ -158,8 +158,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that have a word hit; all columns pass through."""
-    own = F.xxhash64(F.col(id_col), F.col(text_col))
-    hit = window_hits(docs.select(own.alias("doc"), own.alias("t"), F.col(text_col).alias("text")), benchmark_windows(items))
-    whole = docs.select(F.struct(*docs.columns).alias("row"), own.alias("t"))
-    return whole.join(hit.select("t").distinct(), "t", "left_anti").select("row.*")
+    """``docs`` without the rows that have a word hit; all columns pass through. Null and
+    empty texts, and rows with a null id and no hit, stay; rows are told apart by id and text."""
+    own, name = F.xxhash64(F.col(id_col), F.col(text_col)), F.col(id_col).cast("string")
+    hit = window_hits(docs.select(name.alias("doc"), own.alias("t"), F.col(text_col).alias("text")), benchmark_windows(items))
+    hit = hit.select(F.col("doc").alias("hit_doc"), F.col("t").alias("hit_t")).distinct()
+    whole = docs.select(F.struct(*docs.columns).alias("row"), name.alias("doc"), own.alias("t"))
+    same = (F.col("t") == F.col("hit_t")) & F.col("doc").eqNullSafe(F.col("hit_doc"))
+    return whole.join(hit, same, "left_anti").select("row.*")

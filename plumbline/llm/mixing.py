@@ -130,19 +130,24 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def mix(docs: DataFrame, source_col: str = "source", seed: int = 42, **targets) -> DataFrame:
+#: What ``mix`` adds.
+ADDED = ("mix_tokens", "mix_epoch", "mix_order")
+
+
+def mix(docs: DataFrame, source_col: str = "source", seed: int = 42, added: bool = True, **targets) -> DataFrame:
     """The chosen documents: all columns of ``docs`` and ``mix_tokens``, ``mix_epoch``,
     ``mix_order`` (the hash; order by source, epoch and it), a row for each time a
     document is used.
 
     A document without tokens costs nothing and is used once. Targets are those of
     ``weights``. Null sources are a source of their own, null ids share one hash, and
-    repeated rows are each used. Columns of the input named ``mix_…`` are replaced.
+    repeated rows are each used. Columns of the input with the names of the three added ones
+    are replaced; with ``added=False`` none is added, and all columns of ``docs`` come back as they are.
     """
     chosen = durable(plan(docs, source_col, seed, **targets)).select(
         F.col("source").alias("mix_source"), F.col("epochs").alias("mix_epochs"), F.col("last").alias("mix_last")
     )
-    own = [c for c in docs.columns if not c.startswith("mix_")]
+    own = [c for c in docs.columns if not added or c.lower() not in ADDED]
     rows = docs.select(F.struct(*own).alias("row"), F.col("doc_id").alias("mix_id"), _name(source_col).alias("mix_source"), tokens().alias("mix_tokens"))
     planned = rows.join(_bounded(chosen, BROADCAST_SOURCES), "mix_source", "left")
     extra = F.when(_order("mix_epochs", seed, "mix_id") <= F.col("mix_last"), 1).otherwise(0)
@@ -150,5 +155,5 @@ def mix(docs: DataFrame, source_col: str = "source", seed: int = 42, **targets)
     return (
         planned.withColumn("mix_uses", F.coalesce(uses, F.lit(1))).where("mix_uses > 0")
         .select("row", "mix_id", "mix_tokens", F.explode(F.expr("sequence(0, mix_uses - 1)")).alias("mix_epoch"))
-        .select("row.*", "mix_tokens", "mix_epoch", _order("mix_epoch", seed, "mix_id").alias("mix_order"))
+        .select("row.*", *((F.col("mix_tokens"), F.col("mix_epoch"), _order("mix_epoch", seed, "mix_id").alias("mix_order")) if added else ()))
     )

@@ -71,32 +71,53 @@ class _Sizes:
         return (bad - good) / sum(map(len, blocks))
 
 
-def _dictionary(texts: list[str]) -> bytes:
-    samples = [b for t in texts for b in _blocks(t)]
-    size = min(DICTIONARY_BYTES, max(1024, sum(map(len, samples)) // 8))
-    try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on: the text itself is the dictionary
-        return b"".join(samples)[:DICTIONARY_BYTES]
+#: With less text than this of either label nothing is trained: the texts are the dictionaries.
+ENOUGH_BYTES = 4 * DICTIONARY_BYTES
+
+
+def _dictionaries(good: list[str], bad: list[str]) -> tuple[bytes, bytes]:
+    """A dictionary of each. From little text a trained one would be much smaller for the
+    rarer label; then both are plain text of one size, an equal share of every block."""
+    samples = [[b for t in texts for b in _blocks(t)] for texts in (good, bad)]
+    sizes = [sum(map(len, blocks)) for blocks in samples]
+    if min(sizes) >= ENOUGH_BYTES:
+        try:
+            trained = [zstandard.train_dictionary(min(DICTIONARY_BYTES, n // 8), blocks).as_bytes() for n, blocks in zip(sizes, samples)]
+            return trained[0], trained[1]
+        except zstandard.ZstdError:  # text that repeats too little or too much
+            pass
+    most = min(DICTIONARY_BYTES, *sizes)
+    plain = [b"".join(x[: max(1, -(-len(x) * most // n))] for x in blocks)[:most] if n else b"" for n, blocks in zip(sizes, samples)]
+    return plain[0], plain[1]
+
+
+#: Parts that the sample is cut into for the calibration.
+PARTS = 5
 
 
 def fit(sample: DataFrame) -> QualityModel:
-    """A model from ``labelled_sample`` rows, which it collects. Every third text
-    of either label is kept for the calibration. Without texts of both labels the
-    score is the share of label 1 (0.5 for an empty sample)."""
+    """A model from ``labelled_sample`` rows, which it collects.
+
+    The calibration is cross-fitted: each of ``PARTS`` parts is measured with the
+    dictionaries of the others, so every text calibrates and every text trains the final
+    dictionaries. Without two texts of either label the score is the share of label 1
+    (0.5 for an empty sample)."""
     rows = sorted((r["doc_id"], r["text"] or "", r["label"]) for r in sample.collect())
     texts = {v: [t for _, t, y in rows if y == v] for v in (0, 1)}
-    if not texts[0] or not texts[1]:
+    if min(map(len, texts.values())) < 2:
         share = (len(texts[1]) + 1) / (len(rows) + 2)
         return QualityModel(b"", b"", 0.0, float(np.log(share / (1 - share))))
-    learned = {v: [t for i, t in enumerate(ts) if i % 3] or ts for v, ts in texts.items()}
-    left = {v: ts[::3] for v, ts in texts.items()}
-    good, bad = _dictionary(learned[1]), _dictionary(learned[0])
-    sizes = _Sizes(good, bad)
-    x = np.array([sizes.difference(t) for v in (0, 1) for t in left[v]])
-    y = np.repeat([0.0, 1.0], [len(left[0]), len(left[1])])
+    parts, x, y = min(PARTS, *map(len, texts.values())), [], []
+    for part in range(parts):
+        sizes = _Sizes(*_dictionaries(*([t for i, t in enumerate(texts[v]) if i % parts != part] for v in (1, 0))))
+        for v in (0, 1):
+            left = texts[v][part::parts]
+            x += [sizes.difference(t) for t in left]
+            y += [float(v)] * len(left)
+    x, y = np.array(x), np.array(y)
     scale = x.std() or 1.0
     w = fit_logistic(x[:, None] / scale, y)
+    good, bad = _dictionaries(texts[1], texts[0])
     return QualityModel(good, bad, float(w[0] / scale), float(w[1]), tuple(tuple(k.tolist()) for k in fit_monotone(x, y)))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import ensure_checkpoint_dir
 from ..sources.catalog import table
 from . import alignment, bpe, chat, decontaminate, forest, html_text, mixing, quality, sharding, simhash, sketches, suffixes, toxicity
 
@@ -98,7 +100,7 @@ turns AS (
     length(regexp_replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<(\\*)\|', '<\1\\|', 'g')) AS n_role
   FROM rows)
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
-  sha256(string_agg(role || chr(10) || text, '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(12 + n_role + 1 + n_text + 11) AS BIGINT) AS formatted_chars
@@ -112,7 +114,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     texts = chat.formatted(chat.conversations(chat.chain(given.unionByName(added))))
     back = chat.parsed(texts.select("tree", "formatted", "loss_spans"))
-    each = F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"]))
+    each = F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n")))
     loss = F.array_join("loss_texts", "")
     return back.select(
         F.col("tree").alias("conv_id"), F.size("turns").cast("bigint").alias("n_turns"),
@@ -188,9 +190,15 @@ def old_shard():
     return F.pmod(F.xxhash64(F.lit("old"), F.coalesce("text", F.lit(""))), F.lit(OLD_SHARDS))
 
 
+def shard_folder(spark: SparkSession) -> str:
+    """A new folder for shards, below the checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/shards-{uuid.uuid4()}"
+
+
 @query()
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.reshard(table(spark, sf_dir, "documents"), old_shard(), NEW_SHARDS).select(
+    written = sharding.rewritten(table(spark, sf_dir, "documents"), old_shard(), shard_folder(spark), NEW_SHARDS)
+    return written.select(
         F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"), (F.col("old") != F.col("shard")).alias("moved"),
     )

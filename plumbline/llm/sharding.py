@@ -19,7 +19,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F, Window
+from pyspark.sql import DataFrame, functions as F, types as T, Window
 
 #: Blocks of an old shard.
 BLOCKS = 1024
@@ -128,13 +128,13 @@ class Plan:
     flow: list[list[int]]
 
 
-def sized(docs: DataFrame, old_shard, id_col: str = "doc_id", text_col: str = "text", blocks: int = BLOCKS) -> DataFrame:
+def sized(docs: DataFrame, old_shard, id_col: str = "doc_id", text_col: str = "text", blocks: int = BLOCKS, *further) -> DataFrame:
     """(id, size, text_crc32, old, h, block): without the text; h is its hash. ``old_shard`` is a
-    column of ints from 0. A null text has size 1 and the checksum of an empty one."""
+    column of ints from 0. ``further`` columns are added. A null text has size 1 and the checksum of an empty one."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        old_shard.cast("int").alias("old"), F.xxhash64(F.lit("block"), text).alias("h"),
+        old_shard.cast("int").alias("old"), F.xxhash64(F.lit("block"), text).alias("h"), *further,
     ).withColumn("block", F.pmod("h", F.lit(blocks)).cast("int"))
 
 
@@ -220,24 +220,55 @@ def reshard(docs: DataFrame, old_shard, n_new: int = 8, **options) -> DataFrame:
     return slots(assigned(rows, plan(rows, n_new, **options))).select("id", "size", "text_crc32", "old", "shard", "slot")
 
 
-def rewrite(docs: DataFrame, old_shard, folder: str, n_new: int = 8, **options) -> DataFrame:
-    """Writes the affected shards, those that lose or gain a block, below ``folder``
-    as ``shard=N/`` and returns (shard, affected): shards not affected keep their files.
+#: The column of written shards that tells where a row lay before.
+OLD = "_old_shard"
 
-    All columns of ``docs`` are written; ``shard`` of the input is replaced. The text
-    goes from the scan to its file; each shard is written by several tasks, by slice.
-    Raises when ``folder`` is there already: nothing in it is replaced or removed.
-    """
-    own = [c for c in docs.columns if c != "shard"]
+
+def _written(docs: DataFrame, old_shard, folder: str, n_new: int, **options) -> tuple[Plan, list[int]]:
+    """Writes the affected shards; the plan, and which they are."""
+    own = [c for c in docs.columns if c.lower() not in ("shard", OLD)]
     old = F.coalesce(old_shard, F.lit(0))
-    rows = sized(docs, old)
-    made = plan(rows, n_new, **options)
+    made = plan(sized(docs, old), n_new, **options)
     moved = made.cells.where("old <> shard")
     hit = moved.select(F.col("shard").alias("s")).unionByName(moved.select(F.col("old").alias("s"))).distinct()
-    affected = [r["s"] for r in hit.collect()]  # shard numbers
+    affected = sorted(r["s"] for r in hit.collect() if r["s"] < n_new)  # shard numbers
     keyed = docs.select(F.struct(*own).alias("row"), old.cast("int").alias("old"),
                         F.xxhash64(F.lit("block"), F.coalesce("text", F.lit(""))).alias("h"), F.col("doc_id").alias("id"))
     keyed = keyed.withColumn("block", F.pmod("h", F.lit(BLOCKS)).cast("int"))
-    out = assigned(keyed, made).where(F.col("shard").isin(affected)).select("row.*", "shard")
+    out = assigned(keyed, made).where(F.col("shard").isin(affected)).select("row.*", F.col("old").alias(OLD), "shard")
     out.write.mode("errorifexists").partitionBy("shard").parquet(folder)
+    return made, affected
+
+
+def rewrite(docs: DataFrame, old_shard, folder: str, n_new: int = 8, **options) -> DataFrame:
+    """Writes the affected shards, those that lose or gain a block, below ``folder``
+    as ``shard=N/`` and returns (shard, affected): shards not affected keep their files.
+
+    All columns of ``docs`` are written, and ``_old_shard``; columns of the input named
+    ``shard`` or ``_old_shard`` are replaced. The text goes from the scan to its file; each
+    shard is written by several tasks, by slice. Null texts, null ids, repeated rows and
+    null old shards (shard 0) are written like any other row; of an empty table no shard is
+    affected. Raises when ``folder`` is there already: nothing in it is replaced or removed.
+    """
+    _, affected = _written(docs, old_shard, folder, n_new, **options)
     return docs.sparkSession.range(n_new).select(F.col("id").cast("int").alias("shard"), F.col("id").isin(affected).alias("affected"))
+
+
+def rewritten(docs: DataFrame, old_shard, folder: str, n_new: int = 8, **options) -> DataFrame:
+    """What ``reshard`` gives, after ``rewrite``: the rows of affected shards are read from
+    the new files (their sizes and checksums from the texts that stand there), those of the
+    others from ``docs``."""
+    made, affected = _written(docs, old_shard, folder, n_new, **options)
+    stayed = sized(docs, F.coalesce(old_shard, F.lit(0)))
+    files = docs.sparkSession.read.schema(_file_schema(docs)).parquet(folder)
+    here = assigned(sized(files, F.col(OLD), "doc_id", "text", BLOCKS, F.col("shard").alias("of_file")), made) if affected else None
+    there = assigned(stayed, made).where(~F.col("shard").isin(affected))
+    if here is None:
+        return slots(there).select("id", "size", "text_crc32", "old", "shard", "slot")
+    placed = here.drop("shard").withColumnRenamed("of_file", "shard").unionByName(there)
+    return slots(placed).select("id", "size", "text_crc32", "old", "shard", "slot")
+
+
+def _file_schema(docs: DataFrame) -> T.StructType:
+    own = [f for f in docs.schema.fields if f.name.lower() not in ("shard", OLD)]
+    return T.StructType([*own, T.StructField(OLD, T.IntegerType()), T.StructField("shard", T.IntegerType())])

@@ -16,6 +16,7 @@ bounded size, which give back one link per fingerprint instead of all pairs.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -190,7 +191,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id.
 
-    Of rows that share this id, one stays. Components in which all ids are null
+    Of rows that share this id, one stays: that with the smallest text hash, then the
+    least in the order of its other columns (nulls first; maps are not compared). Components in which all ids are null
     can not be told apart by id: there one row of each different text stays.
     """
     found = simhash_components(docs, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component_id")))
@@ -199,5 +201,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("t"))
     kept = keyed.join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("t") == F.col("stay_t")), "left_semi")
-    number = F.row_number().over(Window.partitionBy("id", "t").orderBy(F.lit(0)))
+    ordered = [f.name for f in docs.schema.fields if f.name != text_col and not re.search("map<|variant|interval", f.dataType.simpleString())]
+    number = F.row_number().over(Window.partitionBy("id", "t").orderBy(*([F.col("row").getField(c) for c in ordered] or [F.lit(0)])))
     return kept.withColumn("number", number).where("number = 1").select("row.*")

@@ -30,6 +30,8 @@ from .training import labelled_sample, sigmoid
 #: Bounds of the training sample: texts of each label, and characters of one text.
 PER_CLASS = 1500
 MAX_CHARS = 20_000
+#: With fewer learned texts of either label nothing is rejected.
+MIN_LABELLED = 5
 BUCKETS = 1 << 18
 #: Lengths of word beginnings, and what a feature needs to get a weight.
 STEMS = (4, 5, 6, 7, 8)
@@ -169,9 +171,12 @@ def grades_of(texts: Texts, toxic: np.ndarray) -> np.ndarray:
 def fit_on(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> ToxicityModel:
     """The model of the bounded sample of labelled documents, which is collected.
     The sample has as many texts of either label; the fit weighs them back to the
-    shares that the labels have in ``labels``."""
+    shares that the labels have in ``labels``. With fewer than ``MIN_LABELLED`` texts of either
+    label there is nothing to learn from: every severity is 0."""
     rows = sorted((r["doc_id"], r["text"] or "", r["label"]) for r in labelled_sample(docs, labels, "toxic", per_class, max_chars).collect())
     toxic = np.array([y for *_, y in rows], np.int64)
+    if min(int(toxic.sum()), len(toxic) - int(toxic.sum())) < MIN_LABELLED:
+        return ToxicityModel(np.zeros(BUCKETS), np.empty(0))
     texts = Texts.of(t for _, t, _ in rows)
     del rows
     buckets_of.cache_clear()
@@ -180,14 +185,22 @@ def fit_on(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_c
     return fit(texts, grades_of(texts, toxic), share)
 
 
-def severity(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``severity``: the expected grade of the whole text,
+def not_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """``docs`` below ``REJECT_FROM``, with all their columns as they are."""
+    out = "severity"
+    while out in {c.lower() for c in docs.columns}:
+        out += "_"
+    return severity(docs, model, out=out).where(F.col(out) < REJECT_FROM).select(*docs.columns)
+
+
+def severity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "severity") -> DataFrame:
+    """``docs`` with a column ``severity`` (or ``out``): the expected grade of the whole text,
     null and empty texts included (their value at no words). All other columns pass
-    through; a column ``severity`` of the input is replaced."""
+    through; a column of that name in the input is replaced."""
     used = np.flatnonzero(model.weights)
     weights = dict(zip(used.tolist(), model.weights[used].tolist()))
-    kept = [c for c in docs.columns if c != "severity"]
-    schema = docs.select(*kept).withColumn("severity", F.lit(0.0)).schema
+    kept = [c for c in docs.columns if c.lower() != out]
+    schema = docs.select(*kept).withColumn(out, F.lit(0.0)).schema
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[int, ...]] = {}  # word: its buckets with a weight
@@ -210,7 +223,7 @@ def severity(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> D
         at = kept.index(text_col)
         for batch in batches:
             values = [model.severity(evidence(t.as_py())) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*kept, "severity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*kept, out])
 
     return docs.select(*kept).mapInArrow(apply, schema)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Rows whose crc32(id as text) mod FOLDS is 0 are held out and never learned from.
 FOLDS = 5
@@ -14,14 +14,29 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
+#: A text over ``max_chars`` is learned from in so many pieces, spread evenly over it.
+PIECES = 8
+
+
+def spread(text: Column, max_chars: int) -> Column:
+    """``text``, or ``PIECES`` pieces of it from start to end, ``max_chars`` in all, if it is longer."""
+    size = max_chars // PIECES
+    piece = F.transform(
+        F.sequence(F.lit(0), F.lit(PIECES - 1)),
+        lambda i: F.substring(text, (F.lit(1) + F.floor(i * (F.length(text) - size) / (PIECES - 1))).cast("int"), F.lit(size)),
+    )
+    return F.when(F.length(text) <= max_chars, text).otherwise(F.array_join(piece, " "))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int, seed: int = 42) -> DataFrame:
     """(doc_id, text, label): at most ``per_class`` texts of each value 0 and 1 of
     ``label``, those with the smallest hash of their id, from the learning folds.
 
     The chosen ids, at most ``2 * per_class``, are broadcast, so the documents are
-    scanned once and not shuffled. Texts over ``max_chars`` characters are not
-    learned from, which bounds the sample to ``2 * per_class * max_chars``. Labels
-    other than 0 and 1, and ids with two different labels, are left out.
+    scanned once; only the chosen ones are shuffled. Of rows with one id that of the smallest text hash is taken, and of a
+    text over ``max_chars`` characters pieces spread over it, which bounds the sample to
+    ``2 * per_class`` rows of ``max_chars + PIECES``. Null texts, labels other than 0 and 1, and ids with
+    two different labels are left out.
     """
     clean = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
@@ -29,8 +44,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     )
     order = (F.xxhash64(F.lit(seed), "doc_id"), F.col("doc_id"))
     chosen = [clean.where(F.col("label") == v).orderBy(*order).limit(per_class).select("doc_id", "label") for v in (0, 1)]
-    fitting = docs.where(F.length("text") <= max_chars).select("doc_id", "text")
-    return fitting.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("doc_id", "text", "label")
+    found = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    one = found.select("doc_id", "label", F.struct(F.xxhash64("text").alias("h"), spread(F.col("text"), max_chars).alias("text")).alias("t"))
+    return one.groupBy("doc_id", "label").agg(F.min("t").alias("t")).select("doc_id", "t.text", "label")
 
 
 def sigmoid(z):

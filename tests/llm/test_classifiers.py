@@ -82,3 +82,28 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert toxicity.toxicity(no_docs, labels).count() == 0
     model = toxicity.fit(toxicity.Texts.of(["a"]), [0])
     assert toxicity.severity(odd_docs, model).columns == [*odd_docs.columns, "severity"]
+
+
+def test_few_labels(spark):
+    """Quality from the small table, cross-fitted; toxicity from too few texts rejects nothing."""
+    small = "/root/testdata/sf0.01"
+    quality_of = {r.doc_id: r.quality for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
+    rows = [(r.score, quality_of[r.doc_id]) for r in queries.QUERIES["op1_quality"](spark, small).collect() if r.held_out and r.doc_id in quality_of]
+    good, bad = ([s for s, y in rows if y == v] for v in (1, 0))
+    assert np.mean([(np.array(good) > b).mean() + 0.5 * (np.array(good) == b).mean() for b in bad]) > 0.95
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    few = labels.where("toxic = 0").unionByName(labels.where("toxic = 1").limit(3))
+    assert toxicity.toxicity(docs, few).where("severity <> 0 OR toxic").count() == 0
+
+
+def test_the_sample_is_bounded(spark):
+    """In rows when one id has many, and in characters without leaving out long texts."""
+    docs = spark.range(50_000).selectExpr("IF(id < 49990, 1, id) AS doc_id", "concat('text ', id) AS text")
+    long = spark.createDataFrame([(2, "ab" * 50_000), (3, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3, *range(49_990, 50_000))], "doc_id bigint, quality int")
+    sample = training.labelled_sample(docs.unionByName(long), labels, "quality", 100, 800).collect()
+    assert len(sample) == len({r.doc_id for r in sample}) <= 13 and 1 in {r.doc_id for r in sample}
+    (text,) = [r.text for r in sample if r.doc_id == 2]
+    assert len(text) == 800 + training.PIECES - 1 and set(text) == {"a", "b", " "}
+    again = training.labelled_sample(docs.unionByName(long).repartition(7), labels, "quality", 100, 800).collect()
+    assert sorted(map(tuple, sample)) == sorted(map(tuple, again))

@@ -192,3 +192,111 @@ def test_pipeline_stage_by_stage(spark):
             assert len(ids) == docs.count() and {r.shard for r in rows} <= set(range(8))
         docs = spark.createDataFrame([r.asDict() for r in rows], out.schema)
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_rows_read_back_from_the_written_shards(spark, odd_docs, no_docs, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    old = F.pmod(F.xxhash64("text"), F.lit(3))
+    cases = ((docs, old, {}), (docs, old, {"capacity": None}), (odd_docs.withColumn("shard", F.lit("x")), F.lit(None).cast("int"), {}), (no_docs, old, {}))
+    for k, (df, column, options) in enumerate(cases):
+        want = sharding.reshard(df, column, 4, **options).collect()
+        got = sharding.rewritten(df, column, str(tmp_path / f"out{k}"), 4, **options)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want), key=str)
+    # a shard that keeps its rows is not written
+    near = spark.range(300).select(F.col("id").alias("doc_id"), F.lpad(F.col("id").cast("string"), 9, "0").alias("text"))
+    lies = F.when(F.col("doc_id") < 200, 0).when(F.col("doc_id") < 250, 1).otherwise(2)
+    got = sharding.rewritten(near, lies, str(tmp_path / "part"), 3, capacity=[1500, 1000, 500])
+    assert got.count() == 300 and sorted(p.name for p in (tmp_path / "part").iterdir() if p.name.startswith("shard=")) == ["shard=0", "shard=1"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, sharding.reshard(near, lies, 3, capacity=[1500, 1000, 500]).collect()))
+
+
+def _tables(spark, folder, docs, toxic=(4, 5)):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i in (1, 2, 4, 5, 7)], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "lost text here"), (2, None), (None, "")], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd_docs, no_docs, tmp_path):
+    """Columns of any name pass through all stages; clean rows are not lost to few labels."""
+    names = ("mix_note", "mix_tokens", "shard", "severity", "row", "doc", "words", "_old_shard")
+    clashing = odd_docs.withColumns({c: F.lit(f"its {c}") for c in names})
+    for k, docs in enumerate((clashing, no_docs)):
+        folder = str(tmp_path / f"sf{k}")
+        _tables(spark, folder, docs)
+        rows = spark.read.parquet(f"{folder}/documents.parquet")
+        columns = rows.columns
+        before = rows.count()
+        for name, stage in corpus_pipeline.STAGES:
+            rows = stage(spark, rows, folder)
+            if name != "sharding":
+                assert rows.columns == columns
+                assert {r[c] for r in rows.collect() for c in names if c in columns} <= {f"its {c}" for c in names}
+            if name == "toxicity":
+                assert rows.count() == before  # two toxic labels teach nothing
+            if name == "decontamination" and before:
+                assert None not in {r.doc_id for r in rows.collect()}  # its text is the benchmark's
+        if before:
+            assert rows.count() >= 4
+        else:
+            out = corpus_pipeline.run(spark, folder)
+            assert out.columns == rows.columns and out.count() == 0
+
+
+def test_the_survivor_of_repeated_ids_is_the_same_on_every_run(spark):
+    rows = [(1, "one text of some words", n) for n in ("c", "a", None, "b")] + [(1, "another text of that id altogether", "z")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, note string")
+    kept = {tuple(sorted(map(tuple, simhash.one_of_each(df.orderBy(F.rand(seed))).collect()), key=str)) for seed in range(3)}
+    assert len(kept) == 1 and (1, "one text of some words", None) in next(iter(kept)) or (1, "another text of that id altogether", "z") in next(iter(kept))
+
+
+def test_stages_against_plain_python(spark):
+    """The first four stages, each against a computation that shares no code with it."""
+    import xxhash
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+
+    def fingerprint(text):
+        words = text.translate({c: c + 32 for c in range(65, 91)})
+        words = [w for w in "".join(" " if c in "\t\n\x0b\x0c\r" else c for c in words).split(" ") if w]
+        grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+        hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    prints, root = {i: fingerprint(t) for i, t in texts.items()}, {i: i for i in texts}
+    for a, b in itertools.combinations(sorted(texts), 2):
+        if bin(prints[a] ^ prints[b]).count("1") <= 3:
+            ra, rb = root[a], root[b]
+            if ra != rb:
+                root = {i: min(ra, rb) if r in (ra, rb) else r for i, r in root.items()}
+    stages = dict(corpus_pipeline.STAGES)
+    assert sorted(r.doc_id for r in stages["simhash"](spark, docs, SF).collect()) == sorted(set(root.values()))
+
+    import re
+
+    def words(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+
+    windows = set()
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        ws = words(r.text)
+        windows |= {tuple(ws[i : i + 10]) for i in range(max(1, len(ws) - 9))} if ws else set()
+    lengths = {len(w) for w in windows}
+    clean = [i for i, t in texts.items() if not any(tuple(ws[k : k + n]) in windows for ws in [words(t)] for n in lengths for k in range(len(ws) - n + 1))]
+    assert sorted(r.doc_id for r in stages["decontamination"](spark, docs, SF).collect()) == sorted(clean)
+
+    larger = SF.replace("0.001", "0.1")  # the smaller ones have too few toxic labels to learn much
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{larger}/labels.parquet").collect() if r.toxic is not None}
+    kept = {r.doc_id for r in stages["toxicity"](spark, spark.read.parquet(f"{larger}/documents.parquet"), larger).collect()}
+    assert sum(i not in kept for i, y in labels.items() if y) >= 0.8 * sum(labels.values())
+    assert sum(i in kept for i, y in labels.items() if not y) >= 0.97 * sum(not y for y in labels.values())
+
+    mixed = stages["mixing"](spark, docs, SF).collect()
+    n = {i: len([w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]) for i, t in texts.items()}
+    given, drawn, source = {}, {}, {r.doc_id: r.source for r in docs.collect()}
+    for i, s in source.items():
+        given[s] = given.get(s, 0) + n[i]
+    for r in mixed:
+        drawn[r.source] = drawn.get(r.source, 0) + n[r.doc_id]
+    assert all(drawn[s] <= 4.0 * given[s] + 1 for s in drawn) and abs(sum(drawn.values()) - sum(given.values())) <= 0.05 * sum(given.values())
+    assert entropy([x / sum(drawn.values()) for x in drawn.values()]) >= 0.94 or max(drawn[s] / given[s] for s in drawn) > 3.8
