@@ -14,35 +14,42 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from plumbline.llm import decontaminate, mixing, sharding, simhash, toxicity  # noqa: E402
-from plumbline.llm.queries import MIX, NEW_SHARDS, old_shard  # noqa: E402
+from plumbline.llm.queries import MIX, NEW_SHARDS, old_shard, shard_folder  # noqa: E402
 from plumbline.session import ensure_checkpoint_dir  # noqa: E402
 from plumbline.sources.catalog import table  # noqa: E402
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents whose expected severity is too high."""
+    """Rejects documents whose expected severity is too high. Null and empty texts have no
+    evidence and are judged by the intercept; copies are judged alike; with too few labels
+    (``toxicity.MIN_LABELLED``) nothing is rejected."""
     model = toxicity.fit_on(docs, table(spark, sf_dir, "labels"))
-    return toxicity.severity(docs, model).where(F.col("severity") < toxicity.REJECT_FROM).select(*docs.columns)
+    return toxicity.not_toxic(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies."""
+    """Keeps the document with the smallest id of each group of near copies. Null and empty
+    texts are copies of each other; ties are resolved as ``simhash.one_of_each`` states."""
     return simhash.one_of_each(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that hold a window of a benchmark item."""
+    """Rejects documents that hold a window of a benchmark item. Null and empty texts hold
+    none; rows of one id are judged each by its own text."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draws each source to its temperature weight, as many tokens as came in."""
-    return mixing.mix(docs, **MIX).select(*docs.columns)
+    """Draws each source to its temperature weight, as many tokens as came in. A null source is
+    a source; texts without tokens are used once; repeated rows are each used."""
+    return mixing.mix(docs, added=False, **MIX)
 
 
 def deal_to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A shard and a place in it for every document, moving the fewest bytes."""
-    return sharding.reshard(docs, old_shard(), NEW_SHARDS).select(
+    """A shard and a place in it for every document, moving the fewest bytes; affected
+    shards are written below the checkpoint folder and read back. Null texts are of size 1,
+    copies of a row are rows of their own, null ids are ids."""
+    return sharding.rewritten(docs, old_shard(), shard_folder(spark), NEW_SHARDS).select(
         F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.col("old").alias("old_shard")
     )
 
