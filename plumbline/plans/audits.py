@@ -10,6 +10,7 @@ from ..operators import drift as D, duplicates as U, relational as R
 from ..functions import vocabulary as V
 from ..functions.columns import share
 from . import suite
+from .drift_suite import audit_drift
 from .findings import all_findings, as_rows, finding
 
 
@@ -145,20 +146,6 @@ def reference_drift_finding(base: DataFrame, current: DataFrame, table_name: str
     )
 
 
-def audit_drift(base: DataFrame, current: DataFrame, table_name: str, measures: Iterable[str] = (),
-                categories: Iterable[str] = (), references: Iterable[str] = (), distributions: Iterable[str] = (),
-                min_move: float = V.MIN_MOVE, exact: bool = True) -> DataFrame:
-    """Means of ``measures``, spread and percentiles of ``distributions``, new
-    ``categories``, unknown ``references``. ``exact=False`` reads percentiles
-    from bounded sketches."""
-    return all_findings(
-        *(mean_shift_finding(base, current, table_name, c, min_move) for c in measures),
-        *(distribution_finding(base, current, table_name, c, min_move=min_move, exact=exact) for c in distributions),
-        *(new_category_findings(base, current, table_name, c) for c in categories),
-        *(reference_drift_finding(base, current, table_name, c) for c in references),
-    )
-
-
 def orphan_finding(child: DataFrame, child_name: str, fk: str, parent: DataFrame, pk: str) -> DataFrame:
     """The child is folded to (key, count) once; key by key it is either known,
     unknown or NULL, and the counts add up to the table."""

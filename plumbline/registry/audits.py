@@ -11,7 +11,7 @@ from .dirty import (
     CUSTOMERS_WITH_NULLS, DIRTY_CUSTOMERS, ORDERS_AS_TEXT, ORDERS_WITH_ORPHANS, RECORD, SNAPSHOTS, TOKENS_SQL,
     customers_with_nulls, dirty_customers, orders_as_text, orders_with_orphans, snapshots,
 )
-from .duplicates import _NEAR, _excess
+from .duplicates import NEAR_OF_CUSTOMERS, _excess
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -42,8 +42,8 @@ _COPIES = " UNION ALL ".join((
     _finding("exact_duplicates", "customer", _RECORD_NAME, "exact_duplicate",
              f"({_excess('customers', ', '.join(RECORD))})", "CAST(NULL AS VARCHAR)", 0.88, "customers"),
     _finding("near_duplicates", "customer", _RECORD_NAME, "near_duplicate_pattern",
-             f"(SELECT COALESCE(SUM(n_new), 0) FROM ({_NEAR}) g)",
-             f"(SELECT printf('%d groups, %d rows', COUNT(*), COALESCE(SUM(n_rows), 0)) FROM ({_NEAR}) g)", 0.55,
+             f"(SELECT COALESCE(SUM(n_new), 0) FROM ({NEAR_OF_CUSTOMERS}) g)",
+             f"(SELECT printf('%d groups, %d rows', COUNT(*), COALESCE(SUM(n_rows), 0)) FROM ({NEAR_OF_CUSTOMERS}) g)", 0.55,
              "customers"),
 ))
 NULLS_DUPLICATES = f"WITH {DIRTY_CUSTOMERS} {_NULLS} UNION ALL {_COPIES}"

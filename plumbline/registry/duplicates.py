@@ -47,9 +47,11 @@ def _left_out(left_out, extra=""):
 
 _RECORDS = f"records AS (SELECT {', '.join(RECORD)}, COUNT(*) AS n FROM customers GROUP BY ALL)"
 _ONE = [(c,) for c in RECORD if c != "c_name"]
-_NEAR = f"WITH {CUSTOMERS_WITH_NEAR_COPIES}, {_RECORDS}, marked AS (SELECT * FROM records)" + " UNION ALL ".join(
+#: Over whatever table is named ``customers`` where it stands.
+NEAR_OF_CUSTOMERS = f"WITH {_RECORDS}, marked AS (SELECT * FROM records)" + " UNION ALL ".join(
     _left_out(s, ", COUNT(*) AS n_new") for s in _ONE
 )
+_NEAR = f"WITH {CUSTOMERS_WITH_NEAR_COPIES}, " + NEAR_OF_CUSTOMERS.removeprefix("WITH ")
 
 
 @query(_NEAR)

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import vocabulary as V
 from ..operators import evaluate as E, inject as I, relational as R
 from ..plans import audits as A, report as P
-from ..plans.findings import all_findings
+from ..plans.findings import all_findings, written
 from ..sources.catalog import table
 from . import query
 from .audits import (
@@ -26,7 +26,7 @@ def _findings(spark, sf) -> DataFrame:
         "drift": A.audit_drift(**_drift(spark, sf)),
         "relational": A.audit_relational(**_relational(spark, sf)),
     }
-    return all_findings(*(_rounded(df).select(F.lit(name).alias("audit"), "*") for name, df in frames.items()))
+    return written(all_findings(*(_rounded(df).select(F.lit(name).alias("audit"), "*") for name, df in frames.items())))
 
 
 # --- grading -------------------------------------------------------------------
