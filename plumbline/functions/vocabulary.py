@@ -26,6 +26,8 @@ BLOCKED_STATEMENTS = (
 )
 # functions that reach beyond the tables
 FOREIGN_CALLS = ("reflect", "try_reflect", "java_method")
+# first part of a name that reads files in place of a table
+FILE_FORMATS = ("avro", "binaryfile", "csv", "jdbc", "json", "orc", "parquet", "text", "xml")
 # flagged when auditing a query log
 DESTRUCTIVE_STATEMENTS = ("drop", "truncate", "delete", "insert", "update", "alter", "create")
 QUERY_FEATURES = {

@@ -3,25 +3,12 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions import vocabulary as V
-
-_BLOCKED = re.compile(rf"\b({'|'.join(V.BLOCKED_STATEMENTS)})\b", re.IGNORECASE)
-_READ_ONLY = re.compile(V.READ_ONLY_PATTERN, re.IGNORECASE)
-_FOREIGN_CALL = re.compile(rf"\b({'|'.join(V.FOREIGN_CALLS)})\s*\(", re.IGNORECASE)
-_FILE_RELATION = re.compile(r"\b\w+\s*\.\s*`[^`]*`|`[^`]*[/\\:][^`]*`")
-_LITERAL_OR_COMMENT = re.compile(r"'(?:[^'\\]|\\.|'')*'|--[^\n]*|/\*.*?\*/", re.DOTALL)
-#: FROM that names no table: EXTRACT(… FROM x), TRIM(… FROM x), IS DISTINCT FROM x
-_OTHER_FROM = re.compile(r"\b(?:extract|trim|substring|overlay)\s*\([^()]*?\bfrom\b|\bdistinct\s+from\b", re.IGNORECASE)
-_RELATIONS = re.compile(
-    r"\b(?:from|join)\s+((?:lateral\s+)?[\w.`]+(?:\s+(?:as\s+)?(?!on\b|where\b|join\b)\w+)?(?:\s*,\s*[\w.`]+(?:\s+(?:as\s+)?\w+)?)*)", re.IGNORECASE
-)
-_COMMON_TABLE = re.compile(r"(?:\bwith|,)\s*(?:recursive\s+)?`?(\w+)`?\s*(?:\([^()]*\)\s*)?as\s*\(", re.IGNORECASE)
+from .sqlguard import RefusedStatement, guard  # noqa: F401 (part of this module's interface)
 
 Tables = Mapping[str, DataFrame]
 
@@ -56,42 +43,11 @@ def register(spark: SparkSession, tables: Tables) -> None:
         df.createOrReplaceTempView(name)
 
 
-class RefusedStatement(ValueError):
-    """The text is not a plain read of the registered tables."""
-
-
-def guard(text: str | None) -> str:
-    """The text itself if it only reads, else ``RefusedStatement``. A blocked word
-    is refused anywhere in the text, also inside a literal."""
-    text = (text or "").strip()
-    if _BLOCKED.search(text):
-        raise RefusedStatement("destructive SQL (DROP/DELETE/UPDATE/etc.) is not permitted")
-    if not _READ_ONLY.match(text):
-        raise RefusedStatement("only SELECT and WITH statements are permitted")
-    bare = _LITERAL_OR_COMMENT.sub(" ", text)
-    if _FOREIGN_CALL.search(bare):
-        raise RefusedStatement("calls into the host system are not permitted")
-    if _FILE_RELATION.search(bare):
-        raise RefusedStatement("only registered tables may be read, no files")
-    return text
-
-
-def named_tables(text: str) -> set[str]:
-    """Lower-case names of the relations a text reads, without its own WITH names."""
-    bare = _OTHER_FROM.sub(" ", _LITERAL_OR_COMMENT.sub(" ", text))
-    listed = (part.split()[0] for found in _RELATIONS.findall(bare) for part in found.split(",") if part.strip())
-    own = {n.lower() for n in _COMMON_TABLE.findall(bare)}
-    return {n.strip("`").lower() for n in listed} - own - {"lateral", "values", "unnest", "explode"}
-
-
 def run_sql(spark: SparkSession, text: str, tables: Iterable[str] | None = None) -> DataFrame:
     """The whole result of read-only SQL. With ``tables`` only those names (and the
-    text's own WITH names) may be read. To see a part of a result, use ``preview``,
-    which asks for an order."""
-    text = guard(text)
-    if tables is not None and (unknown := named_tables(text) - {t.lower() for t in tables}):
-        raise RefusedStatement(f"not registered: {sorted(unknown)}")
-    return spark.sql(text.rstrip(";"))
+    text's own WITH names) may be read; see ``sqlguard.guard``. To see a part of a result,
+    use ``preview``, which asks for an order."""
+    return spark.sql(guard(spark, text, tables))
 
 
 def preview(df: DataFrame, order_by: Iterable[str | Column], n: int) -> DataFrame:
