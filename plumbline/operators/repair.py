@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import vocabulary as V
 from ..functions.columns import disguised_null, iso_date, parsed_number, text_date
@@ -86,6 +86,48 @@ def quarantine(df: DataFrame, bad: Column) -> tuple[DataFrame, DataFrame]:
     return df.where(~flag), df.where(flag)
 
 
+def judged(df: DataFrame, checks: Mapping[str, Column | str]) -> DataFrame:
+    """Adds ``failed``: the names of the checks whose condition for a bad row holds, in the
+    order of ``checks``; a NULL verdict is no failure. A column of that name is replaced."""
+    failed = F.array_compact(F.array(*(F.when(_expr(bad), name) for name, bad in checks.items())))
+    return df.select(*(c for c in df.columns if c.lower() != "failed"), failed.alias("failed"))
+
+
+def split_by_verdict(df: DataFrame, checks: Mapping[str, Column | str], folder: str) -> tuple[DataFrame, DataFrame]:
+    """(clean, rejected), written below ``folder`` as ``verdict=clean`` and ``verdict=rejected``.
+
+    One scan judges and writes every row; either side is then read on its own, rejected
+    rows with ``failed``, the checks they failed. Raises when ``folder`` is there already. A
+    column named ``verdict`` or ``failed`` is replaced.
+    """
+    told = judged(df, checks).drop("verdict")
+    told.withColumn("verdict", F.when(F.size("failed") > 0, "rejected").otherwise("clean")).write.mode("errorifexists").partitionBy("verdict").parquet(folder)
+    whole = df.sparkSession.read.schema(T.StructType([*told.schema.fields, T.StructField("verdict", T.StringType())])).parquet(folder)
+    clean, rejected = (whole.where(F.col("verdict") == v).drop("verdict") for v in ("clean", "rejected"))
+    return clean.drop("failed"), rejected
+
+
+def verified_update(df: DataFrame, assignments: Mapping[str, Column | str], where: Column | str, checks: Mapping[str, Column | str]) -> DataFrame:
+    """(check, n_rows, n_bad_before, n_bad_after, n_fixed, n_still_bad, n_newly_broken) of an ``update``.
+
+    Every check is evaluated on the old and on the new values of the same row, in one
+    pass, so a repair that mends some rows and breaks as many others is seen.
+    """
+    checks = dict(checks)
+
+    def verdicts(name: str) -> Column:
+        return F.array(*(F.coalesce(_expr(bad), F.lit(False)) for bad in checks.values())).alias(name)
+
+    own = [c for c in df.columns if not c.startswith("__")]
+    before = df.select(*own, verdicts("__before"))
+    after = update(before, assignments, where).select("__before", verdicts("__after"))
+    each = F.arrays_zip(F.array(*map(F.lit, checks)).alias("check"), F.col("__before").alias("b"), F.col("__after").alias("a"))
+    rows = after.select(F.inline(each).alias("check", "b", "a"))
+    b, a = F.col("b"), F.col("a")
+    counted = {"n_bad_before": b, "n_bad_after": a, "n_fixed": b & ~a, "n_still_bad": b & a, "n_newly_broken": ~b & a}
+    return rows.groupBy("check").agg(F.count(F.lit(1)).alias("n_rows"), *(F.count_if(c).alias(n) for n, c in counted.items()))
+
+
 def compare_findings(before: DataFrame, after: DataFrame) -> DataFrame:
     """(check, table_name, column_name, n_bad_before, n_bad_after, n_fixed, is_resolved).
 

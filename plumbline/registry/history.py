@@ -1,8 +1,12 @@
 """Run history: one run per order."""
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import history as H
+from ..session import ensure_checkpoint_dir
+from ..sources import runstore
 from ..sources.catalog import table
 from . import query
 
@@ -73,3 +77,13 @@ def check_weights_of_queries(spark, sf):
     runs = _runs(spark, sf)
     asked = runs.select("task_id", F.explode(F.array(*map(F.lit, (*PLAN_SQL, "never asked")))).alias("query"))
     return H.check_weights(runs, queries=asked).withColumn("weight", F.round("weight", 9))
+
+
+@query(f"{_TOP} SELECT task_id, seed, score, CAST(steps AS INTEGER) AS n_steps FROM ranked WHERE run_rank <= 300")
+def stored_runs(spark, sf):
+    """Runs added to a store in three parts, one of them twice; it keeps 300 of each task."""
+    runs = _runs(spark, sf)
+    folder = f"{ensure_checkpoint_dir(spark)}/runs-{uuid.uuid4()}"
+    for part in (0, 1, 1, 2):
+        runstore.add(runs.where(F.col("seed") % 3 == part), folder, keep=300)
+    return runstore.read(spark, folder).select("task_id", "seed", "score", F.size("query_plan").alias("n_steps"))

@@ -1,11 +1,14 @@
 """Repairs and their verification."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import inject as I, repair as X
 from ..plans import audits as A, suite
 from ..plans.findings import all_findings
+from ..session import ensure_checkpoint_dir
 from ..sources.catalog import table
 from . import query
 from .dirty import (
@@ -135,3 +138,37 @@ def repair_verified(spark, sf):
             X.drop_duplicates(copies, RECORD),
         ),
     )
+
+
+_LINE_CHECKS = {"not_negative": "l_quantity < 0", "priced": "l_extendedprice < 1000 * abs(l_quantity)", "discounted": "l_discount > 0.09"}
+_FAILED = "list_filter([" + ", ".join(f"CASE WHEN {bad} THEN '{name}' END" for name, bad in _LINE_CHECKS.items()) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"""WITH {_NEGATIVE_LINES}, told AS (SELECT *, {_FAILED} AS failed FROM dirty_lines)
+SELECT CASE WHEN len(failed) > 0 THEN 'rejected' ELSE 'clean' END AS verdict, array_to_string(failed, ',') AS failed,
+  COUNT(*) AS n_rows, CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS amount
+FROM told GROUP BY 1, 2""")
+def split_by_verdict(spark, sf):
+    """Lines judged and split in one pass; both sides read back from their files."""
+    folder = f"{ensure_checkpoint_dir(spark)}/split-{uuid.uuid4()}"
+    clean, rejected = X.split_by_verdict(_negative_lines(spark, sf), _LINE_CHECKS, folder)
+    both = all_findings(
+        clean.select(F.lit("clean").alias("verdict"), F.lit("").alias("failed"), "l_extendedprice"),
+        rejected.select(F.lit("rejected").alias("verdict"), F.array_join("failed", ",").alias("failed"), "l_extendedprice"),
+    )
+    return both.groupBy("verdict", "failed").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("amount")
+    )
+
+
+_SWAPPED = "CASE WHEN l_quantity < 10 THEN -l_quantity ELSE l_quantity END"
+_LINE_AFTER = {"not_negative": f"{_SWAPPED} < 0", "priced": f"l_extendedprice < 1000 * abs({_SWAPPED})", "discounted": "l_discount > 0.09"}
+
+
+@query(f"WITH {_NEGATIVE_LINES} " + " UNION ALL ".join(f"""SELECT '{name}' AS "check", COUNT(*) AS n_rows, COUNT(*) FILTER (WHERE {bad}) AS n_bad_before,
+  COUNT(*) FILTER (WHERE {_LINE_AFTER[name]}) AS n_bad_after, COUNT(*) FILTER (WHERE {bad} AND NOT {_LINE_AFTER[name]}) AS n_fixed,
+  COUNT(*) FILTER (WHERE {bad} AND {_LINE_AFTER[name]}) AS n_still_bad, COUNT(*) FILTER (WHERE NOT {bad} AND {_LINE_AFTER[name]}) AS n_newly_broken
+FROM dirty_lines""" for name, bad in _LINE_CHECKS.items()))
+def update_verified_by_row(spark, sf):
+    """A sign repair with too wide a condition: it mends the negative lines and breaks small ones."""
+    return X.verified_update(_negative_lines(spark, sf), {"l_quantity": "-l_quantity"}, "l_quantity < 10", _LINE_CHECKS)
