@@ -15,7 +15,7 @@ ORACLE: dict[str, str] = {}
 
 _MODULES = (
     "catalog", "profiling", "nulls", "duplicates", "conformance", "drift", "relational",
-    "repairs", "injection", "scoring", "history", "querylog", "audits", "own_reports",
+    "repairs", "injection", "scoring", "history", "querylog", "audits", "own_reports", "stored",
 )
 
 

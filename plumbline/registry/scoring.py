@@ -385,6 +385,20 @@ def merged_reports(spark, sf):
     return R.merge_reports(first, second, ["run_id"]).withColumn("seq", F.col("seq").cast("bigint"))
 
 
+_LINE = """concat_ws('|', section, CAST(report AS VARCHAR), CAST(seq AS VARCHAR), coalesce(field, '~'), coalesce(issue_type, '~'),
+  coalesce(value, '~'), coalesce(CAST(n_reported AS VARCHAR), '~'), coalesce(CAST(CAST(round(confidence * 1000000) AS BIGINT) AS VARCHAR), '~'))"""
+
+
+@query(f"""SELECT run_id, COUNT(*) AS n_statements, md5(array_to_string(list_sort(list({_LINE})), chr(10))) AS statements_md5
+FROM ({_MERGED}) m GROUP BY 1""")
+def merged_report_digests(spark, sf):
+    """One row per merged report: its statements, in order, as a digest."""
+    line = F.expr(_LINE.replace("VARCHAR", "STRING"))
+    return merged_reports(spark, sf).groupBy("run_id").agg(  # a report is a bounded text
+        F.count(F.lit(1)).alias("n_statements"), F.md5(F.array_join(F.array_sort(F.collect_list(line)), "\n").cast("binary")).alias("statements_md5")
+    )
+
+
 @query("""SELECT o_custkey, o_orderstatus, '{"n_orders":' || COUNT(*) || ',"n_urgent":'
   || COUNT(*) FILTER (WHERE o_orderpriority = '1-URGENT') || '}' AS report FROM orders GROUP BY 1, 2""")
 def findings_as_json(spark, sf):
