@@ -3,8 +3,8 @@
 Counts fold the child table to one row per key before any join, so the join
 sees distinct keys and a hot key weighs as much as any other. Rows without a
 parent are one anti join of two scans, which adaptive execution splits when a
-key is hot. Parents without a child are picked by their keys, with the hot ones
-salted (``spread.py``), since the child side there is large and repeats its keys.
+key is hot. Parents without a child are one anti join too, with the distinct child keys,
+since the child side there is large and repeats its keys.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import vocabulary as V
 from ..functions.columns import ColumnLike, col, ends_before_start
-from .spread import join_rows_with_keys
 
 
 def orphan_count(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
@@ -84,8 +83,13 @@ def _childless_keys(parent: DataFrame, pk: str, child: DataFrame, fk: str) -> Da
 
 
 def childless_parents(parent: DataFrame, pk: str, child: DataFrame, fk: str) -> DataFrame:
-    """Parent rows no child points to; a NULL key has no children."""
-    return join_rows_with_keys(parent, _childless_keys(parent, pk, child, fk), [pk])
+    """Parent rows no child points to; a NULL key has no children. One scan of either table.
+
+    Child keys are folded to distinct ones in every task before they move. They meet the
+    parents as structs, a key they are not placed on yet: so both sides of the join come straight
+    from a shuffle, and adaptive execution splits a hot parent key."""
+    known = child.select(F.col(fk).try_cast(parent.schema[pk].dataType).alias("__fk")).where("__fk IS NOT NULL").distinct()
+    return parent.join(known, F.struct(F.col(pk).alias("k")) == F.struct(F.col("__fk").alias("k")), "left_anti")
 
 
 def childless_count(parent: DataFrame, pk: str, child: DataFrame, fk: str) -> DataFrame:

@@ -176,3 +176,24 @@ def test_orphan_rows_scan_each_table_once(spark, tmp_path):
         assert plan.count("FileScan parquet") == 2
     assert R.orphan_rows(child, "fk", parent, "pk").count() == 28
     assert R.orphan_count(child, "fk", parent, "pk").first()[0] == 28
+
+
+def test_childless_rows_take_one_scan_of_each_and_split_a_hot_parent(spark, tmp_path):
+    spark.range(0, 60_000, 1, 8).selectExpr("IF(id % 3 = 0, -1L, id) AS k", "repeat(md5(string(id)), 4) AS t").write.parquet(str(tmp_path / "parents"))
+    spark.range(0, 60_000, 1, 8).selectExpr("IF(id % 2 = 0, 7L, id) AS k").write.parquet(str(tmp_path / "children"))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k",
+    }
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        found = R.childless_parents(spark.read.parquet(str(tmp_path / "parents")), "k", spark.read.parquet(str(tmp_path / "children")), "k")
+        assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 2
+        keys = [r["k"] for r in found.collect()]
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    expected = [-1 if i % 3 == 0 else i for i in range(60_000)]
+    assert sorted(keys) == sorted(k for k in expected if not (k % 2 == 1 and k > 0 or k == 7))
