@@ -11,10 +11,11 @@ a window that covers it also starts in a document with a smaller id.
 2. **Trees.** The words of the runs left over (same name, different surroundings:
    edges of copies and passages) are grouped by name, that is by the anchor
    prefix which their suffixes share, several names to a group of bounded size.
-   Each group builds the levels of the suffix tree of its runs: the suffixes that
-   agree in their first 1, 2, 4, ... words share a node of that depth. A node of
-   depth 50 with two documents is a repeat; words that runs share beyond 50 make
-   overlapping windows, whose union is the maximal repeat.
+   Each group builds the suffix tree of its runs: the leaves in order, and between
+   neighbours the number of words they share, which gives the internal nodes. An
+   internal node of depth 50 or more whose leaves are preceded by different words
+   is a maximal repeat. A leaf below it is cut to the depth of the lowest node it
+   shares with a document of a smaller id.
 3. **Longer prefixes.** A name with more than ``CROWD`` such runs or more than
    ``CROWD_WORDS`` words in them (a passage in a third of all documents, a line that
    long documents repeat) would not fit a group. Its prefix is lengthened to the
@@ -58,13 +59,13 @@ def _window_runs(words: Words, length: int) -> tuple[np.ndarray, np.ndarray, np.
     return names[first].view(np.int64), first, count
 
 
-def window_runs(docs: DataFrame, length: int, with_digest: bool) -> DataFrame:
-    """(name, doc, t, digest | first, count): the runs of every document.
-    ``digest`` is of the run's words; ``first`` and ``count`` are its windows."""
+def window_runs(docs: DataFrame, length: int) -> DataFrame:
+    """(name, doc, t, digest, first, count): the runs of every document. ``digest``
+    is of the run's words; ``first`` and ``count`` are its windows."""
+    kinds = {"name": pa.int64(), "doc": pa.int64(), "t": pa.int64(), "digest": pa.int64(), "first": pa.int32(), "count": pa.int32()}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             at, name, digest, firsts, counts = [], [], [], [], []
             for i, text in enumerate(batch.column(2)):
                 words = Words(text.as_py())
@@ -73,77 +74,132 @@ def window_runs(docs: DataFrame, length: int, with_digest: bool) -> DataFrame:
                 name.append(names)
                 firsts.append(first)
                 counts.append(count)
-                if with_digest:
-                    digest += [
-                        xxhash.xxh3_64_intdigest(words.slice(a, a + c + length - 1))
-                        for a, c in zip(first.tolist(), count.tolist())
-                    ]
-            at = np.concatenate(at) if at else np.empty(0, np.int64)
-            cells = [np.concatenate(name) if name else np.empty(0, np.int64), doc[at], t[at]]
-            if with_digest:
-                cells += [np.array(digest, np.uint64).view(np.int64)]
-            else:
-                cells += [np.concatenate(x).astype(np.int32) if x else np.empty(0, np.int32) for x in (firsts, counts)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], _fields(with_digest)[0])
-
-    return docs.select("doc", "t", "text").mapInArrow(cut, _fields(with_digest)[1])
-
-
-def _fields(with_digest: bool) -> tuple[list[str], str]:
-    own = {"digest": "bigint"} if with_digest else {"first": "int", "count": "int"}
-    fields = {"name": "bigint", "doc": "bigint", "t": "bigint"} | own
-    return list(fields), ", ".join(f"{k} {v}" for k, v in fields.items())
-
-
-def tree_nodes(runs: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes of depth ``length`` in the suffix tree of the runs.
-
-    Returns (node, run): for every window of every run, in order, the number of
-    the node of its first ``length`` words and the number of the run. The levels
-    of depth 1, 2, 4, ... are built from words, each from the one before: two
-    suffixes share a node of depth a + b if they share one of depth a and, a words
-    on, one of depth b.
+                digest += [
+                    xxhash.xxh3_64_intdigest(words.slice(a, a + c + length - 1))
+                    for a, c in zip(first.tolist(), count.tolist())
+                ]
+            at, name, firsts, counts = (np.concatenate([np.empty(0, np.int64), *x]) for x in (at, name, firsts, counts))
+            doc, t = (batch.column(c).to_numpy()[at] for c in (0, 1))
+            cells = [name, doc, t, np.array(digest, np.uint64).view(np.int64), firsts, counts]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds.values())], list(kinds))
+
+    return docs.select("doc", "t", "text").mapInArrow(cut, "name bigint, doc bigint, t bigint, digest bigint, first int, count int")
+
+
+class Tree:
+    """The suffix tree of runs of words, as its leaves in order and the depths between.
+
+    ``leaves``: where each suffix starts in ``words``, in which every run ends with
+    a mark of its own, so no two suffixes are equal. ``depths[i]``: how many words
+    leaves i and i + 1 share, the depth of the internal node that parts them; only
+    depths of ``length`` or more are worked out, others may be anything smaller.
+
+    Suffixes are sorted by their first 1, 2, 4, ... words; only those that still share
+    a place are sorted again. The places of every step are kept: read from the longest
+    step to the shortest, they give the shared words of two suffixes.
     """
-    ids: dict[bytes, int] = {}
-    split = [r.split() for r in runs]
-    sizes = np.fromiter(map(len, split), np.int64, len(split))
-    level = np.fromiter((ids.setdefault(w, len(ids)) for ws in split for w in ws), np.int64, int(sizes.sum()))
-    depth = 1
-    while depth < length:
-        step = min(depth, length - depth)
-        pairs = level[: len(level) - step] * (level.max(initial=0) + 1) + level[step:]
-        level, depth = np.unique(pairs, return_inverse=True)[1].reshape(-1), depth + step
-    ends = np.cumsum(sizes)
-    windows = np.maximum(sizes - length + 1, 0)
-    run = np.repeat(np.arange(len(split)), windows)
-    at = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(ends - sizes, windows)
-    return level[at], run
-
-
-_SPAN = {"doc": pa.int64(), "t": pa.int64(), "s": pa.int32(), "e": pa.int32()}
-_SPAN_SQL = "doc bigint, t bigint, s int, e int"
 
+    def __init__(self, runs: list[bytes], length: int):
+        ids: dict[bytes, int] = {}
+        split = [r.split() for r in runs]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        codes = np.fromiter((ids.setdefault(w, len(ids)) for ws in split for w in ws), np.int64, int(sizes.sum()))
+        self.run = np.repeat(np.arange(len(split)), sizes + 1)
+        self.starts = np.cumsum(sizes + 1) - sizes - 1
+        self.words = np.empty(len(self.run), np.int64)
+        self.words[np.arange(len(codes)) + np.repeat(np.arange(len(split)), sizes)] = codes
+        self.words[self.starts + sizes] = len(ids) + np.arange(len(split))
+        steps = self._places()
+        self.leaves = np.empty(len(self.words), np.int64)
+        self.leaves[steps[-1]] = np.arange(len(self.words))
+        self.depths = self._shared(steps, length)
+
+    def _places(self) -> list[np.ndarray]:
+        """For 1, 2, 4, ... words: the place of every suffix, equal ones having the first of theirs."""
+        n = len(self.words)
+        counts = np.bincount(self.words)
+        place = (np.cumsum(counts) - counts)[self.words].astype(np.int32)
+        steps, depth = [place], 1
+        while True:
+            tied = np.flatnonzero(np.bincount(place, minlength=n)[place] > 1)
+            if not len(tied):
+                return steps
+            key = place[tied].astype(np.int64) * n + place[tied + depth]
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            old, index = key // n, np.arange(len(key))
+            differs, leaves_old = (np.concatenate(([True], x[1:] != x[:-1])) for x in (key, old))
+            inside = np.maximum.accumulate(np.where(differs, index, 0)) - np.maximum.accumulate(np.where(leaves_old, index, 0))
+            place = place.copy()
+            place[tied[order]] = old + inside
+            steps.append(place)
+            depth *= 2
+
+    def _shared(self, steps: list[np.ndarray], length: int) -> np.ndarray:
+        a, b = self.leaves[:-1], self.leaves[1:]
+        depths = np.zeros(len(a), np.int64)
+        near = min(int(length).bit_length(), len(steps)) - 1  # the longest step of at most ``length`` words
+        pair = np.flatnonzero(steps[near][a] == steps[near][b])
+        a, b, d = a[pair], b[pair], np.zeros(len(pair), np.int64)
+        for k in range(len(steps) - 1, -1, -1):
+            d += (steps[k][a + d] == steps[k][b + d]).astype(np.int64) << k
+        depths[pair] = d
+        return depths
+
+    def maximal_repeats(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(at, depth): the leaves under internal nodes of depth ``length`` or more which
+        are maximal repeats, node after node, and the depth between each and the next
+        (0 after the last of a node).
+
+        If all leaves under a node follow the same word, the node one word earlier has
+        the same leaves and covers more, so it is left out.
+        """
+        deep, n = runs_of_equal(self.depths >= length)
+        keep = self.depths[deep] >= length if len(deep) else np.empty(0, bool)
+        deep, n = deep[keep], n[keep]
+        before = np.where(self.leaves > 0, self.words[self.leaves - 1], -1)
+        differing = np.concatenate(([0], np.cumsum(before[1:] != before[:-1])))
+        keep = differing[deep + n] > differing[deep]
+        deep, n = deep[keep], n[keep]
+        leaf = np.arange(int((n + 1).sum())) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1) + np.repeat(deep, n + 1)
+        depth = np.append(self.depths, 0)[leaf]
+        depth[np.cumsum(n + 1) - 1] = 0
+        return self.leaves[leaf], depth
+
+
+def depth_with_earlier(doc: list[int], depth: list[int]) -> np.ndarray:
+    """For every leaf the depth of the lowest node it shares with a smaller id: the
+    nearest such leaf on either side decides. ``depth[i]`` is between i and i + 1."""
+    best = np.zeros(len(doc), np.int64)
+    for docs, depths, out in ((doc, depth, best), (doc[::-1], depth[-2::-1], best[::-1])):
+        rising: list[tuple[int, int]] = []  # ids that rise, each with its depth with the one below
+        for i, own in enumerate(docs):
+            d = depths[i - 1] if i else 0
+            while rising and rising[-1][0] >= own:
+                d = min(d, rising.pop()[1])
+            if rising and d > out[i]:
+                out[i] = d
+            rising.append((own, d))
+    return best
 
-def _spans_of(covered: np.ndarray, run: np.ndarray, first: np.ndarray, doc: np.ndarray, t: np.ndarray, length: int) -> pa.Table:
-    """Word spans of maximal runs of covered windows."""
-    counts = np.bincount(run, minlength=len(first))
-    inside = np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts)
-    state = np.where(covered, run, -1)
-    start, n = runs_of_equal(state)
-    keep = state[start] >= 0 if len(start) else np.empty(0, bool)
-    start, n = start[keep], n[keep]
-    r = run[start] if len(start) else np.empty(0, np.int64)
-    s = first[r] + (inside[start] if len(start) else 0)
-    return pa.table({"doc": doc[r], "t": t[r], "s": s.astype(np.int32), "e": (s + n + length - 1).astype(np.int32)})
+
+_SPAN_SQL = "doc bigint, t bigint, s int, e int"
 
 
 def _repeats_in_group(length: int):
     def find(table):
         doc, t, first = (table.column(c).to_numpy() for c in ("doc", "t", "first"))
-        nodes, run = tree_nodes([w.as_py() for w in table.column("words")], length)
-        earliest = np.full(int(nodes.max(initial=-1)) + 1, _LAST)
-        np.minimum.at(earliest, nodes, doc[run])
-        return _spans_of(doc[run] > earliest[nodes], run, first, doc, t, length)
+        tree = Tree([w.as_py() for w in table.column("words")], length)
+        at, depth = tree.maximal_repeats(length)
+        run = tree.run[at]
+        depth = depth_with_earlier(doc[run].tolist(), depth.tolist())
+        hit = np.flatnonzero(depth >= length)
+        hit = hit[np.argsort(at[hit])]
+        at, run, end = at[hit], run[hit], np.maximum.accumulate(at[hit] + depth[hit])
+        # Spans that touch are one; no span leaves its run.
+        s, n = runs_of_equal(np.cumsum(np.concatenate(([True], at[1:] > end[:-1])))) if len(at) else (at, at)
+        r, shift = run[s], first[run[s]] - tree.starts[run[s]]
+        return pa.table({"doc": doc[r], "t": t[r], "s": (at[s] + shift).astype(np.int32), "e": (end[s + n - 1] + shift).astype(np.int32)})
 
     return find
 
@@ -194,7 +250,7 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     ``docs`` has (doc, t, text): the id with nulls as the largest long, and a hash
     of the text that tells rows with the same id apart.
     """
-    runs = window_runs(docs, length, with_digest=True)
+    runs = durable(window_runs(docs, length))
     names = (
         runs.groupBy("name")
         .agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"), F.count(F.lit(1)).alias("n_runs"),
@@ -204,9 +260,8 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     )
     # The complement of the name is a key neither side is placed on yet: see components.py.
     names = names.select(F.bitwise_not("name").alias("k"), "first_doc", "n_runs", "alike")
-    found = window_runs(docs, length, with_digest=False)
     found = durable(
-        found.join(names, F.bitwise_not("name") == F.col("k")).where("NOT alike OR doc > first_doc")
+        runs.join(names, F.bitwise_not("name") == F.col("k")).where("NOT alike OR doc > first_doc")
         .select("name", "doc", "t", "first", "count", "n_runs", "alike")
     )
     settled = found.where("alike").select("doc", "t", F.col("first").alias("s"), (F.col("first") + F.col("count") + (length - 1)).alias("e"))

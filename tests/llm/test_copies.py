@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -158,12 +159,44 @@ def test_cut_against_brute_force(spark, monkeypatch, crowd):
         assert got == want
 
 
-def test_tree_nodes_name_equal_windows():
+def test_tree_has_the_maximal_repeats_as_deep_nodes():
     runs = [b"a b c d e", b"x b c d y", b"b c d", b"a b"]
-    nodes, run = suffixes.tree_nodes(runs, 3)
-    assert run.tolist() == [0, 0, 0, 1, 1, 1, 2]
-    assert nodes[1] == nodes[4] == nodes[6] and len(set(nodes.tolist())) == 5
-    assert suffixes.tree_nodes([], 50)[0].tolist() == []
+    tree = suffixes.Tree(runs, 3)
+    at, depth = tree.maximal_repeats(3)
+    assert sorted(zip(tree.run[at].tolist(), (at - tree.starts[tree.run[at]]).tolist())) == [(0, 1), (1, 1), (2, 0)]
+    assert depth.tolist() == [3, 3, 0]
+    # "c d" follows "b" everywhere, so only "b c d" is maximal; "a b" follows two marks.
+    at, _ = suffixes.Tree(runs, 2).maximal_repeats(2)
+    assert sorted(zip(tree.run[at].tolist(), (at - tree.starts[tree.run[at]]).tolist())) == [(0, 0), (0, 1), (1, 1), (2, 0), (3, 0)]
+    assert suffixes.Tree([], 50).maximal_repeats(50)[0].tolist() == []
+    assert suffixes.Tree([b"", b"a"], 1).maximal_repeats(1)[0].tolist() == []
+
+
+def test_depth_with_a_smaller_id_is_of_the_lowest_shared_node():
+    assert suffixes.depth_with_earlier([2, 1, 1, 3, 2], [9, 8, 7, 6, 0]).tolist() == [9, 0, 0, 7, 6]
+    assert suffixes.depth_with_earlier([], []).tolist() == [] and suffixes.depth_with_earlier([4], [0]).tolist() == [0]
+
+
+@pytest.mark.parametrize("length", [1, 3, 8])
+def test_groups_against_all_windows(length):
+    dice = random.Random(length)
+    for _ in range(150):
+        split = [[f"w{dice.randrange(3)}" for _ in range(dice.randrange(40))] for _ in range(5)]
+        split[1] = list(split[0])
+        docs = [dice.randrange(3) for _ in split]
+        earliest = {}
+        for words, doc in zip(split, docs):
+            for i in range(len(words) - length + 1):
+                key = tuple(words[i : i + length])
+                earliest[key] = min(doc, earliest.get(key, doc))
+        want = {
+            (r, j) for r, words in enumerate(split) for i in range(len(words) - length + 1)
+            if earliest[tuple(words[i : i + length])] < docs[r] for j in range(i, i + length)
+        }
+        table = pa.table({"doc": pa.array(docs, pa.int64()), "t": pa.array(range(5), pa.int64()), "first": pa.array([2] * 5, pa.int32()),
+                          "words": pa.array([" ".join(w).encode() for w in split], pa.binary())})
+        spans = suffixes._repeats_in_group(length)(table).to_pylist()
+        assert {(x["t"], j - 2) for x in spans for j in range(x["s"], x["e"])} == want
 
 
 def test_long_runs_of_one_line_are_dealt_by_window(spark, monkeypatch):
