@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
 }
+#: Applications of this process whose workers were sent the package.
+_SHIPPED: set[str] = set()
 
 
 def build_session(app_name: str = "plumbline", master: str | None = None, **settings: str) -> SparkSession:
@@ -23,7 +27,22 @@ def build_session(app_name: str = "plumbline", master: str | None = None, **sett
         builder = builder.master(master)
     for key, value in {**SETTINGS, **{k.replace("__", "."): v for k, v in settings.items()}}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Sends this package's modules to the workers, which import it by name wherever
+    they were started. Once an application; for sessions not made by ``build_session`` too.
+    A package that was itself read from an archive is left to whoever sent that."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parent
+    if context.applicationId not in _SHIPPED and root.is_dir():
+        archive = Path(tempfile.mkdtemp(prefix="plumbline-package-")) / f"{root.name}.zip"
+        with zipfile.ZipFile(archive, "w") as packed:
+            for module in sorted(root.rglob("*.py")):
+                packed.write(module, module.relative_to(root.parent))
+        context.addPyFile(str(archive))
+        _SHIPPED.add(context.applicationId)
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

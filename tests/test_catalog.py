@@ -98,3 +98,19 @@ def test_findings_and_runs_round_trip(spark, tmp_path, rows):
     sinks.write_runs(runs, str(tmp_path / "runs"))
     back = sinks.read_runs(spark, str(tmp_path / "runs"))
     assert back.count() == 2 and back.first().query_plan == ["q1", "q2"]
+
+
+def test_workers_import_the_package_wherever_they_start(spark):
+    from plumbline.session import ship_package
+
+    assert ship_package(spark) is ship_package(spark)  # sent once, by build_session
+    (name,) = [f for f in spark.sparkContext._jsc.sc().listFiles().mkString("|").split("|") if f.endswith("plumbline.zip")]
+    def where(batches):
+        import os
+        os.chdir("/")
+        for batch in batches:
+            from plumbline.functions import vocabulary
+            batch["id"] = len(vocabulary.__name__)
+            yield batch
+
+    assert {r.id for r in spark.range(8).mapInPandas(where, "id bigint").collect()} == {len("plumbline.functions.vocabulary")}
