@@ -29,8 +29,10 @@ from ..session import durable
 
 SPAN = 10
 GRAM = 4
-#: Words as they are before A-Z are lowered.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Words as they are before A-Z are lowered: all but the ASCII characters that are no digit or
+#: letter. They are listed one by one, since the regex engine looks single characters up in a
+#: table and tries ranges in turn.
+RAW_WORD = "[^" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A window table of up to so many bytes of text is broadcast, a larger one is joined by shuffle.
 BROADCAST_BYTES = 8_000_000
