@@ -38,6 +38,11 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_BYTES = 8_000_000
 
 
+def _known(id_col: str) -> Column:
+    """An id as a text that is never null, so that joins keep rows without one."""
+    return F.when(F.col(id_col).isNull(), "null").otherwise(F.concat(F.lit("="), F.col(id_col).cast("string")))
+
+
 def _each(count: str, body: str) -> Column:
     """``body`` for i from 1 to ``count``; an empty array when there are none."""
     return F.expr(f"transform(IF({count} >= 1, sequence(1, {count}), array()), i -> {body})")
@@ -98,7 +103,7 @@ _EXTENDED = (
 def window_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """(doc, t, window, s, e): occurrences [s, e) of windows, in words from 1.
 
-    ``docs`` has (doc, t, text), ``windows`` what ``benchmark_windows`` gives.
+    ``docs`` has (doc, t, text), doc and t without nulls, ``windows`` what ``benchmark_windows`` gives.
     """
     table = windows.select("words_in", "key", "window").distinct()
     sizes = {
@@ -139,22 +144,25 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     Rows with a null or repeated id are judged each by its own text; items with a
     null id hit words but are not listed.
     """
-    keyed = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("t"), F.col(text_col).alias("text"))
+    keyed = docs.select(
+        F.col(id_col).alias("id"), _known(id_col).alias("doc"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("t"), F.col(text_col).alias("text")
+    )
+    own = ["doc", "t"]
     windows = benchmark_windows(items)
-    hits = window_hits(keyed.select("t", "text").withColumn("doc", F.col("t")), windows).drop("doc")
+    hits = window_hits(keyed.drop("id"), windows)
     # Read twice below, and small: a row per contaminated text.
     hit = durable(
-        hits.groupBy("t").agg(F.collect_set(F.struct("s", "e")).alias("spans"), F.collect_set("window").alias("windows"))
-        .select("t", F.expr(_COVERED).alias("n_hit"), "windows")
+        hits.groupBy(own).agg(F.collect_set(F.struct("s", "e")).alias("spans"), F.collect_set("window").alias("windows"))
+        .select(*own, F.expr(_COVERED).alias("n_hit"), "windows")
     )
     listed = (
-        hit.select("t", F.explode("windows").alias("window")).join(windows.select("window", "item"), "window")
-        .groupBy("t").agg(F.array_sort(F.collect_set("item")).alias("items"))
+        hit.select(*own, F.explode("windows").alias("window")).join(windows.select("window", "item"), "window")
+        .groupBy(own).agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
     n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(RAW_WORD)).cast("bigint")
     return (
-        keyed.select("doc", "t", n_words.alias("n_words")).join(hit.select("t", "n_hit"), "t", "left").join(listed, "t", "left")
-        .select(F.col("doc").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"),
+        keyed.select("id", *own, n_words.alias("n_words")).join(hit.drop("windows"), own, "left").join(listed, own, "left")
+        .select(F.col("id").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"),
                 F.coalesce("items", F.array().cast("array<string>")).alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
     )
 
@@ -162,9 +170,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that have a word hit; all columns pass through. Null and
     empty texts, and rows with a null id and no hit, stay; rows are told apart by id and text."""
-    own, name = F.xxhash64(F.col(id_col), F.col(text_col)), F.col(id_col).cast("string")
+    own, name = F.xxhash64(F.col(id_col), F.col(text_col)), _known(id_col)
     hit = window_hits(docs.select(name.alias("doc"), own.alias("t"), F.col(text_col).alias("text")), benchmark_windows(items))
-    hit = hit.select(F.col("doc").alias("hit_doc"), F.col("t").alias("hit_t")).distinct()
     whole = docs.select(F.struct(*docs.columns).alias("row"), name.alias("doc"), own.alias("t"))
-    same = (F.col("t") == F.col("hit_t")) & F.col("doc").eqNullSafe(F.col("hit_doc"))
-    return whole.join(hit, same, "left_anti").select("row.*")
+    return whole.join(hit.select("doc", "t").distinct(), ["doc", "t"], "left_anti").select("row.*")
