@@ -240,20 +240,21 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     Vectors that are null, empty or zero, or hold a null or a non-finite number,
     have no links and are components of their own; vectors of different lengths
     do not link. Copies of a vector link with each other. A null id takes part;
-    a component without another id has a null ``component_id``. A vector is known by
-    a 64-bit hash of its numbers.
+    a component without another id has a null ``component_id``. Different vectors are
+    numbered; rows find theirs by 128 bits of hash.
     """
     kind = np.float64 if "double" in vectors.schema[vector_col].dataType.simpleString() else np.float32
     usable = F.coalesce(F.expr(_usable("vector")), F.lit(False))
-    named = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("vector")).withColumn(
-        "node", F.when(usable, F.xxhash64("vector"))
-    )
+    digest = F.when(usable, F.struct(F.xxhash64("vector").alias("h"), F.xxhash64(F.lit(1), "vector").alias("h2")))
+    named = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("vector")).withColumn("digest", digest)
+    # Numbered once: what is written is what every later use reads.
     folded = durable(
-        named.where("node IS NOT NULL").groupBy("node", "vector").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first_id"))
+        named.where("digest IS NOT NULL").groupBy("digest.h", "digest.h2", "vector")
+        .agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first_id")).withColumn("node", F.monotonically_increasing_id())
     )
     models = {}
     for row in folded.groupBy(F.size("vector").alias("dim")).count().collect():  # lengths of vectors: usually one
-        chosen = folded.where(F.size("vector") == row["dim"]).orderBy(F.xxhash64(F.lit(7), "node")).limit(SAMPLE).select("vector").toArrow()
+        chosen = folded.where(F.size("vector") == row["dim"]).orderBy(F.xxhash64(F.lit(7), "h")).limit(SAMPLE).select("vector").toArrow()
         models[row["dim"]] = fit(unit_vectors(np.stack(chosen.column(0).to_numpy())), row["count"], trees, cosine=cosine)
 
     routed = folded.select("node", "copies", "vector").mapInArrow(_routed(models, kind), _ROUTED)
@@ -286,11 +287,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     counts = found.groupBy("node").agg(F.sum("n").alias("n")).select(F.col("node").alias("counted"), "n")
     ids = smallest_ids(folded.select("node", "first_id"), found.where("node <> root").select("node", "root"))
     facts = durable(
-        ids.join(counts, F.col("node") == F.col("counted"), "left").join(folded.select(F.col("node").alias("folded"), "copies"), F.col("node") == F.col("folded"))
-        .select(F.col("node").alias("of"), "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        ids.join(counts, F.col("node") == F.col("counted"), "left").join(folded.select(F.col("node").alias("folded"), "h", "h2", "copies"), F.col("node") == F.col("folded"))
+        .select("h", "h2", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
-    on_node = named.select("id", "node").join(facts, F.col("node") == F.col("of"), "left")
+    on_node = named.select("id", "digest.h", "digest.h2").join(facts, ["h", "h2"], "left")
     return on_node.select(
         "id", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"),
-        F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(F.col("h").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
     )
